@@ -7,7 +7,59 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutoffs.llm.common import table
+from cutoffs.llm.common import remainder, table
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file is on this machine; executors have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cutoffs.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter("doc_id is not null and toxic is not null")
+    learn = labels.filter(remainder(F.col("doc_id"), 4) != 2)
+    model = toxicity.train(docs.join(learn, "doc_id"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cutoffs.llm.decontam import report
+
+    return report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cutoffs.llm import tokenfile
+
+    shards = tokenfile.write(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    return tokenfile.documents(shards)
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cutoffs.llm.bpe import digests
+
+    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cutoffs.llm import langid
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    field = langid.train(docs.filter(remainder(F.col("doc_id"), 4) != 2))
+    out = langid.predict(docs, field)
+    return out.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cutoffs.llm.hmm import score
+
+    return score(table(spark, sf_dir, "documents").select("doc_id", "text"), modulus=5, held=1)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
