@@ -70,7 +70,7 @@ def distance(a: Column | str, b: Column | str) -> Column:
 def _blocks_for(n: int, bits: int) -> int:
     """So many blocks that few unrelated fingerprints share a key: keys get longer as the table grows."""
     for blocks in range(bits + 1, bits + 5):
-        if n <= 2 ** (64 * (blocks - bits) // blocks):
+        if 64 * n <= 2 ** (64 * (blocks - bits) // blocks):
             return blocks
     return bits + 4
 
