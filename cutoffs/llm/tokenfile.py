@@ -216,7 +216,7 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_tok
         sizes = [len(x) // 4 for x in held]
         ids = np.frombuffer(b"".join(held), dtype="<u4")
         docs = pa.concat_arrays(names)
-        row = [pa.array([part]), pa.array([number]), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), pa.array([sizes], pa.list_(pa.int64())), pa.array([pack(ids)], pa.binary())]
+        row = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), pa.array([sizes], pa.list_(pa.int64())), pa.array([pack(ids)], pa.binary())]
         number, first = number + 1, first + len(ids)
         return pa.RecordBatch.from_arrays(row, names=["range", "shard", "first", "n_tokens", "doc_ids", "sizes", "payload"])
 
