@@ -10,7 +10,7 @@ from cutoffs.registry import query, sql
 
 EDGES = """SELECT l_orderkey * 8 + l_linenumber AS edge_id, o_custkey AS u, 1000000 + l_suppkey AS v, l_partkey % 2 AS member,
   CASE WHEN l_returnflag = 'N' AND l_linenumber = 1 THEN CAST('Infinity' AS DOUBLE) ELSE CAST((l_orderkey * 7 + l_linenumber * 13) % 73 AS DOUBLE) END AS c
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 20 = 0"""
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 SOURCES = """SELECT 1000000 + s_suppkey AS node, CAST(s_suppkey % 100 AS DOUBLE) AS a FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1"""
 #: Largest hour to which each node keeps a path: a recursive set of (member, node, hour) pairs.
 _B = f"""WITH RECURSIVE e AS ({EDGES}), s AS ({SOURCES}), m AS (SELECT DISTINCT member FROM e),

@@ -114,14 +114,14 @@ def _line(m: str) -> str:
 
 @query(
     "W1_hourly_resampling",
-    f"""WITH {_T}, y AS (SELECT * FROM x WHERE member_no % 10 = 0), f AS (SELECT source, member_no, s, first(lat) AS lat, first(vmax_ms) AS v FROM y GROUP BY 1, 2, 3),
+    f"""WITH {_T}, f AS (SELECT source, member_no, s, first(lat) AS lat, first(vmax_ms) AS v FROM x GROUP BY 1, 2, 3),
 g AS (SELECT source, member_no, count(*) AS n, unnest(range(CAST(ceil(min(s) / 3600) AS BIGINT), CAST(floor(max(s) / 3600) AS BIGINT) + 1)) AS h FROM f GROUP BY 1, 2),
 z AS (SELECT g.source, g.member_no, g.h, any_value(n) AS n, max(s) FILTER (WHERE s <= h * 3600) AS s0, arg_max(lat, s) FILTER (WHERE s <= h * 3600) AS lat0, arg_max(v, s) FILTER (WHERE s <= h * 3600) AS v0,
  min(s) FILTER (WHERE s >= h * 3600) AS s1, arg_min(lat, s) FILTER (WHERE s >= h * 3600) AS lat1, arg_min(v, s) FILTER (WHERE s >= h * 3600) AS v1 FROM g JOIN f ON g.source = f.source AND g.member_no = f.member_no GROUP BY 1, 2, 3)
 SELECT source, member_no, h AS hour, {_line("lat")}, {_line("v")} FROM z""",
 )
 def w1(spark, sf):
-    t = sql(spark, sf, TRACKS).filter("member_no % 10 = 0")
+    t = sql(spark, sf, TRACKS)
     out = series.hourly(t, metrics=["lat", "vmax_ms"])
     return out.select("source", "member_no", (series.epoch("valid_utc") / 3600).cast("long").alias("hour"), F.round("lat", 6).alias("lat"), F.round("vmax_ms", 6).alias("v"))
 
