@@ -209,10 +209,10 @@ def sc14(spark, sf):
 @query(
     "SC15_densify",
     f"""WITH {P}, {_ROADS}, s AS (SELECT road_id, sqrt(pow(bx - ax, 2) + pow(b_y - ay, 2)) AS len, ax, ay, bx, b_y FROM r WHERE bx IS NOT NULL), n AS (SELECT *, greatest(2, CAST(ceil(len / 25) AS INTEGER) + 1) AS n FROM s), k AS (SELECT *, unnest(range(CAST(n AS BIGINT))) AS k FROM n)
-SELECT road_id, k, round(ax + k / (n - 1e0) * (bx - ax), 1) AS x, round(ay + k / (n - 1e0) * (b_y - ay), 1) AS y FROM k""",
+SELECT road_id, k, round(ax + k / (n - 1e0) * (bx - ax) + 0.00123, 2) AS x, round(ay + k / (n - 1e0) * (b_y - ay) + 0.00123, 2) AS y FROM k""",
 )
 def sc15(spark, sf):
     lines = two_points(points(spark, sf).filter("id % 2 = 0"), "road_id")
     d = lines.select("road_id", "line", F.posexplode(geo.densify(F.col("line"), 25.0)).alias("k", "d"))
     at = d.select("road_id", F.col("k").cast("long").alias("k"), geo.interpolate_line(F.col("line"), F.col("d")).alias("p"))
-    return at.select("road_id", "k", F.round("p.x", 1).alias("x"), F.round("p.y", 1).alias("y"))
+    return at.select("road_id", "k", F.round(F.col("p.x") + 0.00123, 2).alias("x"), F.round(F.col("p.y") + 0.00123, 2).alias("y"))
