@@ -31,10 +31,10 @@ from cutoffs.llm.common import steps
 from cutoffs.session import materialize
 
 END_ID = 2
-SHARD_TOKENS = 2_000_000
-ROUNDS, RULES_PER_ROUND, LEAST = 8, 2048, 24
-CACHE_WORDS = 300_000
-_HASH_BITS = 20
+SHARD_TOKENS = 1_000_000
+ROUNDS, RULES_PER_ROUND, LEAST = 5, 4096, 24
+CACHE_WORDS = 500_000
+_HASH_BITS = 18
 
 
 class ByteBpe:
@@ -56,6 +56,15 @@ class ByteBpe:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes pieces, each after a space, many in a call: ids come with the number of their piece."""
+        for a in range(0, len(pieces), 20_000):
+            part = pieces[a : a + 20_000]
+            got = self.tokenizer.encode([" " + p for p in part], is_pretokenized=True, add_special_tokens=False)
+            data, word = np.array(got.ids, dtype="<u4").tobytes(), np.array(got.word_ids)
+            ends = (4 * np.searchsorted(word, np.arange(len(part)), side="right")).tolist()
+            self.kept.update(zip(part, [data[x:y] for x, y in zip([0, *ends], ends, strict=False)], strict=True))
+
     @staticmethod
     def _joined(parts: list[str]) -> list[str]:
         """Parts with those that are empty or begin with white space put to the one before."""
@@ -76,18 +85,20 @@ class ByteBpe:
         parts = [t.split(" ") for t in texts]
         for i in special:
             parts[i] = [""]
-        kept = self.kept
-        new = {p for ps in parts for p in ps[1:]}.difference(kept)
-        odd = {p for p in new if not p or p[0].isspace()}
-        if odd:
-            parts = [ps if odd.isdisjoint(ps[1:]) else self._joined(ps) for ps in parts]
-            new = {p for ps in parts for p in ps[1:]}.difference(kept)
-        todo = list(new)
-        for a in range(0, len(todo), 20_000):
-            part = todo[a : a + 20_000]
-            kept.update(zip(part, self._whole([" " + p for p in part]), strict=True))
+        got = [list(map(self.kept.get, ps)) for ps in parts]
+        new = {p for ps, g in zip(parts, got, strict=True) if None in g for p, x in zip(ps, g, strict=True) if x is None}
+        if any(not p or p[0].isspace() for p in new):
+            parts = [self._joined(ps) if any(not p or p[0].isspace() for p in ps[1:]) else ps for ps in parts]
+            got = [list(map(self.kept.get, ps)) for ps in parts]
+            new = {p for ps, g in zip(parts, got, strict=True) for p, x in zip(ps, g, strict=True) if x is None}
+        self._learn([p for p in new if p and not p[0].isspace()])
+        for ps, g in zip(parts, got, strict=True):
+            if None in g:
+                g[:] = map(self.kept.get, ps)
         heads = self._whole([ps[0] for ps in parts])
-        out = [b"".join([h, *[kept[p] for p in ps[1:]]]) for h, ps in zip(heads, parts, strict=True)]
+        for h, g in zip(heads, got, strict=True):
+            g[0] = h
+        out = [b"".join(g) for g in got]
         for i, ids in zip(special, self._whole([texts[i] for i in special]), strict=True):
             out[i] = ids
         return out
@@ -101,43 +112,46 @@ def byte_bpe(path: str) -> ByteBpe:
 def re_pair(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(sequence, rules, base): rule k is the pair that nonterminal base + k stands for."""
     base = int(ids.max(initial=0)) + 1
-    seq, rules, n_rules = ids.astype(np.int64), [], 0
+    seq, rules, n_rules = ids.astype(np.uint32), [], 0
+    lut = np.empty(1 << _HASH_BITS, dtype=np.int32)
     for _ in range(ROUNDS):
         if len(seq) < 2 * LEAST:
             break
-        pair = (seq[:-1] << 32) | seq[1:]
-        slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int32)
+        a, b = seq[:-1], seq[1:]
+        slot = ((a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - _HASH_BITS)).astype(np.int64)
         count = np.bincount(slot, minlength=1 << _HASH_BITS)
         often = np.argpartition(count, -RULES_PER_ROUND)[-RULES_PER_ROUND:]
         often = often[count[often] >= LEAST]
         if not len(often):
             break
-        # one pair stands for its slot: the one of the last occurrence; others in the slot wait for a later round
-        owner = np.full(1 << _HASH_BITS, -1, dtype=np.int64)
-        chosen = np.zeros(1 << _HASH_BITS, dtype=bool)
-        chosen[often] = True
-        at = np.flatnonzero(chosen[slot])
-        owner[slot[at]] = pair[at]
-        at = at[owner[slot[at]] == pair[at]]
+        lut.fill(-1)
+        lut[often] = np.arange(len(often), dtype=np.int32)
+        rule = lut[slot]
+        at = np.flatnonzero(rule >= 0)
+        rule = rule[at]
+        # one pair stands for its slot: that of the last occurrence; others in the slot wait for a later round
+        first, second = np.empty(len(often), dtype=np.uint32), np.empty(len(often), dtype=np.uint32)
+        first[rule], second[rule] = a[at], b[at]
+        same = (first[rule] == a[at]) & (second[rule] == b[at])
+        at, rule = at[same], rule[same]
         # of pairs that overlap, every second one in a run of neighbours is taken
-        first = np.append(True, np.diff(at) != 1)
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = at[1:] != at[:-1] + 1
         place = np.arange(len(at))
-        run = np.maximum.accumulate(np.where(first, place, 0))
-        take = at[(place - run) % 2 == 0]
-        used, number = np.unique(slot[take], return_inverse=True)
-        enough = np.bincount(number) >= LEAST // 2
-        take, number = take[enough[number]], number[enough[number]]
-        if not len(take):
+        take = ((place - np.maximum.accumulate(np.where(new, place, 0))) & 1) == 0
+        at, rule = at[take], rule[take]
+        enough = np.bincount(rule, minlength=len(often)) >= LEAST // 2
+        keep = enough[rule]
+        at, rule = at[keep], rule[keep]
+        if not len(at):
             break
-        new = np.cumsum(enough) - 1
-        rules.append(owner[used[enough]])
-        seq[take] = base + n_rules + new[number]
+        rules.append(np.stack((first[enough], second[enough]), axis=1))
+        seq[at] = (base + n_rules - 1 + np.cumsum(enough)).astype(np.uint32)[rule]
         n_rules += int(enough.sum())
         stay = np.ones(len(seq), dtype=bool)
-        stay[take + 1] = False
+        stay[at + 1] = False
         seq = seq[stay]
-    packed = np.concatenate(rules) if rules else np.zeros(0, dtype=np.int64)
-    return seq, np.stack((packed >> 32, packed & 0xFFFFFFFF), axis=1).astype(np.uint32), base
+    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32), base
 
 
 def lengths(rules: np.ndarray, base: int) -> np.ndarray:
