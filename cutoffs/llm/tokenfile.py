@@ -87,11 +87,13 @@ class ByteBpe:
             parts[i] = [""]
         got = [list(map(self.kept.get, ps)) for ps in parts]
         new = {p for ps, g in zip(parts, got, strict=True) if None in g for p, x in zip(ps, g, strict=True) if x is None}
-        if any(not p or p[0].isspace() for p in new):
-            parts = [self._joined(ps) if any(not p or p[0].isspace() for p in ps[1:]) else ps for ps in parts]
-            got = [list(map(self.kept.get, ps)) for ps in parts]
-            new = {p for ps, g in zip(parts, got, strict=True) for p, x in zip(ps, g, strict=True) if x is None}
-        self._learn([p for p in new if p and not p[0].isspace()])
+        odd = {p for p in new if not p or p[0].isspace()}
+        for i, (ps, g) in enumerate(zip(parts, got, strict=True)) if odd else ():
+            if None in g and not odd.isdisjoint(ps[1:]):
+                parts[i] = self._joined(ps)
+                got[i] = list(map(self.kept.get, parts[i]))
+                new.update(p for p, x in zip(parts[i], got[i], strict=True) if x is None)
+        self._learn(list(new - odd))
         for ps, g in zip(parts, got, strict=True):
             if None in g:
                 g[:] = map(self.kept.get, ps)
