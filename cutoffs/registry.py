@@ -22,6 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Runs SQL over the driver tables that it names, without registering views."""
     named = {n: table(spark, sf_dir, n) for n in TABLES if re.search(rf"\b{n}\b", text)}
+    text = text.replace("{", "{{").replace("}", "}}")
     for n in named:
         text = re.sub(rf"\b(FROM|JOIN)\s+{n}\b", rf"\1 {{{n}}} AS {n}", text)
     return spark.sql(text, **named)
