@@ -25,6 +25,16 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus, F.lit(-1))
 
 
+def drawn(df: DataFrame, rows: int, *of: str) -> DataFrame:
+    """At most `rows` rows of df: those with the smallest hash of the given columns.
+
+    The hashes alone are ranked first, so that each task gives the driver numbers and not its own candidates' texts.
+    """
+    h = F.xxhash64(*of)
+    top = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return df.filter(h <= F.lit(top)).limit(rows)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, also where body uses it inside a lambda."""
     return F.transform(F.array(value), body)[0]

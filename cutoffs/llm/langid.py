@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutoffs.llm.chain import Chains
-from cutoffs.llm.common import Words, members, mixed, steps
+from cutoffs.llm.common import Words, drawn, members, mixed, steps
 
 #: Labelled rows that the field is fitted to, at most.
 SAMPLE_ROWS = 2000
@@ -127,8 +127,8 @@ def fit(texts: list[bytes], labels: list[str]) -> Field:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Field | None:
     """Fit to at most `rows` rows with a text and a label, those with the smallest hash of their id."""
-    d = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col)).alias("h"))
-    got = d.filter("text is not null and lang is not null").orderBy("h", "lang").limit(rows).toPandas()
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    got = drawn(d.filter("text is not null and lang is not null"), rows, "id", "text").toPandas().sort_values(["id", "text", "lang"])
     return fit([t.lower().encode() for t in got["text"]], got["lang"].tolist()) if len(got) else None
 
 

@@ -21,9 +21,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cutoffs.llm import toxicity
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter("doc_id is not null and toxic is not null")
-    learn = labels.filter(remainder(F.col("doc_id"), 4) != 2)
-    model = toxicity.train(docs.join(learn, "doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs, labels.filter(remainder(F.col("doc_id"), 4) != 2))
     out = toxicity.score(docs, model)
     return out.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

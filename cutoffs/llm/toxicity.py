@@ -32,13 +32,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutoffs.llm.common import PLAIN, SPACED, Words, raw, steps
+from cutoffs.llm.common import PLAIN, SPACED, STEP_BYTES, Words, drawn, raw, steps
 
 ORDER, SPAN, GAP, FLOOR = 3, 7, 0.6, 0.3
 LANDMARKS, PLAIN_LANDMARKS = 42, 6
 #: Landmarks are less alike than this.
 ALIKE = 0.6
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 #: Landmarks are at most this long.
 SHORT = 20
 #: Words whose kernels a task keeps; when it is full, they are computed anew.
@@ -225,18 +225,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.best(texts) + self.offset, -50, 50)))
 
 
+def slices(texts: list[bytes], limit: int = STEP_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first, texts) of stretches of about limit bytes."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= limit:
+            yield start, texts[start : i + 1]
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, texts[start:]
+
+
 def choose_landmarks(texts: list[bytes], toxic: np.ndarray) -> tuple[list[str], list[str]]:
     """Words that tell toxic documents from others, best first and not too alike; frequent words of others."""
-    u = units(texts)
-    distinct, names = [u.word(i) for i in range(len(u.hashes))], {}
-    same = np.array([names.setdefault(w, len(names)) for w in distinct], dtype=np.int64)
-    distinct = list(names)
-    pairs = np.unique(np.stack([same[u.number], u.doc[u.sentence]], axis=1), axis=0)
     bad, good = Counter(), Counter()
-    for c, y in ((bad, True), (good, False)):
-        for k, n in zip(*np.unique(pairs[toxic[pairs[:, 1]] == y, 0], return_counts=True), strict=True):
-            if ORDER <= len(distinct[k]) <= SHORT:
-                c[distinct[k]] += int(n)
+    for start, part in slices(texts):
+        u, names = units(part), {}
+        same = np.array([names.setdefault(u.word(i), len(names)) for i in range(len(u.hashes))], dtype=np.int64)
+        distinct = list(names)
+        pairs = np.unique(np.stack([same[u.number], u.doc[u.sentence]], axis=1), axis=0) if distinct else np.zeros((0, 2), dtype=np.int64)
+        for c, y in ((bad, True), (good, False)):
+            for k, n in zip(*np.unique(pairs[toxic[start + pairs[:, 1]] == y, 0], return_counts=True), strict=True):
+                if ORDER <= len(distinct[k]) <= SHORT:
+                    c[distinct[k]] += int(n)
     n_bad, n_good = max(1, toxic.sum()), max(1, (~toxic).sum())
     odds = {w: np.log((c + 0.5) / (n_bad + 1)) - np.log((good[w] + 0.5) / (n_good + 1)) for w, c in bad.items() if c >= 3}
     ranked = sorted((w for w in odds if odds[w] > 1), key=lambda w: (-bad[w] * odds[w], w))
@@ -282,8 +294,9 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
     gram = model.kernel.of(marks + common).astype(np.float64)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     model.lift = (vectors / np.sqrt(np.maximum(values, 1e-2)) @ vectors.T).astype(np.float32)
-    feats, doc = model.features(texts)
-    feats = feats.astype(np.float64)
+    found = [(start, *model.features(part)) for start, part in slices(texts)]
+    feats = np.concatenate([f for _, f, _ in found]).astype(np.float64)
+    doc = np.concatenate([start + d for start, _, d in found]).astype(np.int64)
     # round 0: a toxic document's witness is the sentence with the largest kernel with any toxic landmark
     value = (feats @ np.linalg.inv(model.lift.astype(np.float64)))[:, : len(marks)].max(axis=1)
     rng = np.random.default_rng(5)
@@ -312,14 +325,19 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
     return model
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
-    """Fit to at most `rows` labelled rows of either class, those with the smallest hash of their id."""
-    d = docs.select(F.col(text_col).alias("text"), F.col(toxic_col).cast("int").alias("y"), F.xxhash64(F.col(id_col)).alias("h")).filter("text is not null")
-    both = [d.filter(F.col("y") == y).orderBy("h").limit(rows).select("text").toPandas()["text"].tolist() for y in (0, 1)]
-    model = fit([t.encode() for t in [*both[0], *both[1]]], np.array([False] * len(both[0]) + [True] * len(both[1]), dtype=bool))
-    size = {r["y"]: r["count"] for r in d.filter("y in (0, 1)").groupBy("y").count().collect()}
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
+    """Fit to at most `rows` labelled ids of either class, those with the smallest hash; only their texts are fetched."""
+    y = labels.select(F.col(id_col).alias("id"), F.col(toxic_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
+    y = y.groupBy("id").agg(F.max("y").alias("y"))
+    chosen = [drawn(y.filter(F.col("y") == k), rows, "id") for k in (0, 1)]
+    ids = F.broadcast(chosen[0].union(chosen[1]))  # 2 * rows ids at most
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(ids, "id")
+    got = d.groupBy("id", "y").agg(F.min("text").alias("text")).toPandas().sort_values("id")
+    toxic = got["y"].to_numpy() == 1
+    model = fit([t.encode() for t in got["text"]], toxic)
+    size = {r["y"]: r["count"] for r in y.groupBy("y").count().collect()}
     if model.kernel is not None:  # from the classes' shares in the sample to those in all labelled rows
-        model.offset += float(np.log(size[1] / size[0]) - np.log(len(both[1]) / len(both[0])))
+        model.offset += float(np.log(size[1] / size[0]) - np.log(toxic.sum() / (~toxic).sum()))
     return model
 
 
