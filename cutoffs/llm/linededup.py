@@ -31,8 +31,8 @@ def _key(id_col: str, text_col: str) -> Column:
 
 
 def line_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc, pos, lh, words) for each line with a word; doc is the column _doc of docs, lh the hash of the line."""
-    lines = docs.select(F.col("_doc").alias("doc"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
+    """(doc, pos, lh, words) for each line with a word; doc is the column __ld_doc of docs, lh the hash of the line."""
+    lines = docs.select(F.col("__ld_doc").alias("doc"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
     words = F.size(F.array_remove(F.split("line", SPACE + "+"), ""))
     lines = lines.select("doc", "pos", F.xxhash64("line").alias("lh"), words.alias("words")).filter("words > 0")
     return lines.repartition("doc").dropDuplicates(["doc", "pos"])
@@ -81,15 +81,22 @@ def repeated_runs(docs: DataFrame, text_col: str = "text", min_words: int = MIN_
     return later.select("doc", _reach("head", "head0", "p0").alias("p0"), _reach("tail", "tail0", "p1").alias("p1"))
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with later repeated runs deleted from the text, and the new columns n_lines and n_removed (lines)."""
-    keyed = docs.withColumn("_doc", _key(id_col, text_col))
-    gone = repeated_runs(keyed, text_col, min_words).groupBy("doc").agg(F.collect_set(F.struct("p0", "p1")).alias("_runs")).withColumnRenamed("doc", "_gone_doc")
-    both = keyed.join(gone, keyed["_doc"] == gone["_gone_doc"], "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    spots = F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["p0"], r["p1"]))))
-    both = both.withColumn("_gone", spots)
-    stay = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: x[i]), "\n"))
-    both = both.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
-    both = both.withColumn("n_removed", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long"))
-    return both.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(stay)).drop("_doc", "_gone_doc", "_runs", "_gone")
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
+    """docs with later repeated runs deleted from the text; with `report`, also n_lines and n_removed (lines).
+
+    The report's columns take the place of columns of docs with their names; without it all columns of docs stay.
+    """
+    keyed = docs.withColumn("__ld_doc", _key(id_col, text_col))
+    gone = repeated_runs(keyed, text_col, min_words).groupBy("doc").agg(F.collect_set(F.struct("p0", "p1")).alias("__ld_runs")).withColumnRenamed("doc", "__ld_at")
+    both = keyed.join(gone, keyed["__ld_doc"] == gone["__ld_at"], "left")
+    lines = F.split(F.col(text_col), "\\n", -1)
+    spots = F.array_distinct(F.flatten(F.transform("__ld_runs", lambda r: F.sequence(r["p0"], r["p1"]))))
+    both = both.withColumn("__ld_gone", spots)
+    stay = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__ld_gone")), lambda i: x[i]), "\n"))
+    text = F.when(F.col("__ld_gone").isNull(), F.col(text_col)).otherwise(stay)
+    extra = [
+        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(F.col("__ld_gone").isNull(), F.lit(0)).otherwise(F.size("__ld_gone")).cast("long").alias("n_removed"),
+    ]
+    names = [c for c in docs.columns if not report or c not in ("n_lines", "n_removed")]
+    return both.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], *(extra if report else []))

@@ -78,7 +78,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cutoffs.llm.linededup import clean
 
-    return clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return clean(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,7 +128,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     an id stays only if its group has none with an id. Of rows repeated with id and text, one is kept.
     """
     key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
-    keyed = docs.withColumn("_key", key)
-    found = near_duplicates(keyed, "_key", text_col, words, bits)
-    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    return keyed.join(stay, keyed["_key"] == stay["_stay"]).dropDuplicates(["_key"]).drop("_key", "_stay")
+    keyed = docs.withColumn("__sh_key", key)
+    found = near_duplicates(keyed, "__sh_key", text_col, words, bits)
+    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__sh_stay")).distinct()
+    return keyed.join(stay, keyed["__sh_key"] == stay["__sh_stay"]).dropDuplicates(["__sh_key"]).drop("__sh_key", "__sh_stay")
