@@ -483,7 +483,7 @@ def test_toxicity_learns_and_tolerates_gaps(spark, odd, none):
     for i in range(240):
         w = [fill[k] for k in rng.integers(0, len(fill), 30)]
         if i % 3 == 0:
-            w[int(rng.integers(30))] = bad[i // 3 % 4]
+            w[int(rng.integers(30))] = bad[int(rng.integers(4))]
         rows.append((i, ". ".join(" ".join(w[a : a + 6]) for a in range(0, 30, 6))))
         labels.append((i, int(i % 3 == 0)))
     df, lab = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels + [(9999, None)], "doc_id bigint, toxic int")
