@@ -243,12 +243,12 @@ def src4(spark, sf):
     return series.latest_runs(files, F.to_timestamp(F.lit("2024-01-15 12:00:00")), delays).select("source", "file_name")
 
 
-@query("SRC3_official_track", "SELECT user_id AS bulletin_id, round((value + value + 10) / 2 * 1852 / 3600, 3) AS vmax_ms, round((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 3.6e9, 3) AS lead_h FROM events")
+@query("SRC3_official_track", "SELECT user_id AS bulletin_id, round((value + value + 10) / 2 * 1852 / 3600, 5) AS vmax_ms, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) // 60000000 AS lead_min FROM events")
 def src3(spark, sf):
     e = sql(spark, sf, "SELECT user_id AS bulletin_id, ts, value FROM events")
     item = F.struct(F.col("ts").alias("valid_utc"), F.lit(16.0).alias("lat"), F.lit(82.0).alias("lon"), F.col("value").alias("wind_min"), (F.col("value") + 10).alias("wind_max"), F.lit("kt").alias("unit"))
     reading = e.groupBy("bulletin_id").agg(F.sort_array(F.collect_list(item)).alias("forecast"))
-    return series.official_track(reading).select("bulletin_id", F.round("vmax_ms", 3).alias("vmax_ms"), F.round("lead_h", 3).alias("lead_h"))
+    return series.official_track(reading).select("bulletin_id", F.round("vmax_ms", 5).alias("vmax_ms"), F.floor(F.col("lead_h") * 60 + 1e-6).cast("long").alias("lead_min"))
 
 
 @query("SRC5_prefix_scan", "SELECT DISTINCT p_brand AS track_id FROM part WHERE p_brand LIKE 'Brand#1%'")
