@@ -121,3 +121,33 @@ def snk2(spark, sf):
     path = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
     sinks.write_table(sql(spark, sf, "SELECT l_linenumber AS run_id, l_orderkey FROM lineitem"), path, ["run_id"])
     return spark.read.schema("l_orderkey bigint, run_id int").parquet(path).groupBy("run_id").agg(F.count("*").alias("n"))
+
+
+@query("SRC1_track_csv", "SELECT event_id AS member_no, round(value * 1852 / 3600, 6) AS vmax_ms FROM events WHERE event_type = 'click'")
+def src1(spark, sf):
+    """Writes events as track files into the shared folder and scans them for one storm id."""
+    import uuid
+
+    from cutoffs.session import shared_dir
+    from cutoffs.sources import tracks
+
+    path = f"{shared_dir(spark)}/tracks-{uuid.uuid4().hex}"
+    e = sql(spark, sf, "SELECT CAST(ts AS TIMESTAMP) AS init_time, event_type AS track_id, event_id AS sample, CAST(ts AS TIMESTAMP) AS valid_time, '0' AS lead_time, 16e0 AS lat, 82e0 AS lon, 990e0 AS minimum_sea_level_pressure_hpa, value AS maximum_sustained_wind_speed_knots, 40e0 AS radius_of_maximum_winds_km FROM events")
+    e.write.option("header", True).csv(path)
+    return tracks.track_csv(spark, path, "events", "click").select("member_no", F.round("vmax_ms", 6).alias("vmax_ms"))
+
+
+@query("SRC21_published_runs", "SELECT 'r' || r_regionkey AS run_id, n_name AS district, n_nationkey AS people FROM nation JOIN region ON n_regionkey = r_regionkey")
+def src21(spark, sf):
+    """Writes a document per nation under its region's run and scans all runs; names come from the files' places."""
+    import uuid
+
+    from cutoffs.session import shared_dir
+    from cutoffs.sources import tracks
+
+    path = f"{shared_dir(spark)}/published-{uuid.uuid4().hex}"
+    n = sql(spark, sf, "SELECT n_regionkey, n_name, n_nationkey AS people FROM nation")
+    for k in range(5):  # the five regions are the runs
+        n.filter(F.col("n_regionkey") == k).select("n_name", "people").repartition(1).write.json(f"{path}/r{k}/districts")
+    runs = tracks.published_runs(spark, path, "n_name string, people int")
+    return runs.select("run_id", F.col("n_name").alias("district"), "people")

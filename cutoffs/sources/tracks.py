@@ -38,6 +38,6 @@ def all_found(config: DataFrame, shapes: DataFrame, key: str) -> DataFrame:
 
 def published_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Documents of all runs (…/run_id/districts/name.json) with run_id and district taken from their place."""
-    docs = spark.read.schema(schema).option("multiLine", True).json(f"{path}/*/districts/*.json")
+    docs = spark.read.schema(schema).json(f"{path}/*/districts/*.json")
     place = F.col("_metadata.file_path")
     return docs.withColumn("run_id", F.regexp_extract(place, r"([^/]+)/districts/", 1)).withColumn("district", F.regexp_extract(place, r"([^/]+)\.json$", 1))
