@@ -1,9 +1,9 @@
 """Quality rules with an n-gram log-likelihood ratio between trusted and raw text; DataFrame operations only.
 
 Word unigrams and bigrams are hashed into a fixed number of buckets. Two multinomials over the buckets are counted with
-add-one smoothing: one over documents that labels mark as good (trusted target, a bounded sample of the labelled rows,
-so that their ids can be sent to all tasks and texts are never shuffled), one over all documents (raw). A
-document's score is the mean over its n-grams of log p_target - log p_raw; it passes if the score is at least
+add-one smoothing: one over all documents that labels mark as good (trusted target), one over all documents (raw). The
+trusted ids are sent to the tasks in blocks by the hash of the id, each block with the documents of that hash only, so
+that texts are never shuffled and each is cut into n-grams once; the counts of the blocks are added up. A document's score is the mean over its n-grams of log p_target - log p_raw; it passes if the score is at least
 `threshold`. The table of ratios has one entry per bucket, whatever the size of the corpus.
 
 Defined results: a null text has no words; a document without n-grams has score null and fails by the base rules; with
@@ -13,17 +13,20 @@ an empty table gives an empty result; `documents` columns other than id and text
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutoffs.llm.common import SPACE, let
+from cutoffs.session import materialize
 
 BUCKETS = 8192
 #: Mean log ratio under which a document is rejected.
 THRESHOLD = -0.1
 WINDOW = 8
-#: Trusted documents that the target multinomial is fitted to, at most: those with the smallest hash of their id.
-TRUSTED_ROWS = 20_000
+#: About so many trusted ids are sent to the tasks at once; more ids mean more passes over the documents.
+BLOCK_IDS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -42,15 +45,26 @@ def _hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = BUCKETS) -> DataFrame:
+def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = BUCKETS, block_ids: int = BLOCK_IDS) -> DataFrame:
     """(bucket, raw, target): n-gram counts over all rows of docs and over those whose id is in trusted (doc_id)."""
-    good = trusted.select(F.col("doc_id").alias("_id")).filter("_id is not null").distinct()
-    good = F.broadcast(good.orderBy(F.xxhash64("_id"), "_id").limit(TRUSTED_ROWS).withColumn("_good", F.lit(1)))
     d = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
-    d = d.join(good, d["_doc"] == good["_id"], "left").select("_text", F.coalesce("_good", F.lit(0)).alias("good"))
-    grams = d.select("good", F.explode(let(_hashes(F.col("_text")), lambda h: buckets(h, n_buckets))).alias("bucket"))
-    # grouped by both: a bucket is counted per task before anything is shuffled
-    return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
+    # of the documents' type, so that equal ids have equal hashes
+    good = trusted.select(F.col("doc_id").try_cast(d.schema["_doc"].dataType).alias("_id")).filter("_id is not null").distinct()
+    blocks = max(1, -(-good.count() // block_ids))
+
+    def counted(k: int) -> DataFrame:
+        mine, ids = (x.filter(F.pmod(F.xxhash64(c), F.lit(blocks)) == k) if blocks > 1 else x for x, c in ((d, "_doc"), (good, "_id")))
+        ids = F.broadcast(ids.withColumn("_good", F.lit(1)))
+        both = mine.join(ids, mine["_doc"] == ids["_id"], "left").select("_text", F.coalesce("_good", F.lit(0)).alias("good"))
+        grams = both.select("good", F.explode(let(_hashes(F.col("_text")), lambda h: buckets(h, n_buckets))).alias("bucket"))
+        # grouped by both: a bucket is counted per task before anything is shuffled
+        return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
+
+    if blocks == 1:
+        return counted(0)
+    # written one after the other: the ids of one block are in memory at a time
+    parts = reduce(DataFrame.union, [materialize(counted(k)) for k in range(blocks)])
+    return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def ratios(counts: DataFrame, n_buckets: int = BUCKETS) -> Column | None:

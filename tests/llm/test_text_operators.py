@@ -197,6 +197,20 @@ def test_quality_score_prefers_the_target(spark):
     assert quality.rules(df, spark.createDataFrame([], "doc_id bigint")).filter("score is not null").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_quality_target_counts_all_trusted_documents(spark, kind):
+    n = 20_400
+    df = spark.range(n + 100).selectExpr(f"cast(id as {kind}) as doc_id", "'one two three' as text")
+    trusted = spark.range(n).selectExpr("id as doc_id")
+    for block in (quality.BLOCK_IDS, 3000):
+        counts = quality.bucket_counts(df, trusted, n_buckets=64, block_ids=block).agg(F.sum("raw"), F.sum("target")).first()
+        assert tuple(counts) == (5 * (n + 100), 5 * n)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.filter("doc_id % 3 = 0").select("doc_id")
+    one, many = (sorted(tuple(r) for r in quality.bucket_counts(docs, some, block_ids=b).collect()) for b in (quality.BLOCK_IDS, 7))
+    assert one == many
+
+
 # Line dedup --------------------------------------------------------------------------------------------------------
 
 
