@@ -138,6 +138,28 @@ def test_keep_one(odd, none):
     assert simhash.keep_one(odd).columns == odd.columns and simhash.keep_one(none).count() == 0
 
 
+def test_pipeline_near_dedup_finds_jaccard_of_four_fifths(spark):
+    rng = np.random.default_rng(7)
+    rows, sets = [], {}
+
+    def add(d, w):
+        rows.append((d, " ".join(w)))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    for d in range(200):
+        w = [f"w{k}" for k in rng.integers(0, 5000, rng.integers(100, 800))]
+        add(d, w)
+        copy, share = list(w), rng.uniform(0.003, 0.05)
+        for i in np.flatnonzero(rng.random(len(w)) < share):
+            copy[i] = f"new{i}"
+        add(1000 + d, copy)
+    alike = {d: len(sets[d] & sets[1000 + d]) / len(sets[d] | sets[1000 + d]) for d in range(200)}
+    near = {1000 + d for d, j in alike.items() if j >= 0.8}
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF).collect()}
+    print(f"near copies {len(near)}, dropped {len(near - kept)}; under 0.8: {200 - len(near)}")
+    assert 80 < len(near) < 180 and kept == {d for d, _ in rows} - near
+
+
 # Sharding ----------------------------------------------------------------------------------------------------------
 
 
