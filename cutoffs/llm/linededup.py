@@ -1,13 +1,15 @@
 """Removal of passages that repeat across or inside documents, by winnowing over line hashes; DataFrame operations only.
 
 A document is its \\n-separated lines. A window is the shortest run of lines from a given line that holds at least
-`min_words` words. The line with the smallest hash in a window is selected; its fingerprint is that hash with the hash
-of its whole window, so that two documents which share a run of lines of at least min_words words always share a
-fingerprint, at the same place of the run. Occurrences of a fingerprint are joined with its first occurrence (smallest
-document key, then position), never with each other. Each such match is extended line by line both ways, and the run in
-the later place is deleted. The windows themselves cover all of a run but for remainders of under min_words words at its
-ends, so that an extension looks at lines with fewer than min_words words on either side. Blank lines (without a word)
-take no part in matching; those inside a deleted run go with it.
+`min_words` words; there is one from each line with so many words ahead, and all windows are kept. A window's
+fingerprint is its smallest line hash with the hash of its content, so that two documents which share a run of lines of
+at least min_words words share the fingerprints of all windows in the run. Occurrences of a fingerprint are joined with
+its first occurrence (smallest document key, then position), never with each other, and the window is deleted in the
+later places. The windows of a run cover all of it but for a remainder of under min_words words at its end. So each
+window that occurs again is also lengthened by the next line, the next two and so on, while these hold under min_words
+words; each such longer run is joined with its own first occurrence, which may be in another place than the window's,
+and what it adds is deleted in the later places. Thus every run of min_words words or more that any earlier place has is
+deleted. Blank lines (without a word) take no part in matching; those inside a deleted run go with it.
 
 Defined results: a null or wordless text has no windows and stays as it is; rows repeated with id and text are one
 document (a document never loses lines to itself at the same position); rows with one id and different texts are
@@ -39,46 +41,41 @@ def line_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per complete window: (doc, fp, p0, p1, head, tail).
+    """One row per complete window: (doc, fp, p0, p1, tail).
 
     fp: hash of the window's smallest line hash and of all its lines. p0, p1: positions of its first and last line.
-    head, tail: hash and position of the lines before (nearest first) and after, with under min_words words each.
+    tail: hash and position of the lines after it that hold under min_words words together.
     """
     doc = Window.partitionBy("doc")
-    line = F.struct("lh", "pos")
     ran = lines.withColumn("upto", F.sum("words").over(doc.orderBy("pos"))).withColumn("before", F.col("upto") - F.col("words"))
-    after = F.collect_list(line).over(doc.orderBy("upto").rangeBetween(1, min_words - 1))
-    ahead = F.collect_list(line).over(doc.orderBy(F.desc("before")).rangeBetween(1, min_words - 1))
-    ran = ran.withColumn("after", after).withColumn("head", ahead)
+    ran = ran.withColumn("after", F.collect_list(F.struct("lh", "pos")).over(doc.orderBy("upto").rangeBetween(1, min_words - 1)))
     inside = doc.orderBy("before").rangeBetween(0, min_words - 1)
     seen = ran.select(
         "doc",
         F.col("pos").alias("p0"),
-        "head",
         F.last("pos").over(inside).alias("p1"),
         F.last("after").over(inside).alias("tail"),
         (F.last("upto").over(inside) - F.col("before")).alias("held"),
         F.min("lh").over(inside).alias("least"),
         F.collect_list("lh").over(inside).alias("content"),
     )
-    return seen.filter(F.col("held") >= min_words).select("doc", F.xxhash64("least", "content").alias("fp"), "p0", "p1", "head", "tail")
+    return seen.filter(F.col("held") >= min_words).select("doc", F.xxhash64("least", "content").alias("fp"), "p0", "p1", "tail")
 
 
-def _reach(mine: str, theirs: str, end: str) -> Column:
-    """Position up to which the lines of two contexts are equal, from the nearest on."""
-    n = F.least(F.size(mine), F.size(theirs))
-    same = F.zip_with(F.slice(mine, 1, n), F.slice(theirs, 1, n), lambda a, b: a["lh"] == b["lh"])
-    upto = F.array_position(F.concat(same, F.array(F.lit(False))), False)
-    return F.when(upto > 1, F.try_element_at(F.col(mine), (upto - 1).cast("int"))["pos"]).otherwise(F.col(end))
+def _again(places: DataFrame, key: str) -> DataFrame:
+    """places (doc, p0, key, ...) of which the key occurs more than once, with `later`: whether this is not the first."""
+    first = places.groupBy(key).agg(F.min(F.struct("doc", "p0")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return places.join(first, key).withColumn("later", F.struct("doc", "p0") != F.col("first")).drop("first")
 
 
 def repeated_runs(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, p0, p1): runs of lines that occur before, in an earlier document or earlier in the same one."""
     fps = materialize(fingerprints(line_table(docs, text_col), min_words))
-    first = fps.groupBy("fp").agg(F.min(F.struct("doc", "p0", "head", "tail")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("fp", "first")
-    later = fps.join(first, "fp").filter(~((F.col("doc") == F.col("first.doc")) & (F.col("p0") == F.col("first.p0"))))
-    later = later.withColumn("head0", F.col("first.head")).withColumn("tail0", F.col("first.tail"))
-    return later.select("doc", _reach("head", "head0", "p0").alias("p0"), _reach("tail", "tail0", "p1").alias("p1"))
+    again = materialize(_again(fps, "fp"))
+    upto = F.transform("tail", lambda x, i: F.struct(F.xxhash64("fp", F.transform(F.slice("tail", 1, i + 1), lambda y: y["lh"])).alias("run"), F.coalesce(F.get("tail", i - 1)["pos"], F.col("p1")).alias("p1"), x["pos"].alias("end")))
+    longer = again.select("doc", "p0", F.explode(upto).alias("x")).select("doc", "p0", "x.run", "x.p1", "x.end")
+    more = _again(longer, "run").filter("later").select("doc", (F.col("p1") + 1).alias("p0"), F.col("end").alias("p1"))
+    return again.filter("later").select("doc", "p0", "p1").union(more)
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:

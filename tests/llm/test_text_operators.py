@@ -291,6 +291,32 @@ def test_line_dedup_on_documents(docs):
     assert {r["doc_id"]: r["text"] for r in linededup.clean(docs).collect()} == plain_clean(rows)
 
 
+def plain_runs(rows, least=50):
+    """Lines that are in a run of `least` words or more that any earlier place has (brute force over all pairs)."""
+    lines = {d: [(k, x) for k, x in enumerate(t.split("\n")) if x.split()] for d, t in sorted(rows)}
+    gone = {d: set() for d in lines}
+    for d, a in lines.items():
+        for d0, b in lines.items():
+            for i in range(len(a)) if d0 <= d else ():
+                for j in range(len(b) if d0 < d else i):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n][1] == b[j + n][1]:
+                        n += 1
+                    if n and sum(len(x.split()) for _, x in a[i : i + n]) >= least:
+                        gone[d] |= set(range(a[i][0], a[i + n - 1][0] + 1))
+    return {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d]) for d, t in rows}
+
+
+def test_line_dedup_compares_with_every_earlier_place(spark):
+    tail, head = "a tail of a few words", "a head of a few words"
+    rows = [(0, f"{PASSAGE}\nx"), (1, f"{head}\n{PASSAGE}\n{tail}"), (2, f"{head}\n{PASSAGE}\n{tail}"), (3, f"{PASSAGE}\n\n{tail}\nend")]
+    rng = np.random.default_rng(5)
+    pool = [" ".join(f"w{k}_{i}" for i in range(rng.integers(2, 30))) for k in range(6)]
+    rows += [(10 + d, "\n".join(pool[k] for k in rng.integers(0, 6, rng.integers(2, 14)))) for d in range(40)]
+    got = {r["doc_id"]: r["text"] for r in linededup.clean(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == plain_runs(rows) and got[2] == "" and got[3] == "end"
+
+
 # Decontamination ---------------------------------------------------------------------------------------------------
 
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
