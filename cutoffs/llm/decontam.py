@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutoffs.llm.common import PLAIN, Words, raw, steps
+from cutoffs.session import materialize
 
 WINDOW = 10
 #: Share of hit words beyond which a document is dropped by `clean` rather than cut.
@@ -218,36 +220,43 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, **columns: s
     )
 
 
-def cut(text: bytes, auto: Automaton, max_coverage: float = MAX_COVERAGE) -> bytes | None:
-    """The text without its hit spans, None if more than max_coverage of its words are hit; repeated until none is."""
-    while True:
-        words, hit, _ = auto.hits([text])
-        if not hit.any():
-            return text
-        if hit.mean() > max_coverage:
-            return None
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-        keep, at = [], 0
-        for a, b in zip(edge[::2], edge[1::2] - 1, strict=True):
-            keep.append(text[at : words.start[a]])
-            at = int(words.end[b])
-        text = b"".join([*keep, text[at:]])
-
-
-def _cut(batches: Iterator[pa.RecordBatch], shared, text: str, max_coverage: float) -> Iterator[pa.RecordBatch]:
+def without(text: bytes, start: np.ndarray, end: np.ndarray, hit: np.ndarray) -> bytes:
+    """The text without its hit spans; start and end of each word are places in the text."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
+    keep, at = [], 0
+    for a, b in zip(edge[::2], edge[1::2] - 1, strict=True):
+        keep.append(text[at : start[a]])
+        at = int(end[b])
+    return b"".join([*keep, text[at:]])
+
+
+def _mark(batches: Iterator[pa.RecordBatch], shared, text: str) -> Iterator[pa.RecordBatch]:
+    """Adds the hits of one block to the last column."""
     auto = shared.value
+    for batch in batches:
+        for part in steps(batch, text):
+            words, hit, _ = auto.hits(raw(part.column(part.schema.get_field_index(text))))
+            ends = np.cumsum(words.counts())
+            spots = [np.flatnonzero(hit[a:b]) for a, b in zip(np.append(0, ends), ends, strict=False)]
+            spots = [np.union1d(x, y).astype(np.int32) for x, y in zip(spots, part.columns[-1].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(spots, pa.list_(pa.int32()))], schema=part.schema)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], text: str, max_coverage: float) -> Iterator[pa.RecordBatch]:
+    """Cuts the hit words of the last column out of the text, or drops the row."""
     for batch in batches:
         k = batch.schema.get_field_index(text)
         for part in steps(batch, text):
-            texts = raw(part.column(k))
-            _, _, items = auto.hits(texts)
+            texts, spots = raw(part.column(k)), part.columns[-1].to_pylist()
             new: list[str | None] = part.column(k).to_pylist()
             stay = np.ones(len(texts), dtype=bool)
-            for i, ks in enumerate(items):
-                if ks:
-                    left = cut(texts[i], auto, max_coverage)
-                    stay[i] = left is not None
-                    new[i] = left.decode() if left is not None else None
+            for i, at in enumerate(spots):
+                if at:
+                    words = Words([texts[i]], PLAIN, hashes=False)
+                    hit = np.zeros(len(words.start), dtype=bool)
+                    hit[at] = True
+                    stay[i] = hit.mean() <= max_coverage
+                    new[i] = without(texts[i], words.start, words.end, hit).decode()
             cols = [pa.array(new, part.schema.field(k).type) if j == k else c for j, c in enumerate(part.columns)]
             yield pa.RecordBatch.from_arrays(cols, schema=part.schema).filter(pa.array(stay))
 
@@ -255,13 +264,22 @@ def _cut(batches: Iterator[pa.RecordBatch], shared, text: str, max_coverage: flo
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with hit spans cut out of the text, and without the documents of which more than max_coverage is hit.
 
-    A span runs from its first to its last hit word; what stands between spans, and its case and punctuation, stays.
+    A span runs from its first to its last hit word; what stands between spans, and its case and punctuation, stays. The
+    hits of all blocks are united before anything is cut; documents that were cut are looked through again until no
+    block hits them.
     """
-    out = docs
-    for auto in automata(items, window, block_words=block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(auto)
-        out = out.mapInArrow(lambda it, s=shared: _cut(it, s, text_col, max_coverage), docs.schema)
-    return out
+    spark = docs.sparkSession
+    blocks = [spark.sparkContext.broadcast(auto) for auto in automata(items, window, block_words=block_words)]
+    todo, done = docs.withColumn("__dc_hit", F.array().cast("array<int>")), []
+    while True:
+        for shared in blocks:
+            todo = todo.mapInArrow(lambda it, s=shared: _mark(it, s, text_col), todo.schema)
+        out = materialize(todo.mapInArrow(lambda it: _cut(it, text_col, max_coverage), todo.schema))
+        done.append(out.filter(F.size("__dc_hit") == 0).drop("__dc_hit"))
+        todo = out.filter(F.size("__dc_hit") > 0)
+        if todo.isEmpty():
+            return reduce(DataFrame.union, done)
+        todo = todo.withColumn("__dc_hit", F.array().cast("array<int>"))
 
 
 def items_digest(names: list[str]) -> str:

@@ -360,6 +360,21 @@ def test_decontamination_cuts_all_spans(spark, odd):
     assert decontam.clean(odd, items.limit(0)).count() == odd.count()
 
 
+def test_decontamination_cuts_the_united_hits_of_all_blocks(spark):
+    items = [(k, " ".join(f"i{k}_{j}" for j in range(20))) for k in range(40)]
+    # items that overlap, and one whose window only comes together after a cut of another
+    items += [(100 + k, " ".join(f"o{j}" for j in range(k, k + 14))) for k in range(0, 60, 4)]
+    items += [(200 + k, " ".join(f"t{k}_{j}" for j in range(12))) for k in range(20)]
+    own = lambda d, n: " ".join(f"d{d}_{j}" for j in range(n))
+    rows = [(k, f"{items[k][1]} {own(k, 26)} {items[k + 7][1]}") for k in range(30)]
+    rows += [(100 + k, f"{own(100 + k, 90)} " + " ".join(f"o{j}" for j in range(k, k + 30))) for k in range(20)]
+    rows += [(200 + k, f"{own(200 + k, 60)} " + " ".join(f"t{k}_{j}" for j in range(6)) + f" {items[k][1]} " + " ".join(f"t{k}_{j}" for j in range(6, 12))) for k in range(20)]
+    df, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    one, many = (texts(decontam.clean(df, bench, block_words=b)) for b in (200_000, 100))
+    assert one == many and {d for d, _ in one} == {d for d, _ in rows if d >= 100}
+    assert all("t" not in t and "i" not in t for d, t in one if d >= 200)
+
+
 # BPE ---------------------------------------------------------------------------------------------------------------
 
 
