@@ -1,15 +1,17 @@
 """Removal of passages that repeat across or inside documents, by winnowing over line hashes; DataFrame operations only.
 
-A document is its \\n-separated lines. A window is the shortest run of lines from a given line that holds at least
-`min_words` words; there is one from each line with so many words ahead, and all windows are kept. A window's
-fingerprint is its smallest line hash with the hash of its content, so that two documents which share a run of lines of
-at least min_words words share the fingerprints of all windows in the run. Occurrences of a fingerprint are joined with
-its first occurrence (smallest document key, then position), never with each other, and the window is deleted in the
-later places. The windows of a run cover all of it but for a remainder of under min_words words at its end. So each
-window that occurs again is also lengthened by the next line, the next two and so on, while these hold under min_words
-words; each such longer run is joined with its own first occurrence, which may be in another place than the window's,
-and what it adds is deleted in the later places. Thus every run of min_words words or more that any earlier place has is
-deleted. Blank lines (without a word) take no part in matching; those inside a deleted run go with it.
+A document is its \\n-separated lines; lines without a word take no part in matching. A window is the shortest run of
+lines from a given line that holds at least `min_words` words. Of each window one line is selected: the smallest by hash,
+lines of SHORT words or more before shorter ones, the leftmost of equal ones. A selected line is a fingerprint, kept once
+however many neighbouring windows select it. Two places that share a run of min_words words share its first window, so
+they select the same line of it: no such run escapes the fingerprints.
+
+Fingerprints that occur once are dropped. Each other match is extended both ways from the selected line: forward over the
+windows that selected it, and backward over the shortest runs of min_words words that end at a line and begin with such a
+window. Each of these runs is joined by its content with its own first place (smallest document key, then position), and
+never with all its places, so that a passage in very many documents costs one row for each. A line is in a repeated run of
+min_words words exactly if such a window holds it or such a run ends at it; so every line that stands in a run which any
+earlier place has is deleted, whichever place that is. Lines without a word between two deleted lines go with them.
 
 Defined results: a null or wordless text has no windows and stays as it is; rows repeated with id and text are one
 document (a document never loses lines to itself at the same position); rows with one id and different texts are
@@ -26,6 +28,8 @@ from cutoffs.session import materialize
 
 #: Words of the shortest run that is deleted.
 MIN_WORDS = 50
+#: Lines of fewer words are selected only where a window has no other.
+SHORT = 8
 
 
 def _key(id_col: str, text_col: str) -> Column:
@@ -33,49 +37,84 @@ def _key(id_col: str, text_col: str) -> Column:
 
 
 def line_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc, pos, lh, words) for each line with a word; doc is the column __ld_doc of docs, lh the hash of the line."""
-    lines = docs.select(F.col("__ld_doc").alias("doc"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
-    words = F.size(F.array_remove(F.split("line", SPACE + "+"), ""))
-    lines = lines.select("doc", "pos", F.xxhash64("line").alias("lh"), words.alias("words")).filter("words > 0")
-    return lines.repartition("doc").dropDuplicates(["doc", "pos"])
+    """(doc, pos, lh, words) for each line with a word; doc is the column __ld_doc of docs, lh the hash of the line.
+
+    Repeated rows meet as one in each task before they move.
+    """
+    words = lambda x: F.size(F.array_remove(F.split(x, SPACE + "+"), ""))
+    cut = F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x).alias("lh"), words(x).alias("words")))
+    per = docs.select(F.col("__ld_doc").alias("doc"), F.filter(cut, lambda x: x["words"] > 0).alias("lines")).groupBy("doc").agg(F.first("lines").alias("lines"))
+    return per.select("doc", F.explode("lines").alias("x")).select("doc", "x.*")
 
 
-def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per complete window: (doc, fp, p0, p1, tail).
+def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per line: (doc, fp, new, p0, p1, after, key, b_fp, b0, b_after, b_key).
 
-    fp: hash of the window's smallest line hash and of all its lines. p0, p1: positions of its first and last line.
-    tail: hash and position of the lines after it that hold under min_words words together.
+    p0 to p1: the window from the line on; key: hash of its lines; fp: hash of the line it selects; new: whether the
+    window before selects another. b0 to p0: the shortest run that ends at the line; b_key: hash of its lines; b_fp: the
+    line that the window from b0 on selects. after and b_after: place of the next line with a word. fp and key are null for a run of under min_words words, b_key also where
+    the run is that window.
     """
     doc = Window.partitionBy("doc")
     ran = lines.withColumn("upto", F.sum("words").over(doc.orderBy("pos"))).withColumn("before", F.col("upto") - F.col("words"))
-    ran = ran.withColumn("after", F.collect_list(F.struct("lh", "pos")).over(doc.orderBy("upto").rangeBetween(1, min_words - 1)))
-    inside = doc.orderBy("before").rangeBetween(0, min_words - 1)
-    seen = ran.select(
+    ran = ran.withColumn("next", F.lead("pos").over(doc.orderBy("pos")))
+    ahead = doc.orderBy("before").rangeBetween(0, min_words - 1)
+    rank = F.struct((F.col("words") < SHORT).alias("short"), F.col("lh"), F.col("pos"))
+    ran = ran.select(
+        "doc",
+        "pos",
+        "lh",
+        "upto",
+        "before",
+        "next",
+        F.last("pos").over(ahead).alias("p1"),
+        F.last("next").over(ahead).alias("after"),
+        (F.last("upto").over(ahead) - F.col("before") >= min_words).alias("full"),
+        F.min(rank).over(ahead).alias("least"),
+        F.xxhash64(F.collect_list("lh").over(ahead)).alias("key"),
+    )
+    back = doc.orderBy("upto").rangeBetween(1 - min_words, 0)
+    ran = ran.withColumns(
+        {
+            "prior": F.lag("least.pos").over(doc.orderBy("before")),
+            "b0": F.first("pos").over(back),
+            "b1": F.first("p1").over(back),
+            "b_fp": F.first("least.lh").over(back),
+            "b_full": F.col("upto") - F.first("before").over(back) >= min_words,
+            "b_key": F.xxhash64(F.collect_list("lh").over(back)),
+        }
+    )
+    full, b_full = F.col("full"), F.col("b_full") & (F.col("b1") != F.col("pos"))
+    return ran.select(
         "doc",
+        F.when(full, F.col("least.lh")).alias("fp"),
+        (full & ~F.col("prior").eqNullSafe(F.col("least.pos"))).alias("new"),
         F.col("pos").alias("p0"),
-        F.last("pos").over(inside).alias("p1"),
-        F.last("after").over(inside).alias("tail"),
-        (F.last("upto").over(inside) - F.col("before")).alias("held"),
-        F.min("lh").over(inside).alias("least"),
-        F.collect_list("lh").over(inside).alias("content"),
+        "p1",
+        "after",
+        F.when(full, F.col("key")).alias("key"),
+        "b_fp",
+        "b0",
+        F.col("next").alias("b_after"),
+        F.when(b_full, F.col("b_key")).alias("b_key"),
     )
-    return seen.filter(F.col("held") >= min_words).select("doc", F.xxhash64("least", "content").alias("fp"), "p0", "p1", "tail")
 
 
-def _again(places: DataFrame, key: str) -> DataFrame:
-    """places (doc, p0, key, ...) of which the key occurs more than once, with `later`: whether this is not the first."""
-    first = places.groupBy(key).agg(F.min(F.struct("doc", "p0")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return places.join(first, key).withColumn("later", F.struct("doc", "p0") != F.col("first")).drop("first")
+def fingerprints(found: DataFrame) -> DataFrame:
+    """(fp): the selected lines of `windows` that occur more than once."""
+    return found.filter("new").groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
 
 
 def repeated_runs(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, p0, p1): runs of lines that occur before, in an earlier document or earlier in the same one."""
-    fps = materialize(fingerprints(line_table(docs, text_col), min_words))
-    again = materialize(_again(fps, "fp"))
-    upto = F.transform("tail", lambda x, i: F.struct(F.xxhash64("fp", F.transform(F.slice("tail", 1, i + 1), lambda y: y["lh"])).alias("run"), F.coalesce(F.get("tail", i - 1)["pos"], F.col("p1")).alias("p1"), x["pos"].alias("end")))
-    longer = again.select("doc", "p0", F.explode(upto).alias("x")).select("doc", "p0", "x.run", "x.p1", "x.end")
-    more = _again(longer, "run").filter("later").select("doc", (F.col("p1") + 1).alias("p0"), F.col("end").alias("p1"))
-    return again.filter("later").select("doc", "p0", "p1").union(more)
+    """(doc, p0, p1, after): runs of lines that occur before, in an earlier document or earlier in the same one."""
+    found = materialize(windows(line_table(docs, text_col), min_words).filter("fp is not null or b_key is not null"))
+    # the first row of a run of min_words words is a window, so the lines that a run needs for its fingerprint are there
+    run = lambda *names: F.struct(*[F.col(c).alias(a) for c, a in zip(names, ("p0", "p1", "after", "fp", "key"), strict=True)])
+    both = F.filter(F.array(run("p0", "p1", "after", "fp", "key"), run("b0", "p0", "b_after", "b_fp", "b_key")), lambda x: x["key"].isNotNull())
+    runs = found.select("doc", F.explode(both).alias("x")).select("doc", "x.*").join(fingerprints(found), "fp").select("doc", "p0", "p1", "after", "key")
+    runs = materialize(runs)
+    first = runs.groupBy("key").agg(F.min(F.struct("doc", "p0")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return runs.join(first, "key").filter(F.struct("doc", "p0") != F.col("first")).select("doc", "p0", "p1", "after")
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
@@ -84,11 +123,13 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     The report's columns take the place of columns of docs with their names; without it all columns of docs stay.
     """
     keyed = docs.withColumn("__ld_doc", _key(id_col, text_col))
-    gone = repeated_runs(keyed, text_col, min_words).groupBy("doc").agg(F.collect_set(F.struct("p0", "p1")).alias("__ld_runs")).withColumnRenamed("doc", "__ld_at")
+    gone = repeated_runs(keyed, text_col, min_words).groupBy("doc").agg(F.collect_set(F.struct("p0", "p1", "after")).alias("__ld_runs")).withColumnRenamed("doc", "__ld_at")
     both = keyed.join(gone, keyed["__ld_doc"] == gone["__ld_at"], "left")
     lines = F.split(F.col(text_col), "\\n", -1)
     spots = F.array_distinct(F.flatten(F.transform("__ld_runs", lambda r: F.sequence(r["p0"], r["p1"]))))
     both = both.withColumn("__ld_gone", spots)
+    gap = F.filter("__ld_runs", lambda r: (r["after"] > r["p1"] + 1) & F.array_contains("__ld_gone", r["after"]))
+    both = both.withColumn("__ld_gone", F.array_union("__ld_gone", F.flatten(F.transform(gap, lambda r: F.sequence(r["p1"] + 1, r["after"] - 1)))))
     stay = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__ld_gone")), lambda i: x[i]), "\n"))
     text = F.when(F.col("__ld_gone").isNull(), F.col(text_col)).otherwise(stay)
     extra = [

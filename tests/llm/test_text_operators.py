@@ -236,31 +236,25 @@ def test_quality_target_counts_all_trusted_documents(spark, kind):
 # Line dedup --------------------------------------------------------------------------------------------------------
 
 
-def plain_clean(rows, least=50):
-    """Deletes lines by windows seen before, then what follows or precedes them as in the first place (brute force)."""
-    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
-    lines = {d: [(k, x) for k, x in enumerate(t.split("\n")) if x.split()] for d, t in order}
-    first, gone = {}, {d: set() for d in lines}
-    for d, _ in order:
-        ls = lines[d]
-        for i in range(len(ls)):
-            n, j = 0, i
-            while j < len(ls) and n < least:
-                n += len(ls[j][1].split())
-                j += 1
-            if n < least:
-                continue
-            key = tuple(x for _, x in ls[i:j])
-            if key not in first:
-                first[key] = (d, i, j)
-                continue
-            d0, i0, j0 = first[key]
-            while j < len(ls) and j0 < len(lines[d0]) and ls[j][1] == lines[d0][j0][1]:
-                j, j0 = j + 1, j0 + 1
-            while i > 0 and i0 > 0 and ls[i - 1][1] == lines[d0][i0 - 1][1]:
-                i, i0 = i - 1, i0 - 1
-            gone[d] |= set(range(ls[i][0], ls[j - 1][0] + 1))
-    return {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d]) for d, t in order}
+def plain_runs(rows, least=50):
+    """Lines that are in a run of `least` words or more that any earlier place has: longest runs over all pairs of places."""
+    lines = {d: [(k, x) for k, x in enumerate((t or "").split("\n")) if x.split()] for d, t in sorted(rows)}
+    size = {d: [len(x.split()) for _, x in a] for d, a in lines.items()}
+    gone = {d: set() for d in lines}
+    at = {}
+    for d, a in lines.items():
+        for i, (_, x) in enumerate(a):
+            for d0, j in at.setdefault(x, []):
+                b, n = lines[d0], 0
+                while i + n < len(a) and j + n < len(b) and a[i + n][1] == b[j + n][1]:
+                    n += 1
+                if sum(size[d][i : i + n]) >= least:
+                    gone[d] |= set(range(a[i][0], a[i + n - 1][0] + 1))
+            at[x].append((d, i))
+        for (p, _), (q, _) in zip(a, a[1:]):
+            if {p, q} <= gone[d]:
+                gone[d] |= set(range(p, q))
+    return {d: t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d]) for d, t in rows}
 
 
 def test_line_dedup_is_brute_force(spark):
@@ -275,7 +269,7 @@ def test_line_dedup_is_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r["doc_id"]: r["text"] for r in linededup.clean(df).collect()}
     # the order of documents with one id and of equal ids is the operator's; ids are distinct here
-    assert got == plain_clean(rows)
+    assert got == plain_runs(rows)
 
 
 def test_line_dedup_on_odd_rows(odd, none):
@@ -288,23 +282,7 @@ def test_line_dedup_on_odd_rows(odd, none):
 
 def test_line_dedup_on_documents(docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
-    assert {r["doc_id"]: r["text"] for r in linededup.clean(docs).collect()} == plain_clean(rows)
-
-
-def plain_runs(rows, least=50):
-    """Lines that are in a run of `least` words or more that any earlier place has (brute force over all pairs)."""
-    lines = {d: [(k, x) for k, x in enumerate(t.split("\n")) if x.split()] for d, t in sorted(rows)}
-    gone = {d: set() for d in lines}
-    for d, a in lines.items():
-        for d0, b in lines.items():
-            for i in range(len(a)) if d0 <= d else ():
-                for j in range(len(b) if d0 < d else i):
-                    n = 0
-                    while i + n < len(a) and j + n < len(b) and a[i + n][1] == b[j + n][1]:
-                        n += 1
-                    if n and sum(len(x.split()) for _, x in a[i : i + n]) >= least:
-                        gone[d] |= set(range(a[i][0], a[i + n - 1][0] + 1))
-    return {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d]) for d, t in rows}
+    assert {r["doc_id"]: r["text"] for r in linededup.clean(docs).collect()} == plain_runs(rows)
 
 
 def test_line_dedup_compares_with_every_earlier_place(spark):
@@ -317,6 +295,32 @@ def test_line_dedup_compares_with_every_earlier_place(spark):
     assert got == plain_runs(rows) and got[2] == "" and got[3] == "end"
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_line_dedup_on_partly_shared_tails(spark, seed):
+    """Runs with tails that only some places share, short lines everywhere, one line many times over."""
+    rng = np.random.default_rng(seed)
+    pool = ["ok", "go on", " ".join(f"long{i}" for i in range(60))] + [" ".join(f"w{k}_{i}" for i in range(rng.integers(1, 26))) for k in range(9)]
+    base = [pool[k] for k in rng.integers(0, len(pool), 40)]
+    rows = []
+    for d in range(70):
+        a, n = rng.integers(0, 30), rng.integers(1, 12)
+        b, m = rng.integers(0, 30), rng.integers(0, 8)
+        rows.append((d, "\n".join([*base[a : a + n], *["", pool[int(rng.integers(len(pool)))]] * int(rng.integers(0, 3)), *base[b : b + m]])))
+    rows += [(100, "\n".join(["same words here"] * 60)), (101, None), (102, ""), (103, "\n \n")]
+    got = {r["doc_id"]: r["text"] for r in linededup.clean(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == plain_runs(rows)
+
+
+def test_winnowing_selects_few_lines_and_misses_no_run(spark):
+    """Windows of many short lines share their smallest line; a run of min_words words always holds a selected one."""
+    rng = np.random.default_rng(9)
+    rows = [(d, "\n".join(f"a{x} b{x} c" for x in rng.integers(0, 10_000, 400))) for d in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("__ld_doc", linededup._key("doc_id", "text"))
+    found = linededup.windows(linededup.line_table(df))
+    picked = found.filter("new").count()
+    assert found.count() == 8000 and picked < 8000 * 0.2  # two of about 18 lines by theory
+
+
 # Decontamination ---------------------------------------------------------------------------------------------------
 
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
