@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROAD_CLASSES = ("motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential", "track", "service")
-#: Keys of interest in map elements.
-KEYS = ("highway", "waterway", "amenity", "healthcare", "emergency", "power", "place", "natural", "boundary")
-
-
-def travel_time_s(length_m: Column, road_class: Column, kmh: dict[str, float], default: float = 20.0) -> Column:
+#: Classes of roads for vehicles, and their free-flow speeds in km/h.
+ROAD_CLASSES = ("motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "unclassified", "residential", "living_street", "service", "road")
+SPEED_KMPH = {"motorway": 80.0, "motorway_link": 50.0, "trunk": 60.0, "trunk_link": 40.0, "primary": 50.0, "primary_link": 35.0, "secondary": 40.0, "secondary_link": 30.0, "tertiary": 30.0, "tertiary_link": 25.0, "unclassified": 20.0, "road": 20.0, "residential": 20.0, "living_street": 10.0, "service": 10.0}
+#: Kinds of waterways, of health amenities, and keys of interest in map elements.
+WATERWAYS = ("river", "stream", "canal", "drain", "ditch")
+HEALTH_AMENITY = ("hospital", "clinic", "doctors")
+KEYS = ("highway", "waterway", "amenity", "healthcare", "emergency", "social_facility", "power", "ford", "name")
+#: Kinds of places, and administrative levels of boundaries.
+PLACES = ("city", "town", "village", "hamlet", "suburb")
+LEVELS = ("4", "5")
+
+
+def travel_time_s(length_m: Column, road_class: Column, kmh: dict[str, float] = SPEED_KMPH, default: float = 20.0) -> Column:
+    """Seconds at the free-flow speed of the road's class, at `default` km/h where it has none."""
     speed = F.create_map(*[x for k, v in kmh.items() for x in (F.lit(k), F.lit(v))])
     return length_m / (F.coalesce(F.try_element_at(speed, F.coalesce(road_class, F.lit(""))), F.lit(default)) / 3.6)
 
@@ -32,7 +40,7 @@ def roads(elements: DataFrame, nodes: DataFrame, box: tuple[float, float, float,
     return _with_coords(way, nodes, box)
 
 
-def waterways(elements: DataFrame, nodes: DataFrame, box: tuple[float, float, float, float], kinds: tuple[str, ...] = ("river", "stream", "canal", "drain")) -> DataFrame:
+def waterways(elements: DataFrame, nodes: DataFrame, box: tuple[float, float, float, float], kinds: tuple[str, ...] = WATERWAYS) -> DataFrame:
     ww = F.try_element_at("tags", F.lit("waterway"))
     return _with_coords(elements.filter(ww.isin(*kinds)).select("way_id", ww.alias("waterway"), "refs"), nodes, box)
 
@@ -47,9 +55,25 @@ def _with_coords(way: DataFrame, nodes: DataFrame, box: tuple[float, float, floa
 
 
 def is_poi(tags: Column) -> Column:
-    """Health, shelter, emergency or power sites, and anything with a cyclone shelter's name."""
+    """Health, shelter, social, emergency or power sites, and anything with "cyclone" in its name."""
     get = lambda k: F.coalesce(F.try_element_at(tags, F.lit(k)), F.lit(""))
-    return get("amenity").isin("hospital", "clinic", "doctors", "health_post", "shelter") | (get("healthcare") != "") | get("emergency").isin("assembly_point", "shelter") | F.contains(F.lower(get("name")), F.lit("cyclone")) | (get("power") == "substation")
+    care = F.coalesce(F.map_contains_key(tags, "healthcare"), F.lit(False))
+    return get("amenity").isin(*HEALTH_AMENITY, "shelter", "social_facility") | care | get("emergency").isin("assembly_point", "shelter") | F.contains(F.lower(get("name")), F.lit("cyclone")) | (get("power") == "substation")
+
+
+def named_places(elements: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """(place_id, kind, name, name_te, name_hi, lon, lat) of places with a name inside the box; elements: place_id, lon, lat, tags."""
+    w, s, e, n = box
+    tag = lambda k: F.try_element_at("tags", F.lit(k))
+    inside = F.col("lon").between(w, e) & F.col("lat").between(s, n)
+    kept = elements.filter(F.coalesce(tag("place").isin(*PLACES), F.lit(False)) & tag("name").isNotNull() & inside)
+    return kept.select("place_id", tag("place").alias("kind"), tag("name").alias("name"), tag("name:te").alias("name_te"), tag("name:hi").alias("name_hi"), "lon", "lat")
+
+
+def boundaries(elements: DataFrame) -> DataFrame:
+    """Elements that are administrative boundaries of the two upper levels, or coastline."""
+    tag = lambda k: F.coalesce(F.try_element_at("tags", F.lit(k)), F.lit(""))
+    return elements.filter((tag("boundary") == "administrative") & tag("admin_level").isin(*LEVELS) | (tag("natural") == "coastline"))
 
 
 def ring_centroid(ring: Column) -> Column:
@@ -110,22 +134,65 @@ def culvert_pieces(edges: DataFrame, half: float = 10.0, least: float = 0.5) ->
     return parts.select("edge_id", "k", F.col("p.a").alias("a"), F.col("p.b").alias("b"), node(F.col("p.a")).alias("from_node"), node(F.col("p.b")).alias("to_node"), wet.alias("culvert"))
 
 
+def insert_culverts(edges: DataFrame, roads: DataFrame, waters: DataFrame, size: float, half: float = 10.0, least: float = 0.5) -> DataFrame:
+    """Edges with culverts where plain roads cross a waterway: (edge_id, piece, u, v, from_m, to_m, length, crossing_type).
+
+    edges: edge_id, u, v, length, crossing_type, tunnel. roads: road_id (an edge's id), line. waters: water_id, line, both
+    in metres. Tunnels, bridges and fords keep their edge as it is, as do roads that no water crosses; others are cut into
+    pieces of type none or culvert. `size` is the width of the grid on which lines meet.
+    """
+    from cutoffs.operators.spatial import crossings
+
+    plain = edges.filter((F.col("crossing_type") == "none") & ~F.coalesce("tunnel", F.lit(False)))
+    open_ = roads.join(plain.select(F.col("edge_id").alias("road_id")), "road_id", "left_semi")
+    at = crossings(open_, waters, size).groupBy(F.col("road_id").alias("edge_id")).agg(F.collect_set("dist").alias("dists"))
+    cut = culvert_pieces(plain.join(at, "edge_id").select("edge_id", "u", "v", "length", "dists"), half, least)
+    pieces = cut.select("edge_id", F.col("k").alias("piece"), F.col("from_node").alias("u"), F.col("to_node").alias("v"), F.col("a").alias("from_m"), F.col("b").alias("to_m"), (F.col("b") - F.col("a")).alias("length"), F.when(F.col("culvert"), "culvert").otherwise("none").alias("crossing_type"))
+    whole = edges.join(at.select("edge_id"), "edge_id", "left_anti")
+    whole = whole.select("edge_id", F.lit(0).alias("piece"), F.col("u").cast("long"), F.col("v").cast("long"), F.lit(0.0).alias("from_m"), F.col("length").alias("to_m"), "length", "crossing_type")
+    return whole.union(pieces)
+
+
 def merge_lines(ways: DataFrame) -> DataFrame:
     """(component, way_id, seq, length): chains of ways joined at their ends, in order; the longest chain is the coast.
 
-    ways: way_id, first, last (end nodes), length; a way runs from first to last, and the next begins where it ends.
+    ways: way_id, first, last (end nodes), length; a way runs from first to last, and the next begins where it ends. Of
+    several ways that end in a node, the one with the smallest id leads on, to the smallest that begins there; the others
+    end or begin chains. A closed ring is cut before its smallest way. component is the smallest way of the chain.
     """
-    from cutoffs.contraction import connected_components
     from cutoffs.session import materialize
 
-    comp = connected_components(ways.select(F.col("first").alias("u"), F.col("last").alias("v")))
-    nxt = ways.select(F.col("way_id").alias("prev"), F.col("last").alias("first"))
-    # steps back to the head of the chain, by doubling
-    cur = materialize(ways.join(nxt, "first", "left").select("way_id", F.when(F.col("prev") != F.col("way_id"), F.col("prev")).alias("to"), F.when(F.col("prev") != F.col("way_id"), 1).otherwise(0).alias("seq")))
-    for _ in range(40):
-        if cur.filter("to is not null").isEmpty():
-            break
-        up = cur.select(F.col("way_id").alias("to"), F.col("to").alias("_next"), F.col("seq").alias("_s"))
-        cur = materialize(cur.join(up, "to", "left").select("way_id", F.col("_next").alias("to"), (F.col("seq") + F.coalesce("_s", F.lit(0))).alias("seq")))
-    out = ways.join(comp, ways["first"] == comp["node"]).join(cur.select("way_id", "seq"), "way_id")
-    return out.select("component", "way_id", "seq", "length")
+    w = materialize(ways.select("way_id", "first", "last", F.col("length").cast("double").alias("length")))
+    ends = w.groupBy("last").agg(F.min("way_id").alias("prev")).withColumnRenamed("last", "first")
+    starts = w.groupBy("first").agg(F.min("way_id").alias("way_id"))
+    link = starts.join(ends, "first").filter("way_id <> prev").select("way_id", "prev")
+    # steps back to the head of the chain, by doubling; the smallest way passed tells rings, which have no head
+    cur = w.join(link, "way_id", "left").select("way_id", F.col("prev").alias("to"), F.when(F.col("prev").isNotNull(), 1).otherwise(0).cast("long").alias("seq"), F.least("way_id", "prev").alias("low"))
+    cur = materialize(cur)
+    rounds = max(1, int(w.count()).bit_length())
+
+    def follow(cur: DataFrame) -> DataFrame:
+        """Doubles the pointers until all have reached a head, or for as long as a chain of all ways would need."""
+        for _ in range(rounds):
+            if cur.filter("to is not null").isEmpty():
+                break
+            up = cur.select(F.col("way_id").alias("to"), F.col("to").alias("_next"), F.col("seq").alias("_s"), F.col("low").alias("_low"))
+            cur = materialize(cur.join(up, "to", "left").select("way_id", F.col("_next").alias("to"), (F.col("seq") + F.coalesce("_s", F.lit(0))).alias("seq"), F.least("low", "_low").alias("low")))
+        return cur
+
+    done = follow(cur)
+    ring = done.filter("to is not null").select("way_id", "low")
+    if not ring.isEmpty():
+        cut = materialize(cur.select("way_id", "to", F.least("way_id", "to").alias("_l")).join(ring, "way_id"))
+        first = F.col("way_id") == F.col("low")
+        again = cut.select("way_id", F.when(~first, F.col("to")).alias("to"), F.when(first, 0).otherwise(1).cast("long").alias("seq"), F.least("way_id", F.when(~first, F.col("to"))).alias("low"))
+        done = done.filter("to is null").union(follow(materialize(again)))
+    # every way of a chain knows its own steps only; the head is the chain's way without any
+    name = materialize(done.select("way_id", "seq", "low"))
+    heads = name.join(link, "way_id", "left")
+    pairs = heads.filter("seq > 0").select(F.col("way_id").alias("u"), F.col("prev").alias("v"))
+    from cutoffs.contraction import connected_components
+
+    comp = connected_components(pairs).toDF("way_id", "component")
+    out = w.join(name, "way_id").join(comp, "way_id", "left")
+    return out.select(F.coalesce("component", "way_id").alias("component"), "way_id", "seq", "length")

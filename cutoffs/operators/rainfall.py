@@ -9,8 +9,8 @@ from cutoffs.session import materialize
 
 #: Rain that roads bear without flooding (mm), depth per mm, largest depth, margin for a closed road (m).
 R0_MM, K_M_PER_MM, H_MAX_M, CLOSED_M = 50.0, 0.02, 5.0, 0.3
-#: Height of the road bed over the ground by class of road, in metres.
-BED = {"motorway": 1.0, "trunk": 1.0, "primary": 1.0, "secondary": 0.6, "tertiary": 0.6}
+#: Height of the road bed over the ground by class of road, in metres.
+BED = {"motorway": 1.0, "motorway_link": 1.0, "trunk": 1.0, "trunk_link": 1.0, "primary": 1.0, "primary_link": 1.0, "secondary": 0.6, "secondary_link": 0.6, "tertiary": 0.6, "tertiary_link": 0.6}
 BED_OTHER = 0.3
 SURGE_DECAY_M_PER_KM = 0.083
 
@@ -62,22 +62,71 @@ def member_rmax_km(rmw_km: Column, v: Column, lat: Column) -> Column:
     return F.when(rmw_km > 5, rmw_km).otherwise(willoughby_rmax_km(F.coalesce(v, F.lit(25.0)), lat))
 
 
-def match_areas(texts: DataFrame, areas: DataFrame) -> DataFrame:
+#: Phrases for parts of a state, and the regions that they mean.
+REGION_PHRASES = {"north coastal": "north_coastal", "south coastal": "south_coastal", "rayalaseema": "rayalaseema"}
+
+
+def match_areas(texts: DataFrame, areas: DataFrame, state: str, phrases: dict[str, str] = REGION_PHRASES) -> DataFrame:
     """Which areas a text names: (text_id, area, tier), or a null area for a text to be reviewed.
 
-    areas: (name, variants ARRAY, region), a gazetteer of bounded size that goes to all tasks. Tier 1: an area's name or variant stands in the text
-    as words; tier 2: its region does; only the best tier of a text counts.
+    areas: name, variants ARRAY, subdivision, region. Only the best tier of a text counts. Tier 1: an area's name or
+    variant stands in the text as words; 2: a phrase for a region, the first in the order given; 3: "coastal" and the
+    state, for the areas of a coastal subdivision or region; 4: the state, for all areas. Names meet texts by their
+    words, so that no text is held against the whole list.
+    """
+    norm = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z ]", " "), " +", " "))
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    t = texts.select("text_id", norm(F.coalesce("text", F.lit(""))).alias("t"))
+    names = areas.select(F.col("name").alias("area"), F.explode(F.concat(F.array("name"), F.coalesce("variants", F.array().cast("array<string>")))).alias("n")).select("area", norm(F.col("n")).alias("n")).filter("n <> ''").distinct()
+    first_word = names.withColumn("w", F.split("n", " ")[0])
+    words = t.select("text_id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
+    named = words.join(first_word, "w").filter(F.contains(padded(F.col("t")), padded(F.col("n")))).select("text_id", "area").distinct().withColumn("tier", F.lit(1))
+    # other texts: one of the regions, or a part of the state
+    rest = t.join(named.select("text_id"), "text_id", "left_anti")
+    region = F.lit(None).cast("string")
+    for phrase, name in reversed(phrases.items()):
+        region = F.when(F.contains("t", F.lit(phrase)), name).otherwise(region)
+    whole = F.contains("t", norm(F.lit(state)))
+    group = F.when(region.isNotNull(), F.concat(F.lit("region "), region)).when(whole & F.contains("t", F.lit("coastal")), "coastal").when(whole, "state")
+    rest = rest.select("text_id", group.alias("g"), F.when(region.isNotNull(), 2).when(whole & F.contains("t", F.lit("coastal")), 3).when(whole, 4).alias("tier"))
+    coastal = F.coalesce(F.startswith("subdivision", F.lit("Coastal")), F.lit(False)) | F.coalesce(F.endswith("region", F.lit("coastal")), F.lit(False))
+    of = areas.select(F.col("name").alias("area"), F.explode(F.array_compact(F.array(F.concat(F.lit("region "), F.col("region")), F.when(coastal, "coastal"), F.lit("state")))).alias("g"))
+    return named.union(rest.join(of.distinct(), "g", "left").select("text_id", "area", F.when(F.col("area").isNotNull(), F.col("tier"))))
+
+
+def member_surge(members: DataFrame, coast: DataFrame, cells: DataFrame, track: DataFrame, keys: list[str], timing_km: float = 50.0, stretch_km: float = 25.0) -> DataFrame:
+    """Surge of each member over low cells: (keys, row, col, depth, onset) of the cells that flood.
+
+    members: keys, peak_m, s_landfall_km, right_sign, rmax_km. coast: coast_id, x_km, y_km, s_km. cells: row, col, elev,
+    d_km, coast_id, seed. track: keys, hour, x_km, y_km. The peak stands rmax to the right of the landfall and falls off
+    along the coast; the level falls with the distance from the coast; a cell floods where the level is over its
+    elevation and wet cells join it to a seed. Onset is the first hour at which the member's centre is within
+    rmax + timing_km of the cell's coast point, infinity if it never is. Members without a landfall (no s_landfall_km)
+    flood nothing.
     """
-    norm = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), "[^a-z]+", " ")), F.lit(" "))
-    names = areas.select(F.col("name").alias("area"), F.explode(F.concat(F.array("name"), "variants")).alias("n"), F.lit(1).alias("tier")).union(areas.select("name", "region", F.lit(2)))
-    names = names.select("area", "tier", norm(F.col("n")).alias("n")).filter("trim(n) <> ''").distinct()
-    # each text is compared with the whole list as one array, so that no pairs of rows are made
-    listed = names.agg(F.collect_list(F.struct("area", "tier", "n")).alias("all"))
-    t = texts.select("text_id", norm(F.coalesce("text", F.lit(""))).alias("t")).join(F.broadcast(listed))
-    hits = t.select("text_id", F.filter("all", lambda a: F.contains(F.col("t"), a["n"])).alias("h"))
-    best = F.array_min(F.transform("h", lambda a: a["tier"]))
-    top = hits.select("text_id", F.array_distinct(F.transform(F.filter("h", lambda a: a["tier"] == best), lambda a: F.struct(a["area"], a["tier"]))).alias("h"))
-    return top.select("text_id", F.explode_outer("h").alias("m")).select("text_id", "m.area", "m.tier")
+    from cutoffs.operators import spatial, terrain
+
+    # along the coast a member reaches as far as its water is over the lowest cell; places meet in stretches of the coast
+    low = cells.groupBy("coast_id").agg(F.min(F.col("elev") + SURGE_DECAY_M_PER_KM * F.col("d_km")).alias("_low"))
+    least = max(1e-3, low.agg(F.min("_low")).first()[0] or 0.0)
+    peak_at = F.col("s_landfall_km") + F.col("right_sign") * F.col("rmax_km")
+    reach = 2 * F.col("rmax_km") * F.sqrt(2 * F.log(F.col("peak_m") / least))
+    m = members.filter(F.col("s_landfall_km").isNotNull() & (F.col("peak_m") > least)).withColumns({"_at": peak_at, "_reach": reach})
+    m = m.withColumn("_b", F.explode(F.sequence(F.floor((F.col("_at") - F.col("_reach")) / stretch_km), F.floor((F.col("_at") + F.col("_reach")) / stretch_km))))
+    line = coast.join(low, "coast_id").withColumn("_b", F.floor(F.col("s_km") / stretch_km))
+    hit = m.join(line, "_b").withColumn("h", alongshore_profile(F.col("s_km"), F.col("peak_m"), F.col("_at"), F.col("rmax_km")))
+    hit = hit.filter("h > _low").select(*keys, "coast_id", "h", "rmax_km", "x_km", "y_km")
+    hit = materialize(hit)
+    level = hit.select(*keys, "coast_id", "h").join(cells, "coast_id").withColumn("depth", surge_depth(F.col("h"), F.col("d_km"), F.col("elev")))
+    wet = materialize(level.filter("depth is not null").select(*keys, "row", "col", "seed", "coast_id", "depth"))
+    flooded = terrain.flood_fill(wet, keys)
+    width = (members.agg(F.max("rmax_km")).first()[0] or 0.0) + timing_km
+    left = hit.select(*keys, F.col("coast_id").alias("id"), F.col("x_km").alias("x"), F.col("y_km").alias("y"), "rmax_km")
+    right = track.select(*keys, "hour", F.col("x_km").alias("rx"), F.col("y_km").alias("ry"))
+    near = spatial.near_pairs(left, right, width, keys).filter(F.col("dist") <= F.col("rmax_km") + timing_km)
+    onset = near.groupBy(*keys, F.col("id").alias("coast_id")).agg(F.min("hour").cast("double").alias("onset"))
+    out = wet.join(flooded, [*keys, "row", "col"]).join(onset, [*keys, "coast_id"], "left")
+    return out.select(*keys, "row", "col", "depth", F.coalesce("onset", F.lit(float("inf"))).alias("onset"))
 
 
 def coverage_table(warnings: DataFrame, fractions: dict[str, float]) -> DataFrame:

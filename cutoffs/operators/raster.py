@@ -101,10 +101,20 @@ def edge_minima(samples: DataFrame, end_m: float = 200.0) -> DataFrame:
 
 
 def exceedance(pixels: DataFrame, floods: DataFrame) -> DataFrame:
-    """(row, col, p): weight of the members (patch, member, h, w) whose flood height is over hand + 0.3, by pixel patch."""
-    per = floods.groupBy("patch", "h").agg(F.sum("w").alias("w"))
-    both = pixels.join(per, "patch")
-    return both.groupBy("row", "col").agg(F.sum(F.when(F.col("h") > F.col("hand") + 0.3, F.col("w")).otherwise(0.0)).alias("p"))
+    """(row, col, p): weight of the members (patch, member, h, w) whose flood height is over hand + 0.3, by pixel patch.
+
+    A patch's heights are one array with their weights, so that each pixel stays one row; pixels without a height are 0.
+    """
+    per = floods.groupBy("patch", "h").agg(F.sum("w").alias("w")).groupBy("patch").agg(F.collect_list(F.struct("h", "w")).alias("_m"))
+    over = F.filter("_m", lambda x: x["h"] > F.col("hand") + 0.3)
+    return pixels.join(per, "patch").select("row", "col", F.aggregate(over, F.lit(0.0), lambda a, x: a + x["w"]).alias("p"))
+
+
+def percentiles(pixels: DataFrame, shares: list[float], value: str = "value") -> DataFrame:
+    """One row of linear percentiles p10, p50 and so on: values are counted before they meet, so one task gets each once."""
+    per = pixels.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    p = per.agg(F.percentile(value, F.array(*[F.lit(x) for x in shares]), F.col("_n")).alias("p"))
+    return p.select(*[F.col("p")[i].alias(f"p{round(100 * x)}") for i, x in enumerate(shares)])
 
 
 def surge_summary(cells: DataFrame) -> DataFrame:

@@ -80,8 +80,10 @@ def hourly(tracks: DataFrame, keys: list[str] | None = None, metrics: list[str]
     down = Window.partitionBy(*keys).orderBy(F.desc("_t"), "_q").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     point = lambda m: F.when(F.col(m).isNotNull(), F.struct(F.col("_t").alias("t"), F.col(m).alias("v")))
-    for m in metrics:
-        both = both.withColumn(f"_a_{m}", F.last(point(m), ignorenulls=True).over(up)).withColumn(f"_b_{m}", F.last(point(m), ignorenulls=True).over(down)).withColumn(f"_n_{m}", F.count(m).over(whole))
+    # all metrics in one window of each order
+    both = both.withColumns({f"_b_{m}": F.last(point(m), ignorenulls=True).over(down) for m in metrics})
+    both = both.withColumns({f"_a_{m}": F.last(point(m), ignorenulls=True).over(up) for m in metrics})
+    both = both.withColumns({f"_n_{m}": F.count(m).over(whole) for m in metrics})
 
     def value(m: str) -> Column:
         a, b = F.col(f"_a_{m}"), F.col(f"_b_{m}")
@@ -121,9 +123,11 @@ def align(members: DataFrame, official: DataFrame, taper_h: float = 24.0) -> Dat
 
 def alignment_report(aligned: DataFrame, official: DataFrame) -> DataFrame:
     """Per source: common hours, largest shift in km, median wind factor."""
-    both = aligned.join(official.select("valid_utc").distinct(), "valid_utc", "left_semi").select("source", "valid_utc", "dlat", "dlon", "vscale", "lat").distinct()
+    both = aligned.join(official.select("valid_utc").distinct(), "valid_utc", "left_semi")
     shift = F.hypot(F.col("dlat") * 111.195, F.col("dlon") * 111.195 * F.cos(F.radians("lat")))
-    return both.groupBy("source").agg(F.countDistinct("valid_utc").alias("hours"), F.max(shift).alias("max_shift_km"), F.percentile("vscale", F.lit(0.5)).alias("median_vscale"))
+    # a source has one factor for each hour
+    per = both.groupBy("source", "valid_utc").agg(F.max(shift).alias("_shift"), F.max("vscale").alias("_v"))
+    return per.groupBy("source").agg(F.count("*").alias("hours"), F.max("_shift").alias("max_shift_km"), F.percentile("_v", F.lit(0.5)).alias("median_vscale"))
 
 
 def gradient(value: Column, hour: Column, by: Window) -> Column:
@@ -150,10 +154,20 @@ def fix_speeds(fixes: DataFrame, keys: list[str], lead: str = "lead_h") -> DataF
     return out.groupBy(*keys).agg(F.max("_v").alias("max_kmh"), F.bool_and("_up").alias("monotone"))
 
 
+#: Places that a fix meets in one block.
+BLOCK_PLACES = 1000
+
+
 def closest_approach(tracks: DataFrame, places: DataFrame, keys: list[str], place: str = "place") -> DataFrame:
-    """(keys, place, km): smallest distance of each track to each of a few places (a stated set, sent to all tasks)."""
-    p = places.select(place, F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
-    pairs = tracks.join(F.broadcast(p))
+    """(keys, place, km): smallest distance of each track to each place of a stated set.
+
+    The places are dealt to blocks and the fixes meet one block after another, as the result has a row for each track and
+    place; each task keeps the smallest distances of its fixes before anything moves.
+    """
+    blocks = max(1, -(-places.count() // BLOCK_PLACES))
+    p = places.select(place, F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), F.pmod(F.xxhash64(place), F.lit(blocks)).alias("_block"))
+    fixes = tracks.select(*keys, "lat", "lon", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
+    pairs = fixes.join(p, "_block")
     return pairs.groupBy(*keys, place).agg(F.min(haversine_km(F.col("lat"), F.col("lon"), F.col("_plat"), F.col("_plon"))).alias("km"))
 
 

@@ -27,27 +27,33 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, extra: list[str
     return out.filter(F.col("dist") <= radius).drop("_cx", "_cy")
 
 
-def nearest(left: DataFrame, right: DataFrame, first_radius: float, rounds: int = 20) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, first_radius: float) -> DataFrame:
     """(left columns, rid, dist) of the nearest right point (ties: smallest rid), by rings of growing radius.
 
-    Points that find none within a radius go on to the next, twice as large; a null rid is left if right is empty.
+    Points that find none within a radius go on to the next, twice as large, until all have one. A null rid is left where
+    a point has no place, or if no right point has one.
     """
-    done, rest, radius = None, materialize(left), first_radius
-    right = materialize(right.select("rid", "rx", "ry"))
     cols = left.columns
-    for k in range(rounds):
-        if right.isEmpty():
-            break
+    placed = materialize(left.withColumn("_ok", _placed("x", "y")))
+    done, rest, radius = placed.filter("not _ok").select(*cols), placed.filter("_ok").select(*cols), first_radius
+    right = materialize(right.select("rid", "rx", "ry").filter(_placed("rx", "ry")))
+    no = [F.lit(None).cast(right.schema["rid"].dataType).alias("rid"), F.lit(None).cast("double").alias("dist")]
+    if right.isEmpty():
+        return left.select(*cols, *no)
+    done = done.select(*cols, *no)
+    while not rest.isEmpty():
         best = near_pairs(rest.select("id", "x", "y"), right, radius).groupBy("id").agg(F.min(F.struct("dist", "rid")).alias("_m"))
         both = materialize(rest.join(best, "id", "left"))
         hit = both.filter("_m is not null").select(*cols, F.col("_m.rid").alias("rid"), F.col("_m.dist").alias("dist"))
-        done = hit if done is None else done.union(hit)
+        done = done.union(hit)
         rest = both.filter("_m is null").select(*cols)
-        if rest.isEmpty():
-            return done
         radius *= 2
-    left_over = rest.withColumn("rid", F.lit(None).cast(right.schema["rid"].dataType)).withColumn("dist", F.lit(None).cast("double"))
-    return left_over if done is None else done.union(left_over)
+    return done
+
+
+def _placed(x: str, y: str) -> Column:
+    """Whether both coordinates are finite numbers."""
+    return F.coalesce((F.abs(F.col(x)) < 1e300) & (F.abs(F.col(y)) < 1e300), F.lit(False))
 
 
 def snap(points: DataFrame, nodes: DataFrame, max_m: float = 2000.0, first_radius: float = 500.0) -> DataFrame:
@@ -111,11 +117,23 @@ def segments(lines: DataFrame, line: str = "line", keep: list[str] | None = None
     return out.select(*(keep or []), "seq", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
 
 
-def line_distance(points: DataFrame, lines: DataFrame, first_radius: float, rounds: int = 20) -> DataFrame:
+def line_distance(points: DataFrame, lines: DataFrame, first_radius: float, most: float | None = None) -> DataFrame:
     """(id, line_id, dist): nearest line of each point (ties: smallest line_id), by boxes of growing width."""
-    seg = materialize(segments(lines, "line", ["line_id"]))
-    done, rest, radius = None, materialize(points.select("id", "x", "y")), first_radius
-    for _ in range(rounds):
+    return segment_nearest(points, segments(lines, "line", ["line_id"]), first_radius, most)
+
+
+def segment_nearest(points: DataFrame, seg: DataFrame, first_radius: float, most: float | None = None) -> DataFrame:
+    """(id, line_id, dist): the nearest of segments (line_id, ax, ay, bx, by), which a line may have in any number of rows.
+
+    Points without a place, and those with none within `most`, are left out; so are all if there is no segment.
+    """
+    seg = materialize(seg.select("line_id", "ax", "ay", "bx", "by").filter(_placed("ax", "ay") & _placed("bx", "by")))
+    rest, radius = materialize(points.select("id", "x", "y").filter(_placed("x", "y"))), first_radius
+    done = rest.limit(0).select("id", F.lit(None).cast(seg.schema["line_id"].dataType).alias("line_id"), F.lit(None).cast("double").alias("dist"))
+    if seg.isEmpty():
+        return done
+    while not rest.isEmpty():
+        radius = radius if most is None else min(radius, most)
         x, y = F.least("ax", "bx"), F.least("ay", "by")
         span = lambda lo, hi, r=radius: F.explode(F.sequence(F.floor((lo - r) / r), F.floor((hi + r) / r)))
         cover = seg.withColumn("_cx", span(x, F.greatest("ax", "bx"))).withColumn("_cy", span(y, F.greatest("ay", "by")))
@@ -123,11 +141,10 @@ def line_distance(points: DataFrame, lines: DataFrame, first_radius: float, roun
         d = segment_distance(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
         best = p.join(cover, ["_cx", "_cy"]).withColumn("dist", d).filter(F.col("dist") <= radius).groupBy("id").agg(F.min(F.struct("dist", "line_id")).alias("_m"))
         both = materialize(rest.join(best, "id", "left"))
-        hit = both.filter("_m is not null").select("id", F.col("_m.line_id").alias("line_id"), F.col("_m.dist").alias("dist"))
-        done = hit if done is None else done.union(hit)
-        rest = both.filter("_m is null").select("id", "x", "y")
-        if rest.isEmpty():
+        done = done.union(both.filter("_m is not null").select("id", F.col("_m.line_id").alias("line_id"), F.col("_m.dist").alias("dist")))
+        if radius == most:
             break
+        rest = both.filter("_m is null").select("id", "x", "y")
         radius *= 2
     return done
 
@@ -198,18 +215,20 @@ def within_distance(points: DataFrame, polygons: DataFrame, distance: float) ->
     """Points inside a polygon or at most `distance` from its ring."""
     rings = polygons.select(F.col("polygon_id").alias("line_id"), F.col("ring").alias("line"))
     held = within(points, polygons, distance).filter("polygon_id is not null").select("id")
-    near = line_distance(points, rings, distance, rounds=1).select("id")
+    near = line_distance(points, rings, distance, most=distance).select("id")
     return points.join(held.union(near).distinct(), "id", "left_semi")
 
 
 def landfall(tracks: DataFrame, coast: DataFrame, size: float, keys: list[str]) -> DataFrame:
     """First crossing of each track (keys, step, x, y) with the coast (coast_id, x, y, s): step, alongshore s, side.
 
+    coast_id counts the points along the coast; where a number is missing the coast has a gap.
     side is the sign of the coast's direction against the track's: +1 if the coast runs from right to left.
     """
-    by, along = Window.partitionBy(*keys).orderBy("step"), Window.orderBy("coast_id")
+    by = Window.partitionBy(*keys).orderBy("step")
     t = tracks.select(*keys, "step", F.col("x").alias("ax"), F.col("y").alias("ay"), F.lead("x").over(by).alias("bx"), F.lead("y").over(by).alias("by")).filter("bx is not null")
-    c = coast.select("s", F.col("x").alias("cx"), F.col("y").alias("cy"), F.lead("x").over(along).alias("dx"), F.lead("y").over(along).alias("dy"), F.lead("s").over(along).alias("s1")).filter("dx is not null")
+    ahead = coast.select((F.col("coast_id") - 1).alias("coast_id"), F.col("x").alias("dx"), F.col("y").alias("dy"), F.col("s").alias("s1"))
+    c = coast.select("coast_id", "s", F.col("x").alias("cx"), F.col("y").alias("cy")).join(ahead, "coast_id").drop("coast_id")
     span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size)))
     t = t.withColumn("_cx", span("ax", "bx")).withColumn("_cy", span("ay", "by"))
     c = c.withColumn("_cx", span("cx", "dx")).withColumn("_cy", span("cy", "dy"))

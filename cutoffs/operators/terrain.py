@@ -62,14 +62,21 @@ def flow_directions(levels: DataFrame) -> DataFrame:
     return lv.join(pick.select(F.col("a").alias("cell"), F.col("m.b").alias("to")), "cell", "left").select("cell", F.when(F.col("outlet"), F.col("cell")).otherwise(F.coalesce("to", "cell")).alias("down"))
 
 
+def _rounds(cells: DataFrame) -> range:
+    """As many doublings as the longest path through all cells can need, and one to see that nothing moves."""
+    return range(int(cells.count()).bit_length() + 2)
+
+
 def accumulate(down: DataFrame) -> DataFrame:
     """(cell, acc): cells that drain through each cell, itself included."""
     cur = materialize(down.select("cell", F.when(F.col("down") != F.col("cell"), F.col("down")).alias("to"), F.lit(1).cast("long").alias("acc")))
-    while not cur.filter("to is not null").isEmpty():
+    for _ in _rounds(cur):
+        if cur.filter("to is not null").isEmpty():
+            return cur.select("cell", "acc")
         add = cur.filter("to is not null").groupBy("to").agg(F.sum("acc").alias("_add")).withColumnRenamed("to", "cell")
         up = cur.select(F.col("cell").alias("to"), F.col("to").alias("_next"))
         cur = materialize(cur.join(add, "cell", "left").join(up, "to", "left").select("cell", F.col("_next").alias("to"), (F.col("acc") + F.coalesce("_add", F.lit(0))).alias("acc")))
-    return cur.select("cell", "acc")
+    raise ValueError("the pointers from cell to cell run in a circle")
 
 
 def height_above_drainage(cells: DataFrame, stream_cells: int = 124) -> DataFrame:
@@ -83,12 +90,14 @@ def height_above_drainage(cells: DataFrame, stream_cells: int = 124) -> DataFram
     acc = accumulate(down)
     all_ = materialize(lv.join(down, "cell").join(acc, "cell").withColumn("drain", (F.col("acc") >= stream_cells) | F.col("outlet") | F.col("water")))
     cur = materialize(all_.select("cell", F.when(F.col("drain"), F.col("cell")).otherwise(F.col("down")).alias("to")))
-    while True:
+    for _ in _rounds(cur):
         up = cur.select(F.col("cell").alias("to"), F.col("to").alias("_next"))
         nxt = materialize(cur.join(up, "to", "left").select("cell", F.coalesce("_next", "to").alias("to"), (F.coalesce("_next", "to") != F.col("to")).alias("_moved")))
         cur = nxt.select("cell", "to")
         if nxt.filter("_moved").isEmpty():
             break
+    else:
+        raise ValueError("the pointers from cell to cell run in a circle")
     base = all_.select(F.col("cell").alias("to"), F.col("elev").alias("_base"))
     out = all_.join(cur, "cell").join(base, "to")
     return out.select("row", "col", "elev", "level", "acc", F.greatest(F.lit(0.0), F.col("elev") - F.col("_base")).alias("hand"))

@@ -34,26 +34,47 @@ def g4(spark, sf):
     return out.select("member", "node", status.alias("status"), F.when(status == "cut", F.col("b")).alias("b"))
 
 
-@query(
-    "G5_referral_runs",
-    _B.replace("m AS (SELECT DISTINCT member FROM e)", "m AS (SELECT DISTINCT member FROM e WHERE member = 0)").replace("d AS (SELECT member", "d AS (SELECT member", 1)
-    + " SELECT 'far' AS target_class, node, b FROM b WHERE member = 0 AND isfinite(b)",
-)
+@query("G4_ensemble")
+def g4_ensemble(spark, sf):
+    """Fifty members, each with all edges and closing hours of its own: nodes cut off by member (brute force in tests)."""
+    members = spark.range(50).select(F.col("id").cast("int").alias("member"))
+    edges, sources = sql(spark, sf, EDGES).drop("member").join(F.broadcast(members)), sql(spark, sf, SOURCES).join(F.broadcast(members))
+    hour = F.when(F.col("c") == float("inf"), F.col("c")).otherwise((F.col("c") * 5 + F.col("member") * 17) % 73)
+    out = reach.isolation_times(edges.withColumn("c", hour), sources, ["member"])
+    return out.groupBy("member").agg(F.count("*").alias("nodes"), F.count(F.when(F.col("b") < 24, 1)).alias("cut"), F.sum(F.when(F.abs("b") < 1e9, F.col("b"))).alias("hours"))
+
+
+#: The recursion for two classes of targets at once.
+_BC = f"""WITH RECURSIVE e AS ({EDGES}), s0 AS ({SOURCES}), s AS (SELECT 'far' AS target_class, * FROM s0 UNION ALL SELECT 'near', * FROM s0 WHERE a < 50), m AS (SELECT DISTINCT member FROM e), k AS (SELECT DISTINCT target_class FROM s),
+d AS (SELECT member, u AS x, v AS y, max(c) AS c FROM e GROUP BY ALL UNION ALL SELECT member, v, u, max(c) FROM e GROUP BY ALL),
+r(target_class, member, node, b) AS (SELECT target_class, member, node, a FROM m, s UNION SELECT r.target_class, d.member, d.y, least(r.b, d.c) FROM r JOIN d ON r.member = d.member AND r.node = d.x),
+n AS (SELECT target_class, member, x AS node FROM d, k UNION SELECT target_class, member, node FROM m, s)
+SELECT n.target_class, n.member, n.node, coalesce(max(r.b), CAST('-Infinity' AS DOUBLE)) AS b FROM n LEFT JOIN r ON n.target_class = r.target_class AND n.member = r.member AND n.node = r.node GROUP BY ALL"""
+
+
+@query("G5_referral_runs", _BC)
 def g5(spark, sf):
     edges, sources = inputs(spark, sf)
     near = sources.filter("a < 50").withColumn("target_class", F.lit("near"))
     out = reach.referral_runs(edges, sources.withColumn("target_class", F.lit("far")).union(near), ["member"])
-    return out.filter("member = 0 and target_class = 'far' and b > double('-infinity') and b < double('infinity')").select("target_class", "node", "b")
+    return out.select("target_class", "member", "node", "b")
 
 
-@query("G6_critical_edges", f"{_B} SELECT member, node, b FROM b WHERE isfinite(b)")
+@query("G6_critical_edges", f"{_B} SELECT member, node, b, CASE WHEN b NOT IN (SELECT a FROM s) THEN 'edge' WHEN NOT EXISTS (SELECT 1 FROM e WHERE e.member = b.member AND e.c = b.b) THEN 'target' ELSE 'either' END AS set_by FROM b WHERE isfinite(b)")
 def g6(spark, sf):
-    """Critical edges, checked by the hour that they set: the edge's hour where there is one, else the availability's."""
+    """What sets each node's hour: an edge that closes then, a target that is available until then, or either of both.
+
+    A critical edge of another hour, or one given where no edge closes then, or none where no target ends then, is wrong.
+    """
     edges, sources = inputs(spark, sf)
     out = reach.isolation_times(edges, sources, ["member"]).filter("b > double('-infinity') and b < double('infinity')")
-    hour = edges.select("member", F.col("edge_id").alias("critical_edge"), F.col("c").alias("b"), F.lit(True).alias("set")).distinct()
-    out = out.join(hour, ["member", "critical_edge", "b"], "left")
-    return out.filter("set or critical_edge = -1").select("member", "node", "b")
+    edge = edges.select("member", F.col("edge_id").alias("critical_edge"), F.col("c").alias("_c"))
+    closes = edges.select("member", F.col("c").alias("b"), F.lit(True).alias("_closes")).distinct()
+    ends = sources.select(F.col("a").alias("b"), F.lit(True).alias("_ends")).distinct()
+    out = out.join(edge, ["member", "critical_edge"], "left").join(closes, ["member", "b"], "left").join(ends, "b", "left")
+    right = F.when(F.col("critical_edge") >= 0, F.col("_c") == F.col("b")).otherwise(F.col("_ends").isNotNull())
+    set_by = F.when(~F.coalesce(right, F.lit(False)), "wrong").when(F.col("_ends").isNull(), "edge").when(F.col("_closes").isNull(), "target").otherwise("either")
+    return out.select("member", "node", "b", set_by.alias("set_by"))
 
 
 @query(

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from cutoffs.operators import impact, rainfall
 from cutoffs.registry import query, sql
 
-ROADS = """SELECT p_partkey AS edge_id, CAST(p_size AS DOUBLE) / 10 AS hand, CASE p_partkey % 4 WHEN 0 THEN 'primary' WHEN 1 THEN 'tertiary' WHEN 2 THEN 'track' END AS road_class FROM part"""
-_BED = "CASE WHEN road_class = 'primary' THEN 1.0e0 WHEN road_class = 'tertiary' THEN 0.6e0 ELSE 0.3e0 END"
+ROADS = """SELECT p_partkey AS edge_id, CAST(p_size AS DOUBLE) / 10 AS hand, CASE p_partkey % 4 WHEN 0 THEN 'primary' WHEN 1 THEN 'tertiary_link' WHEN 2 THEN 'motorway_link' END AS road_class FROM part"""
+_BED = "CASE WHEN road_class IN ('motorway', 'motorway_link', 'trunk', 'trunk_link', 'primary', 'primary_link') THEN 1.0e0 WHEN road_class IN ('secondary', 'secondary_link', 'tertiary', 'tertiary_link') THEN 0.6e0 ELSE 0.3e0 END"
 
 
 @query("SC10_rain_threshold", f"WITH r AS ({ROADS}) SELECT edge_id, round(CASE WHEN hand + {_BED} + 0.3e0 < 5 THEN 50 + (hand + {_BED} + 0.3e0) / 0.02e0 END, 6) AS mm FROM r")
@@ -60,17 +60,25 @@ def sc19(spark, sf):
 _CLEAN = "trim(regexp_replace(lower({0}), '[^a-z]+', ' ', 'g'))"
 
 
+#: Nations as areas of three regions; their texts name an area, a region, part of the state, the state, or none of it.
+_AREAS = "SELECT substr('abcdefghijklmnopqrstuvwxyz', n_nationkey + 1, 1) || 'land' AS name, CASE WHEN n_regionkey < 2 THEN 'Coastal Strip' ELSE 'Inland' END AS subdivision, CASE n_regionkey WHEN 0 THEN 'north_coastal' WHEN 1 THEN 'south_coastal' WHEN 2 THEN 'rayalaseema' ELSE 'other' END AS region FROM nation"
+_SAID = "SELECT o_orderkey AS text_id, CASE o_orderkey % 6 WHEN 0 THEN 'Heavy rain over ' || coalesce(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', n_nationkey + 1, 1) || 'LAND', 'Rayalaseema') || '.' WHEN 1 THEN 'North-Coastal parts' WHEN 2 THEN 'Rayalaseema & south coastal Home State' WHEN 3 THEN 'Coastal Home State; squalls' WHEN 4 THEN 'most of HOME STATE' ELSE 'Far Country' END AS text FROM orders LEFT JOIN nation ON n_nationkey = o_custkey % 40"
+
+
 @query(
     "J1_match_areas",
-    f"""WITH a AS (SELECT n_name AS name, ' ' || {_CLEAN.format("n_name")} || ' ' AS n, ' ' || {_CLEAN.format("r_name")} || ' ' AS r FROM nation JOIN region ON n_regionkey = r_regionkey),
-t AS (SELECT o_orderkey AS text_id, ' ' || {_CLEAN.format("'Heavy rain over ' || coalesce(n_name, '') || CASE WHEN o_orderkey % 3 = 0 THEN ' coast of Asia' ELSE '.' END")} || ' ' AS t FROM orders LEFT JOIN nation ON n_nationkey = o_custkey % 40),
-h AS (SELECT text_id, name AS area, CASE WHEN contains(t, n) THEN 1 WHEN contains(t, r) THEN 2 END AS tier FROM t, a), b AS (SELECT text_id, min(tier) AS best FROM h GROUP BY 1)
-SELECT b.text_id, area, tier FROM b LEFT JOIN h ON b.text_id = h.text_id AND tier = best""",
+    f"""WITH a AS ({_AREAS}), t AS (SELECT o_orderkey AS text_id, o_orderkey % 6 AS k, substr('abcdefghijklmnopqrstuvwxyz', n_nationkey + 1, 1) || 'land' AS n_name FROM orders LEFT JOIN nation ON n_nationkey = o_custkey % 40)
+SELECT text_id, n_name AS area, 1 AS tier FROM t WHERE k = 0 AND n_name IS NOT NULL
+UNION ALL SELECT text_id, name, 2 FROM t JOIN a ON (k = 0 AND n_name IS NULL OR k = 2 AND false) AND region = 'rayalaseema'
+UNION ALL SELECT text_id, name, 2 FROM t JOIN a ON k = 1 AND region = 'north_coastal'
+UNION ALL SELECT text_id, name, 2 FROM t JOIN a ON k = 2 AND region = 'south_coastal'
+UNION ALL SELECT text_id, name, 3 FROM t JOIN a ON k = 3 AND (subdivision LIKE 'Coastal%' OR region LIKE '%coastal')
+UNION ALL SELECT text_id, name, 4 FROM t JOIN a ON k = 4
+UNION ALL SELECT text_id, NULL, NULL FROM t WHERE k = 5""",
 )
 def j1(spark, sf):
-    areas = sql(spark, sf, "SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey").withColumn("variants", F.array().cast("array<string>"))
-    texts = sql(spark, sf, "SELECT o_orderkey AS text_id, 'Heavy rain over ' || coalesce(n_name, '') || CASE WHEN o_orderkey % 3 = 0 THEN ' coast of Asia' ELSE '.' END AS text FROM orders LEFT JOIN nation ON n_nationkey = o_custkey % 40")
-    return rainfall.match_areas(texts, areas)
+    areas = sql(spark, sf, _AREAS).withColumn("variants", F.array().cast("array<string>"))
+    return rainfall.match_areas(sql(spark, sf, _SAID), areas, "Home State")
 
 
 _WARN = "SELECT c_nationkey AS area, CAST(c_custkey % 3 AS INTEGER) AS d0, c_mktsegment AS category, CASE c_custkey % 5 WHEN 0 THEN 'isolated' WHEN 1 THEN 'a_few' WHEN 2 THEN 'many' WHEN 3 THEN 'most' ELSE 'vague' END AS coverage FROM customer"
@@ -252,9 +260,32 @@ def q8(spark, sf):
     return impact.validation_report(sql(spark, sf, _VAL), ["model", "baseline"])
 
 
-@query("SC13_travel_time", "SELECT p_partkey, round(p_retailprice / (CASE WHEN p_size < 10 THEN 60 WHEN p_size < 30 THEN 40 ELSE 20 END / 3.6e0), 6) AS s FROM part")
+@query("SC13_travel_time", "SELECT p_partkey, round(p_retailprice / (CASE p_size % 6 WHEN 0 THEN 80 WHEN 1 THEN 35 WHEN 2 THEN 25 WHEN 3 THEN 10 WHEN 4 THEN 40 ELSE 20 END / 3.6e0), 6) AS s FROM part")
 def sc13(spark, sf):
     from cutoffs.operators.network import travel_time_s
 
-    p = sql(spark, sf, "SELECT p_partkey, p_retailprice, CASE WHEN p_size < 10 THEN 'primary' WHEN p_size < 30 THEN 'secondary' END AS road_class FROM part")
-    return p.select("p_partkey", F.round(travel_time_s(F.col("p_retailprice"), F.col("road_class"), {"primary": 60.0, "secondary": 40.0}), 6).alias("s"))
+    p = sql(spark, sf, "SELECT p_partkey, p_retailprice, CASE p_size % 6 WHEN 0 THEN 'motorway' WHEN 1 THEN 'primary_link' WHEN 2 THEN 'tertiary_link' WHEN 3 THEN 'living_street' WHEN 4 THEN 'secondary' END AS road_class FROM part")
+    return p.select("p_partkey", F.round(travel_time_s(F.col("p_retailprice"), F.col("road_class")), 6).alias("s"))
+
+
+#: A straight coast of 320 points every 0.25 km, and low ground behind it made of lineitem's grid.
+_LOW = "SELECT CAST(l_orderkey % 40 AS INTEGER) AS row, CAST(l_partkey % 80 AS INTEGER) AS col, (sum(l_quantity) % 29) / 10 + 0.05 AS elev FROM lineitem GROUP BY 1, 2"
+_MEMBERS = "SELECT n_nationkey AS member, 1.5e0 + n_nationkey / 10e0 AS peak_m, CASE WHEN n_nationkey % 6 <> 5 THEN n_nationkey * 3e0 END AS s_landfall_km, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE -1 END AS INTEGER) AS right_sign, 10e0 + n_nationkey AS rmax_km FROM nation"
+_TRACK = "SELECT n_nationkey AS member, h AS hour, n_nationkey * 3e0 - 120 + h * 4e0 AS x_km, 90e0 - h * 3e0 AS y_km FROM nation, ({hours})"
+
+
+@query(
+    "G8_member_surge",
+    f"""WITH RECURSIVE g AS ({_LOW}), c AS (SELECT row, col, elev, row * 0.25e0 AS d_km, col * 4 AS coast_id, row = 0 AS seed FROM g), m AS ({_MEMBERS}), t AS ({_TRACK.format(hours="SELECT unnest(range(73)) AS h")}),
+w AS (SELECT member, row, col, seed, coast_id, peak_m * exp(-0.5 * pow((coast_id * 0.25 - (s_landfall_km + right_sign * rmax_km)) / (2 * rmax_km), 2)) - 0.083e0 * d_km - elev AS depth FROM m, c WHERE s_landfall_km IS NOT NULL),
+x AS (SELECT * FROM w WHERE depth > 0), o AS (SELECT i.i, j.j FROM (SELECT unnest([-1, 0, 1]) AS i) i, (SELECT unnest([-1, 0, 1]) AS j) j),
+r(member, row, col) AS (SELECT member, row, col FROM x WHERE seed UNION SELECT x.member, x.row, x.col FROM r, o, x WHERE x.member = r.member AND x.row = r.row + i AND x.col = r.col + j),
+n AS (SELECT m.member, k.id AS coast_id, min(hour) AS onset FROM m JOIN t ON m.member = t.member, (SELECT unnest(range(320)) AS id) k WHERE sqrt(pow(k.id * 0.25 - x_km, 2) + pow(y_km, 2)) <= rmax_km + 50 GROUP BY 1, 2)
+SELECT x.member, x.row, x.col, round(depth, 6) AS depth, coalesce(CAST(onset AS DOUBLE), CAST('Infinity' AS DOUBLE)) AS onset FROM x JOIN r ON x.member = r.member AND x.row = r.row AND x.col = r.col LEFT JOIN n ON n.member = x.member AND n.coast_id = x.coast_id""",
+)
+def g8(spark, sf):
+    cells = sql(spark, sf, _LOW).select("row", "col", F.col("elev").cast("double"), (F.col("row") * 0.25).cast("double").alias("d_km"), (F.col("col") * 4).cast("long").alias("coast_id"), (F.col("row") == 0).alias("seed"))
+    coast = spark.range(320).select(F.col("id").alias("coast_id"), (F.col("id") * 0.25).alias("x_km"), F.lit(0.0).alias("y_km"), (F.col("id") * 0.25).alias("s_km"))
+    track = sql(spark, sf, _TRACK.format(hours="SELECT explode(sequence(0, 72)) AS h"))
+    out = rainfall.member_surge(sql(spark, sf, _MEMBERS), coast, cells, track, ["member"])
+    return out.withColumn("depth", F.round("depth", 6))

@@ -152,8 +152,8 @@ def ag20(spark, sf):
 
 @query("AG27_percentiles", f"WITH {G} SELECT round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90 FROM g")
 def ag27(spark, sf):
-    p = grid(spark, sf).agg(F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p"))
-    return p.select(*[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
+    p = raster.percentiles(grid(spark, sf), [0.1, 0.5, 0.9])
+    return p.select(*[F.round(n, 6).alias(n) for n in ("p10", "p50", "p90")])
 
 
 _LEVEL = f"""{_SMALL}, {OFFSETS}, e AS (SELECT a.cell AS x, b.cell AS y, greatest(a.elev, b.elev) AS c FROM s a, o, s b WHERE b.row = a.row + i AND b.col = a.col + j AND NOT (i = 0 AND j = 0)),

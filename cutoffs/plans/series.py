@@ -151,10 +151,12 @@ def w2(spark, sf):
     return out.select("source", "member_no", series.epoch("valid_utc").cast("long").alias("s"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("vmax_ms", 6).alias("v"))
 
 
-@query("AG28_alignment_report", f"WITH {_REF} SELECT source, count(DISTINCT k.valid_utc) AS hours FROM k JOIN o ON k.valid_utc = o.valid_utc GROUP BY source")
+@query("AG28_alignment_report", f"""WITH {_ALIGN}, b AS (SELECT z.source, z.valid_utc, z.lat + cdlat AS lat, cdlat, cdlon, cvs FROM z WHERE valid_utc IN (SELECT valid_utc FROM o)), d AS (SELECT DISTINCT source, valid_utc, cvs FROM b)
+SELECT b.source, count(DISTINCT b.valid_utc) AS hours, round(max(sqrt(pow(cdlat * 111.195, 2) + pow(cdlon * 111.195 * cos(radians(lat)), 2))), 5) AS max_shift_km, round(any_value(q.m), 6) AS median_vscale FROM b JOIN (SELECT source, quantile_cont(cvs, 0.5) AS m FROM d GROUP BY 1) q ON q.source = b.source GROUP BY b.source""")
 def ag28(spark, sf):
     official = sql(spark, sf, _OFFICIAL)
-    return series.alignment_report(series.align(sql(spark, sf, _HOURLY), official), official).select("source", "hours")
+    out = series.alignment_report(series.align(sql(spark, sf, _HOURLY), official), official)
+    return out.select("source", "hours", F.round("max_shift_km", 5).alias("max_shift_km"), F.round("median_vscale", 6).alias("median_vscale"))
 
 
 @query("AG7_members_per_source", "SELECT event_type AS source, count(DISTINCT user_id) AS members FROM events GROUP BY 1")

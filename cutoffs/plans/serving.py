@@ -67,10 +67,16 @@ def q7(spark, sf):
     return views.storm_summary(m, d)
 
 
-@query("SNK5_map_features", "SELECT p_partkey AS id, CAST(CASE WHEN p_size > 40 OR p_partkey % 7 = 0 OR (p_partkey % 10) / 100e0 > 0.05 THEN 6 ELSE 11 END AS INTEGER) AS min_zoom FROM part WHERE p_partkey % 10 > 0 OR p_partkey % 4 = 3")
+_FEAT = """SELECT p_partkey AS id, (p_partkey % 10) / 100e0 AS p, (p_partkey % 4) / 4e0 AS share, p_size FROM part WHERE p_partkey % 10 > 0 OR p_partkey % 4 = 3"""
+
+
+@query("SNK5_map_features", f"""WITH f AS ({_FEAT}) SELECT id, CAST(CASE WHEN p_size > 40 OR id % 7 = 0 OR p > 0.05 THEN 6 ELSE 11 END AS INTEGER) AS min_zoom, CAST(p_size AS DOUBLE) AS d1, 999e0 AS d2, p, share > 0.5 AS no_route FROM f""")
 def snk5(spark, sf):
+    """The lines are read back from their JSON."""
     p = sql(spark, sf, "SELECT p_partkey AS id, (p_partkey % 10) / 100e0 AS p, (p_partkey % 4) / 4e0 AS no_route_share, p_size > 40 AS major, CASE WHEN p_partkey % 7 = 0 THEN 'bridge' ELSE 'none' END AS crossing_type, p_size FROM part")
-    return views.map_features(p.withColumn("deciles", F.array(F.col("p_size"), F.lit(None).cast("int")))).select("id", "min_zoom")
+    out = views.map_features(p.withColumn("deciles", F.array(F.col("p_size"), F.lit(None).cast("int"))))
+    line = F.from_json("line", "id bigint, d array<double>, p double, no_route boolean")
+    return out.select("min_zoom", line.alias("l")).select("l.id", "min_zoom", F.col("l.d")[0].alias("d1"), F.col("l.d")[1].alias("d2"), "l.p", "l.no_route")
 
 
 @query("SNK6_track_lines", "SELECT event_type AS source, user_id AS member_no, count(*) AS n FROM events WHERE event_type = 'purchase' OR event_id % 3 = 0 GROUP BY 1, 2 HAVING count(*) >= 2")

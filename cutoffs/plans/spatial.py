@@ -95,25 +95,24 @@ def j27(spark, sf):
     return spatial.within_distance(points(spark, sf), boxes(spark, sf).filter("polygon_id = 1"), 20.0).select("id")
 
 
-_LINE = "SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS seq, x, y FROM p WHERE id % 25 = 0"
-_SEG = f"l AS ({_LINE}), s AS (SELECT a.seq, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM l a JOIN l b ON b.seq = a.seq + 1)"
-
-
-def polyline(spark, sf):
-    one = points(spark, sf).filter("id % 25 = 0").groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("line"))
-    return one.withColumn("line_id", F.lit(1))
+_SEG = "s AS (SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM p a JOIN p b ON b.id = a.id + 1)"
 
 
 @query(
     "J13_distance_to_line",
-    f"""WITH {P}, {_SEG}, t AS (SELECT id, x, y, s.*, least(1, greatest(0, coalesce(((x - ax) * (bx - ax) + (y - ay) * (b_y - ay)) / nullif(pow(bx - ax, 2) + pow(b_y - ay, 2), 0), 0))) AS t FROM p, s)
+    f"""WITH {P}, {_SEG}, t AS (SELECT id, x, y, s.*, least(1, greatest(0, coalesce(((x - ax) * (bx - ax) + (y - ay) * (b_y - ay)) / nullif(pow(bx - ax, 2) + pow(b_y - ay, 2), 0), 0))) AS t FROM (SELECT id, x + 3 AS x, y - 2 AS y FROM p) p, s)
 SELECT id, round(min(sqrt(pow(x - ax - t * (bx - ax), 2) + pow(y - ay - t * (b_y - ay), 2))), 6) AS dist FROM t GROUP BY id""",
 )
 def j13(spark, sf):
-    return spatial.line_distance(points(spark, sf), polyline(spark, sf), 20.0).select("id", F.round("dist", 6).alias("dist"))
+    """All points, shifted, against the line through all points in the order of their ids, a row per segment."""
+    p = points(spark, sf)
+    ahead = p.select((F.col("id") - 1).alias("id"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    seg = p.select("id", F.col("x").alias("ax"), F.col("y").alias("ay")).join(ahead, "id").select(F.lit(1).alias("line_id"), "ax", "ay", "bx", "by")
+    moved = p.select("id", (F.col("x") + 3).alias("x"), (F.col("y") - 2).alias("y"))
+    return spatial.segment_nearest(moved, seg, 20.0).select("id", F.round("dist", 6).alias("dist"))
 
 
-_ROADS = "r AS (SELECT id AS road_id, x AS ax, y AS ay, lead(x) OVER (PARTITION BY kind ORDER BY id) AS bx, lead(y) OVER (PARTITION BY kind ORDER BY id) AS b_y FROM p WHERE id % 2 = 0), w AS (SELECT id AS water_id, x AS cx, y AS cy, lead(x) OVER (PARTITION BY kind ORDER BY id) AS dx, lead(y) OVER (PARTITION BY kind ORDER BY id) AS dy FROM p WHERE id % 2 = 1 AND id % 9 = 0)"
+_ROADS = "r AS (SELECT id AS road_id, x AS ax, y AS ay, lead(x) OVER (PARTITION BY kind ORDER BY id) AS bx, lead(y) OVER (PARTITION BY kind ORDER BY id) AS b_y FROM p WHERE id % 5 <> 0), w AS (SELECT id AS water_id, x AS cx, y AS cy, lead(x) OVER (PARTITION BY kind ORDER BY id) AS dx, lead(y) OVER (PARTITION BY kind ORDER BY id) AS dy FROM p WHERE id % 5 = 0)"
 
 
 def two_points(df, name):
@@ -132,7 +131,7 @@ SELECT road_id, water_id, round(t * sqrt(pow(bx - ax, 2) + pow(b_y - ay, 2)), 4)
 )
 def j14(spark, sf):
     p = points(spark, sf)
-    out = spatial.crossings(two_points(p.filter("id % 2 = 0"), "road_id"), two_points(p.filter("id % 2 = 1 and id % 9 = 0"), "water_id"), 40.0)
+    out = spatial.crossings(two_points(p.filter("id % 5 <> 0"), "road_id"), two_points(p.filter("id % 5 = 0"), "water_id"), 40.0)
     return out.select("road_id", "water_id", F.round("dist", 4).alias("dist"))
 
 
@@ -208,11 +207,11 @@ def sc14(spark, sf):
 
 @query(
     "SC15_densify",
-    f"""WITH {P}, {_ROADS}, s AS (SELECT road_id, sqrt(pow(bx - ax, 2) + pow(b_y - ay, 2)) AS len, ax, ay, bx, b_y FROM r WHERE bx IS NOT NULL), n AS (SELECT *, greatest(2, CAST(ceil(len / 25) AS INTEGER) + 1) AS n FROM s), k AS (SELECT *, unnest(range(CAST(n AS BIGINT))) AS k FROM n)
+    f"""WITH {P}, r AS (SELECT id AS road_id, x AS ax, y AS ay, lead(x) OVER (PARTITION BY kind ORDER BY id) AS bx, lead(y) OVER (PARTITION BY kind ORDER BY id) AS b_y FROM p), s AS (SELECT road_id, sqrt(pow(bx - ax, 2) + pow(b_y - ay, 2)) AS len, ax, ay, bx, b_y FROM r WHERE bx IS NOT NULL), n AS (SELECT *, greatest(2, CAST(ceil(len / 25) AS INTEGER) + 1) AS n FROM s), k AS (SELECT *, unnest(range(CAST(n AS BIGINT))) AS k FROM n)
 SELECT road_id, k, round(ax + k / (n - 1e0) * (bx - ax) + 0.00123, 2) AS x, round(ay + k / (n - 1e0) * (b_y - ay) + 0.00123, 2) AS y FROM k""",
 )
 def sc15(spark, sf):
-    lines = two_points(points(spark, sf).filter("id % 2 = 0"), "road_id")
+    lines = two_points(points(spark, sf), "road_id")
     d = lines.select("road_id", "line", F.posexplode(geo.densify(F.col("line"), 25.0)).alias("k", "d"))
     at = d.select("road_id", F.col("k").cast("long").alias("k"), geo.interpolate_line(F.col("line"), F.col("d")).alias("p"))
     return at.select("road_id", "k", F.round(F.col("p.x") + 0.00123, 2).alias("x"), F.round(F.col("p.y") + 0.00123, 2).alias("y"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -25,26 +27,29 @@ def accepted(times: list[float], kept: list[float], limit: int = LIMIT, span: fl
 
 
 def rate_limit(events: DataFrame, key: str = "key", ts: str = "ts", limit: int = LIMIT, span: float = SPAN_S) -> DataFrame:
-    """Batch form: events with `allowed`. Hits of a key and hour-long stretch without a gap of `span` are looked at in order.
+    """Batch form: events with `allowed`. Only accepted hits count, so the rule is a fold over each key's hits in time.
 
-    Only accepted hits count, so the rule is a fold over time. A gap of `span` clears the state, so each stretch between
-    gaps is folded alone; the hits of a stretch are one array.
+    Keys go to tasks and are sorted there; a task reads its rows as a stream and holds no more than the accepted times of
+    the current key's last `span` seconds, however many hits the key has. Hits at one time are ordered by a hash of the row.
     """
     t = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    by = Window.partitionBy(key).orderBy("_t", "_id")
-    e = events.withColumn("_t", t).withColumn("_id", F.xxhash64(*events.columns))
-    e = e.withColumn("_new", F.coalesce((F.col("_t") - F.lag("_t").over(by) >= span).cast("int"), F.lit(1))).withColumn("_part", F.sum("_new").over(by))
-    hits = e.groupBy(key, "_part").agg(F.array_sort(F.collect_list(F.struct("_t", "_id", *[c for c in events.columns if c != key]))).alias("h"))
-    empty = F.struct(F.array().cast("array<double>").alias("kept"), F.array().cast("array<boolean>").alias("ok"))
+    e = events.withColumns({"_k": F.xxhash64(key), "_t": t, "_id": F.xxhash64(*events.columns)})
+    e = e.repartition(key).sortWithinPartitions("_k", key, "_t", "_id")
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema], "allowed boolean"])
+    at, names = events.columns.index(key), events.columns
 
-    def step(acc: Column, x: Column) -> Column:
-        kept = F.filter(acc["kept"], lambda k: x["_t"] - k < span)
-        ok = F.size(kept) < limit
-        return F.struct(F.when(ok, F.concat(kept, F.array(x["_t"]))).otherwise(kept).alias("kept"), F.concat(acc["ok"], F.array(ok)).alias("ok"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept = object(), []
+        for batch in batches:
+            flags = []
+            for k, x in zip(batch.column(at).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
+                if k != now:
+                    now, kept = k, []
+                ok, kept = accepted([x], kept, limit, span)
+                flags += ok
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(flags, pa.bool_())], names=[*names, "allowed"])
 
-    folded = hits.withColumn("ok", F.aggregate("h", empty, step, lambda a: a["ok"]))
-    out = folded.select(key, F.explode(F.arrays_zip("h", "ok")).alias("z"))
-    return out.select(*[F.col(key) if c == key else F.col(f"z.h.{c}").alias(c) for c in events.columns], F.col("z.ok").alias("allowed"))
+    return e.mapInArrow(fold, schema)
 
 
 class RateLimiter(StatefulProcessor):
@@ -70,9 +75,23 @@ def rate_limit_stream(events: DataFrame) -> DataFrame:
 
 
 def daily_cap(events: DataFrame, cap: int = DAILY, ts: str = "ts", tie: str = "event_id", key: list[str] | None = None) -> DataFrame:
-    """Batch form: events with `allowed`, the first `cap` of each UTC day (of each key)."""
-    day = F.to_date(F.col(ts))
-    return events.withColumn("allowed", F.row_number().over(Window.partitionBy(*(key or []), day).orderBy(ts, tie)) <= cap)
+    """Batch form: events with `allowed`, the first `cap` of each UTC day (of each key), by time and then `tie`.
+
+    Events are counted by second first; running counts tell whole seconds apart, and only the events of the second in
+    which the cap is reached are ranked one by one. An event without a time is in a day of its own, by `tie` alone.
+    """
+    keys = key or []
+    e = events.withColumns({"_day": F.to_date(F.col(ts)), "_sec": F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)})
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in (*keys, "_day", "_sec")])
+    per = e.groupBy(*keys, "_day", "_sec").agg(F.count("*").alias("_n"))
+    run = Window.partitionBy(*keys, "_day").orderBy("_sec")
+    per = per.withColumn("_upto", F.sum("_n").over(run)).select(*keys, "_day", "_sec", (F.col("_upto") - F.col("_n")).alias("_before"), "_upto")
+    both = e.alias("e").join(per.alias("p"), same("e", "p")).select(*[F.col(f"e.`{c}`").alias(c) for c in e.columns], "p._before", "p._upto")
+    split = (F.col("_before") < cap) & (F.col("_upto") > cap)
+    whole = both.filter(~split).withColumn("allowed", F.col("_upto") <= cap)
+    rank = F.row_number().over(Window.partitionBy(*keys, "_day").orderBy(ts, tie))
+    edge = both.filter(split).withColumn("allowed", F.col("_before") + rank <= cap)
+    return whole.unionByName(edge).select(*events.columns, "allowed")
 
 
 def daily_counts_stream(events: DataFrame, cap: int = DAILY, late: str = "1 hour") -> DataFrame:

@@ -66,6 +66,32 @@ def test_open_edges_contract(spark):
     assert got[0, 2] == 8 and got[1, 5] == 3
 
 
+def test_scenarios_in_tasks_and_in_rounds_agree(spark):
+    """Some scenarios lack edges that are open for good in others; ties everywhere; one scenario is large, one small."""
+    rng = np.random.default_rng(12)
+    shape = [(int(rng.integers(90)), int(rng.integers(90))) for _ in range(220)]
+    rows = [(m, k, u, v, INF if (k % 3 == 0 or rng.random() < 0.2) else float(rng.integers(0, 6))) for m in range(3) for k, (u, v) in enumerate(shape) if rng.random() < (0.9, 0.6, 0.05)[m]]
+    e = spark.createDataFrame(rows, "member int, edge_id bigint, u bigint, v bigint, c double")
+    s = spark.createDataFrame([(m, n, a) for m in range(3) for n, a in ((3, 4.0), (8, INF), (200 + m, 2.0))], "member int, node bigint, a double")
+
+    def brute(m):
+        es = [r[1:] for r in rows if r[0] == m]
+        b = {n: -INF for _, u, v, _ in es for n in (u, v)} | {3: 4.0, 8: INF, 200 + m: 2.0}
+        for _ in range(len(b)):
+            for _, u, v, c in es:
+                b[u], b[v] = max(b[u], min(b[v], c)), max(b[v], min(b[u], c))
+        return b
+
+    want = {(m, n): b for m in range(3) for n, b in brute(m).items()}
+    hours = {(m, k): c for m, k, _, _, c in rows}
+    for bound in (10_000, 100, 0):
+        got = reach.isolation_times(e, s, ["member"], group_edges=bound).collect()
+        assert {(r["member"], r["node"]): r["b"] for r in got} == want and len(got) == len(want)
+        assert all(hours[r["member"], r["critical_edge"]] == r["b"] for r in got if r["critical_edge"] >= 0)
+        assert all(math.isinf(r["b"]) or r["b"] in (2.0, 4.0) for r in got if r["critical_edge"] < 0)
+    assert reach.isolation_times(e.limit(0), s.limit(0), ["member"]).count() == 0
+
+
 def test_components_of_chain_star_and_loop(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (None, 3), (500, 500)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
@@ -138,6 +164,7 @@ def test_formatting(spark):
 def test_days_of_phrases(spark):
     days = lambda t: [d.day for d in one(spark, text.parse_days(F.lit(t), 2025, 10))]
     assert days("26th to 29th October") == [26, 27, 28, 29] and days("28th & 29th") == [28, 29] and days("27th") == [27] and days("soon") == []
+    assert days("28 & 29 October") == [28, 29] and days("29-31 Oct") == [29, 30, 31] and days("30 \u2013 31 November") == [30] and days("30 to 28") == []
 
 
 def test_number_safety(spark):
@@ -146,6 +173,113 @@ def test_number_safety(spark):
     assert p("{{b}} %") == ["percent sign", "unknown: b", "missing: a"]
 
 
+@pytest.mark.parametrize("words", ["thirteen people", "half the town", "a dozen roads", "zero risk", "Billions", "ninety per cent", "hundreds", "two"])
+def test_number_words_are_unsafe(spark, words):
+    none = F.array().cast("array<string>")
+    assert one(spark, text.number_problems(F.lit(f"about {words} there"), none, none)) == ["number word"]
+
+
+def test_words_with_number_words_inside_are_safe(spark):
+    none = F.array().cast("array<string>")
+    assert one(spark, text.number_problems(F.lit("no one often weighs a tenth behalf of seventh heaven"), none, none)) == []
+
+
+def test_probability_limits_and_languages(spark):
+    assert [one(spark, text.probability(F.lit(p))) for p in (0.004, 0.007, 0.994, 0.996)] == ["<1%", "1%", "99%", ">99%"]
+    at = F.lit("2025-10-28 17:00:00").cast("timestamp")
+    assert one(spark, text.local_time(at)) == "28 Oct, 22:30 IST" and one(spark, text.local_time(at, "hi-IN")) == "28 अक्टूबर, 22:30 IST"
+    assert one(spark, text.people(F.lit(334619), "te-IN")) == "3.3 లక్షలు"
+    assert one(spark, text.clean_name(F.lit("PHC,Rachapalli"))) == "PHC Rachapalli" and one(spark, text.clean_name(F.lit("A,B, C"))) == "A, B, C"
+    assert one(spark, text.range_text(F.lit("1"), F.lit("2"))) == "1 to 2"
+
+
+def test_sites_are_classified(spark):
+    tags = [
+        {"amenity": "hospital", "name": "Government General Hospital, Kakinada"},
+        {"amenity": "hospital", "name": "Area Hospital Peddapuram"},
+        {"amenity": "clinic", "name": "Community Health Centre Tuni"},
+        {"name": "PHC Gollaprolu"},
+        {"amenity": "hospital", "name": "Sri Sai Nursing Home"},
+        {"amenity": "doctors", "name": "Dr. Clinic"},
+        {"amenity": "shelter", "shelter_type": "public_transport", "name": "Bus stop"},
+        {"name": "Cyclone Shelter Uppada"},
+        {"power": "substation", "voltage": "132000;33000", "name": "Samalkot SS"},
+    ]
+    df = spark.createDataFrame([("node", k + 1, t) for k, t in enumerate(tags)], "osm_type string, osm_id bigint, tags map<string,string>")
+    got = {r["poi_id"]: (r["type"], r["confidence"], r["voltage_kv"]) for r in text.classify_pois(df).collect()}
+    assert got == {
+        "osm_n1": ("district_hospital", "high", None),
+        "osm_n2": ("sdh_area_hospital", "high", None),
+        "osm_n3": ("chc", "high", None),
+        "osm_n4": ("phc", "medium", None),
+        "osm_n5": ("hospital_other", "low", None),
+        "osm_n8": ("shelter", "medium", None),
+        "osm_n9": (None, None, 132.0),
+    }
+    t = spark.createDataFrame([("phc",), ("district_hospital",), ("hospital_other",)], "tier string")
+    assert [r["target_tier"] for r in text.referral_targets(t).collect()] == ["chc", "sdh_area_hospital", "district_hospital"]
+
+
+def test_areas_by_name_region_and_state(spark):
+    areas = spark.createDataFrame(
+        [("Kakinada", [], "Coastal Andhra Pradesh & Yanam", "north_coastal"), ("Krishna district", ["Krishna"], "Coastal Andhra Pradesh & Yanam", "south_coastal"), ("Tirupati", [], "Rayalaseema", "rayalaseema"), ("East Godavari", ["East & West Godavari"], "Coastal Andhra Pradesh & Yanam", "north_coastal")],
+        "name string, variants array<string>, subdivision string, region string",
+    )
+    says = ["Andhra Pradesh & Yanam of Puducherry", "coastal Andhra Pradesh & Yanam", "north coastal Andhra Pradesh", "Rayalaseema", "Kakinada and Krishna", "Telangana", "East & West Godavari", None]
+    got = {}
+    for r in rainfall.match_areas(spark.createDataFrame(list(enumerate(says)), "text_id int, text string"), areas, "Andhra Pradesh").collect():
+        got.setdefault(r["text_id"], set()).add(r["area"])
+    coastal = {"Kakinada", "Krishna district", "East Godavari"}
+    assert got == {0: coastal | {"Tirupati"}, 1: coastal, 2: {"Kakinada", "East Godavari"}, 3: {"Tirupati"}, 4: {"Kakinada", "Krishna district"}, 5: {None}, 6: {"East Godavari"}, 7: {None}}
+
+
+def test_bed_and_speed_of_links(spark):
+    assert [one(spark, rainfall.bed_allowance(F.lit(c))) for c in ("motorway_link", "tertiary_link", "service", None)] == [1.0, 0.6, 0.3, 0.3]
+    assert [round(3.6 * 1000 / one(spark, network.travel_time_s(F.lit(1000.0), F.lit(c)))) for c in ("primary_link", "living_street", "ferry")] == [35, 10, 20]
+
+
+def test_lines_merge_with_rings_and_forks(spark):
+    ways = [(1, 10, 11), (2, 11, 12), (3, 12, 10), (5, 20, 21), (4, 21, 22), (9, 30, 30), (6, 40, 41), (7, 41, 42), (8, 50, 41)]
+    df = spark.createDataFrame([(w, a, b, 1.0) for w, a, b in ways], "way_id bigint, first bigint, last bigint, length double")
+    got = {r["way_id"]: (r["component"], r["seq"]) for r in network.merge_lines(df).collect()}
+    assert got == {1: (1, 0), 2: (1, 1), 3: (1, 2), 5: (4, 0), 4: (4, 1), 9: (9, 0), 6: (6, 0), 7: (6, 1), 8: (8, 0)}
+
+
+def test_pointers_in_a_circle_are_an_error(spark):
+    df = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "cell bigint, down bigint")
+    with pytest.raises(ValueError):
+        terrain.accumulate(df)
+
+
+def test_daily_cap_within_one_second(spark):
+    rows = [(k, datetime(2025, 10, 26, 0, 0, min(k // 7, 3)) if k else None) for k in range(60)]
+    df = spark.createDataFrame(rows, "event_id int, ts timestamp")
+    for cap in (0, 1, 10, 25, 100):
+        got = {r["event_id"] for r in rules.daily_cap(df, cap).filter("allowed").collect()}
+        assert got == ({0} if cap else set()) | set(range(1, min(60, cap + 1)))
+
+
+def test_culverts_only_on_plain_roads(spark):
+    e = spark.createDataFrame([(1, 0, 1, 100.0, "none", False), (2, 2, 3, 100.0, "bridge", False), (3, 4, 5, 100.0, "none", True), (4, 6, 7, 100.0, "none", None)], "edge_id bigint, u bigint, v bigint, length double, crossing_type string, tunnel boolean")
+    line = lambda y, a=0.0, b=100.0: [(a, y), (b, y)]
+    roads = spark.createDataFrame([(k, line(float(k))) for k in (1, 2, 3)] + [(4, line(4.0, 200.0, 300.0))], "road_id bigint, line array<struct<x:double,y:double>>")
+    water = spark.createDataFrame([(1, [(40.0, -5.0), (40.0, 9.0)]), (2, [(45.0, -5.0), (45.0, 9.0)])], "water_id bigint, line array<struct<x:double,y:double>>")
+    got = sorted((r["edge_id"], r["from_m"], r["to_m"], r["crossing_type"]) for r in network.insert_culverts(e, roads, water, 50.0).collect())
+    assert got == [(1, 0.0, 30.0, "none"), (1, 30.0, 55.0, "culvert"), (1, 55.0, 100.0, "none"), (2, 0.0, 100.0, "bridge"), (3, 0.0, 100.0, "none"), (4, 0.0, 100.0, "none")]
+
+
+def test_surge_needs_a_way_from_the_sea(spark):
+    coast = spark.createDataFrame([(k, k * 1.0, 0.0, k * 1.0) for k in range(5)], "coast_id bigint, x_km double, y_km double, s_km double")
+    # a low basin behind a ridge stays dry; the cells beside the sea flood
+    cells = spark.createDataFrame([(r, c, 9.0 if r == 1 and c == 2 else 0.5, r * 1.0, c, r == 0) for r in range(3) for c in (2,)] + [(r, 4, 0.5, r * 1.0, 4, r == 0) for r in range(3)], "row int, col int, elev double, d_km double, coast_id bigint, seed boolean")
+    m = spark.createDataFrame([(0, 3.0, 2.0, 1, 20.0), (1, 3.0, None, 1, 20.0)], "member int, peak_m double, s_landfall_km double, right_sign int, rmax_km double")
+    track = spark.createDataFrame([(0, h, 2.0, 200.0 - 20 * h) for h in range(12)], "member int, hour int, x_km double, y_km double")
+    got = {(r["member"], r["row"], r["col"]): (r["depth"], r["onset"]) for r in rainfall.member_surge(m, coast, cells, track, ["member"]).collect()}
+    assert set(got) == {(0, 0, 2), (0, 0, 4), (0, 1, 4), (0, 2, 4)} and {t for _, t in got.values()} == {7.0}
+    h = 3.0 * math.exp(-0.5 * ((4 - 22) / 40) ** 2)
+    assert math.isclose(got[0, 2, 4][0], h - 0.083 * 2 - 0.5)
+
+
 def test_report_routing(spark):
     rows = [(1, "road", True, "open", 0.8, None), (1, "road", True, "open", 0.79, None), (1, "bridge", True, "open", 0.9, "closed"), (9, "road", False, "unknown", 0.9, None)]
     df = spark.createDataFrame(rows, "asset_id int, kind string, location_ok boolean, passability string, confidence double, previous string")
