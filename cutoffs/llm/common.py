@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 #: Java and Python class of the six ASCII white-space characters.
 SPACE = "[\\x20\\x09-\\x0D]"
 #: Text bytes that one inner step of a Python task holds at once.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +54,43 @@ def steps(batch: pa.RecordBatch, text: str = "text", limit: int = STEP_BYTES) ->
         start = stop
 
 
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work as the function of a task, at whose end memory that was freed goes back to the system.
+
+    Python workers are kept for later tasks, and live on idle beside those that need no Python.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        _powers.cache.clear()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
+class Kept:
+    """Results by key in two generations of at most `most`: when the younger is full the older one is let go.
+
+    Results that are looked up move to the younger generation, so that frequent keys stay.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys: set) -> set:
+        """The keys without a result; all others are in the younger generation afterwards."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        new = keys.difference(self.young)
+        back = new.intersection(self.old)
+        self.young.update(zip(back, map(self.old.__getitem__, back), strict=True))
+        return new - back
+
+
 def raw(col: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; a null text is empty."""
     return [x or b"" for x in col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()]
@@ -71,7 +110,9 @@ _STEP = 0xD6E8FEB86659FD93
 _INVERSE = pow(_STEP, -1, 1 << 64)
 
 
-def _powers(base: int, n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base squared and so on: n numbers, kept until the task ends."""
+    cache = _powers.cache
     if len(cache.get(base, ())) < n:
         out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         out[0] = 1
@@ -79,6 +120,9 @@ def _powers(base: int, n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006
     return cache[base][:n]
 
 
+_powers.cache = {}
+
+
 class Words:
     """The words of several texts, found and hashed at once.
 

@@ -6,8 +6,9 @@ there. Where that length reaches `window` (or a whole item of fewer words ends),
 walk starts anew where a word or a pair of neighbours is in no item, since no match of two words can reach across; such
 places are found for many documents at once, so that only stretches made of item pairs are walked.
 
-The items are sent to the tasks as blocks of at most BLOCK_WORDS words; more items mean more blocks, each walked in
-turn, and the hits of all blocks are united.
+The items are sent to the tasks in blocks of about BLOCK_WORDS words, one block after the other: each is a pass over
+the documents whose result is written before the next block is built, so that driver and tasks hold one block's
+automaton. The hits of all blocks are united.
 
 Defined results: a null text (or item) has no words; items without words match nothing; a null item id counts hits but
 is not listed; items repeated with their id count once; empty tables give results without hits; documents repeated are
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutoffs.llm.common import PLAIN, Words, raw, steps
+from cutoffs.llm.common import PLAIN, Words, lean, raw, steps
 from cutoffs.session import materialize
 
 WINDOW = 10
@@ -171,11 +172,15 @@ class Automaton:
         return words, np.cumsum(edge[:-1]) > 0, items
 
 
-def automata(items: DataFrame, window: int = WINDOW, item_id: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[Automaton]:
-    """The items in blocks of about block_words words; one block is on the driver at a time."""
-    rows = items.select(F.col(item_id).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // (5 * block_words)))
+def block_count(items: DataFrame, text_col: str = "text", block_words: int = BLOCK_WORDS) -> int:
+    """How many blocks of about block_words words the items make, at five characters a word."""
+    chars = items.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(1, -(-chars // (5 * block_words)))
+
+
+def automata(items: DataFrame, blocks: int, window: int = WINDOW, item_id: str = "item_id", text_col: str = "text") -> Iterator[Automaton]:
+    """The automaton of each block of items, which a hash of id and text chooses."""
+    rows = items.select(F.col(item_id).cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     for b in range(blocks):
         block = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).dropDuplicates(["id", "text"])
         yield Automaton([(r["id"], r["text"].encode()) for r in block.toLocalIterator()], window)
@@ -201,9 +206,13 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str =
     """(doc_id, text, n_words, hit, items) for each row: positions of hit words and sorted ids of the items found."""
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = out.schema["doc_id"].dataType.simpleString()
-    for k, auto in enumerate(automata(items, window, item_id, item_text, block_words)):
+    blocks = block_count(items, item_text, block_words)
+    for k, auto in enumerate(automata(items, blocks, window, item_id, item_text)):
         shared = docs.sparkSession.sparkContext.broadcast(auto)
-        out = out.mapInArrow(lambda it, s=shared, b=k > 0: _scan(it, s, b), f"doc_id {kind}, text string, n_words bigint, hit array<int>, items array<string>")
+        out = out.mapInArrow(lean(lambda it, s=shared, b=k > 0: _scan(it, s, b)), f"doc_id {kind}, text string, n_words bigint, hit array<int>, items array<string>")
+        if blocks > 1:
+            out = materialize(out)
+            shared.destroy()
     return out
 
 
@@ -268,15 +277,18 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage:
     hits of all blocks are united before anything is cut; documents that were cut are looked through again until no
     block hits them.
     """
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(auto) for auto in automata(items, window, block_words=block_words)]
+    sc, blocks = docs.sparkSession.sparkContext, block_count(items, block_words=block_words)
+    only = [sc.broadcast(auto) for auto in automata(items, 1, window)] if blocks == 1 else []
     todo, done = docs.withColumn("__dc_hit", F.array().cast("array<int>")), []
     while True:
-        for shared in blocks:
-            todo = todo.mapInArrow(lambda it, s=shared: _mark(it, s, text_col), todo.schema)
-        out = materialize(todo.mapInArrow(lambda it: _cut(it, text_col, max_coverage), todo.schema))
-        done.append(out.filter(F.size("__dc_hit") == 0).drop("__dc_hit"))
-        todo = out.filter(F.size("__dc_hit") > 0)
+        for k, shared in enumerate(only or map(sc.broadcast, automata(items, blocks, window))):
+            # the last block's pass cuts as well
+            cut = k == blocks - 1
+            todo = materialize(todo.mapInArrow(lean(lambda it, s=shared, c=cut: _cut(_mark(it, s, text_col), text_col, max_coverage) if c else _mark(it, s, text_col)), todo.schema))
+            if not only:
+                shared.destroy()
+        done.append(todo.filter(F.size("__dc_hit") == 0).drop("__dc_hit"))
+        todo = todo.filter(F.size("__dc_hit") > 0)
         if todo.isEmpty():
             return reduce(DataFrame.union, done)
         todo = todo.withColumn("__dc_hit", F.array().cast("array<int>"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutoffs.llm.chain import Chains
-from cutoffs.llm.common import SPACED, Words, drawn, mixed, raw, remainder, steps
+from cutoffs.llm.common import SPACED, Words, drawn, lean, mixed, raw, remainder, steps
 from cutoffs.session import materialize
 
 STATES = 8
@@ -230,7 +230,7 @@ def baum_welch(coded: DataFrame, lex: Lexicon, iterations: int = ITERATIONS) ->
     sums = [F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES)]
     for _ in range(iterations):
         shared = coded.sparkSession.sparkContext.broadcast(model)  # SYMBOLS x STATES numbers
-        part = coded.select("sym").mapInArrow(lambda it, s=shared: _expect(it, s), "name bigint, " + ", ".join(f"s{k} double" for k in range(STATES)))
+        part = coded.select("sym").mapInArrow(lean(lambda it, s=shared: _expect(it, s)), "name bigint, " + ", ".join(f"s{k} double" for k in range(STATES)))
         model = Model.from_counts(*_unpack(part.groupBy("name").agg(*sums).toPandas()), prior)
     return model
 
@@ -254,10 +254,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     lex = lexicon(counts)
     kind = d.schema["doc_id"].dataType.simpleString()
     shared = sc.broadcast(lex)  # TOP_WORDS and CLASSES bound its size
-    coded = materialize(d.mapInArrow(lambda it: _encode(it, shared), f"row bigint, doc_id {kind}, held_out boolean, sym binary, known bigint, base double, norm double, rare array<struct<word: bigint, times: int>>"))
+    coded = materialize(d.mapInArrow(lean(lambda it: _encode(it, shared)), f"row bigint, doc_id {kind}, held_out boolean, sym binary, known bigint, base double, norm double, rare array<struct<word: bigint, times: int>>"))
     model = baum_welch(coded.filter("not held_out"), lex, iterations)
     fit = sc.broadcast(model)
-    scored = coded.select("row", "doc_id", "held_out", "sym", "known", "base", "norm").mapInArrow(lambda it: _forward(it, fit), f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, norm double, chain double")
+    scored = coded.select("row", "doc_id", "held_out", "sym", "known", "base", "norm").mapInArrow(lean(lambda it: _forward(it, fit)), f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, norm double, chain double")
     # counts of rare words: joined by word, summed by row
     rare = coded.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
     joined = rare.join(counts.filter("class >= 0").select("word", "n"), "word", "left")

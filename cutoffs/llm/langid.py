@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutoffs.llm.chain import Chains
-from cutoffs.llm.common import Words, drawn, members, mixed, steps
+from cutoffs.llm.common import Words, drawn, lean, members, mixed, steps
 
 #: Labelled rows that the field is fitted to, at most.
 SAMPLE_ROWS = 2000
@@ -164,7 +164,7 @@ def predict(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_c
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(field)  # FEATURE_BITS bounds its size
-    return d.mapInArrow(lambda it: _predict(it, shared), f"doc_id {kind}, lang_pred string, score double")
+    return d.mapInArrow(lean(lambda it: _predict(it, shared)), f"doc_id {kind}, lang_pred string, score double")
 
 
 def _keep(batches: Iterator[pa.RecordBatch], shared, text: str, least: float) -> Iterator[pa.RecordBatch]:
@@ -177,4 +177,4 @@ def _keep(batches: Iterator[pa.RecordBatch], shared, text: str, least: float) ->
 def keep_known(docs: DataFrame, field: Field | None, text_col: str = "text", least: float = KEEP_SCORE) -> DataFrame:
     """The rows of docs whose language is known with a score of at least `least`."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    return docs.mapInArrow(lambda it: _keep(it, shared, text_col, least), docs.schema)
+    return docs.mapInArrow(lean(lambda it: _keep(it, shared, text_col, least)), docs.schema)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutoffs.contraction import connected_components
-from cutoffs.llm.common import raw, steps
+from cutoffs.llm.common import lean, raw, steps
 from cutoffs.session import materialize
 
 SEED = 42
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp BIGINT) for each row: a bit is set if over half of the shingle hashes have it set."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(lambda it: _fingerprints(it, words), f"doc_id {kind}, fp bigint")
+    return d.mapInArrow(lean(lambda it: _fingerprints(it, words)), f"doc_id {kind}, fp bigint")
 
 
 def block_masks(blocks: int, agree: int) -> list[int]:

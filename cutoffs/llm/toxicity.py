@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutoffs.llm.common import PLAIN, SPACED, STEP_BYTES, Words, drawn, raw, steps
+from cutoffs.llm.common import PLAIN, SPACED, STEP_BYTES, Words, drawn, lean, raw, steps
 
 ORDER, SPAN, GAP, FLOOR = 3, 7, 0.6, 0.3
 LANDMARKS, PLAIN_LANDMARKS = 42, 6
@@ -354,4 +354,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     if model.kernel is not None:
         model.kernel.reset()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the number of landmarks bounds its size
-    return d.mapInArrow(lambda it: _score(it, shared), f"doc_id {kind}, score double")
+    return d.mapInArrow(lean(lambda it: _score(it, shared)), f"doc_id {kind}, score double")
