@@ -5,12 +5,13 @@ the root yields the lowest rank and the leftmost place that has it. A merge chan
 pair dies, its neighbours get new ranks), each updated along one path of the tree, until the root holds no mergeable
 pair. Trees of many words are worked on together, a column per word, so that each step is a handful of array operations.
 
-The tokenizer file gives vocabulary and merges. Text is normalised and cut into words as that file says (NFC, white space
-to a space, lower case, words by pattern); each distinct word is encoded once per task and kept in a cache of bounded
-size, which changes nothing in the results.
+The tokenizer file gives vocabulary, merges and the pattern of words. Its normaliser has to be NFC, white space to a
+space, lower case, its words byte-level ones without a decoder; another file is refused. Distinct chunks of text between
+white space are encoded once and kept in a cache of bounded size, which changes nothing in the results. Decoding looks
+the tokens of the ids up and joins them by a space.
 
 Defined results: a null text is empty and has no tokens; repeated rows are encoded one by one; an empty table gives an
-empty result; only the id and text columns are read by `encode`, other columns are carried along by `round_trip`.
+empty result; only the id and text (or ids) columns are read.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutoffs.llm.common import steps
+from cutoffs.llm.common import Kept, lean, steps
 
-#: Words that a task keeps encoded; when it is full, the cache starts anew.
-CACHE_WORDS = 400_000
+#: Chunks of a generation that a task keeps encoded; there are two at most.
+CACHE_WORDS = 100_000
 NEVER = np.int32(2**31 - 1)
 
 
@@ -153,6 +154,10 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        steps_of = [(n["type"], n.get("content")) for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        kinds = [p["type"] for p in spec["pre_tokenizer"].get("pretokenizers", [])]
+        if model["type"] != "BPE" or steps_of != [("NFC", None), ("Replace", " "), ("Lowercase", None)] or kinds != ["Split", "ByteLevel"] or spec["decoder"]:
+            raise ValueError(f"{path}: not a lower-casing word-level BPE without a decoder")
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
         self.merges = Merges(self.vocab, model["merges"])
@@ -163,8 +168,8 @@ class WordBpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
         self.symbol = byte_symbols()
-        self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in added.items()}
-        self.kept: dict[str, tuple[bytes, str]] = {}
+        self.token = {i: t.encode() for t, i in self.vocab.items()} | {i: t.encode() for t, i in added.items()}
+        self.kept = Kept(CACHE_WORDS)
 
     def split_hint(self, text: str) -> bool:
         return any(h in text for h in self.heads)
@@ -189,9 +194,9 @@ class WordBpe:
         return regex.split(r"\s+", text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
     def learn(self, chunks: list[str]) -> None:
-        """Encode distinct chunks of text and keep them: ids as bytes, and their tokens joined."""
+        """Encode distinct chunks of text and keep their ids as bytes."""
         cut = {c: [c] if c in self.added else self.words.findall(self.normalise(c)) for c in chunks}
-        done: dict[str, tuple[bytes, str]] = {c: (np.uint32(i).tobytes(), c) for c, i in self.added.items()}
+        done: dict[str, bytes] = {c: np.uint32(i).tobytes() for c, i in self.added.items()}
         by_width: dict[int, list[tuple[str, list[int]]]] = {}
         vocab, symbol, end = self.vocab, self.symbol, self.end
         for w in {w for ws in cut.values() for w in ws} - self.added.keys():
@@ -206,36 +211,32 @@ class WordBpe:
                 sym = np.array([ids + [-1] * (width - len(ids)) for _, ids in part], dtype=np.int32)
                 out = PairTree(sym, self.merges).run()
                 some = out >= 0
-                flat, ends = out[some], np.cumsum(some.sum(axis=1)).tolist()
-                data, names, start = flat.astype("<u4").tobytes(), list(map(self.token.__getitem__, flat.tolist())), 0
-                for (w, _), stop in zip(part, ends, strict=True):
-                    done[w] = (data[4 * start : 4 * stop], " ".join(names[start:stop]))
+                data, start = out[some].astype("<u4").tobytes(), 0
+                for (w, _), stop in zip(part, np.cumsum(4 * some.sum(axis=1)).tolist(), strict=True):
+                    done[w] = data[start:stop]
                     start = stop
         for c, ws in cut.items():
-            got = [done[w] for w in ws]
-            self.kept[c] = got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]]))
+            self.kept.young[c] = done[ws[0]] if len(ws) == 1 else b"".join([done[w] for w in ws])
 
-    def encode_all(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """(ids as little-endian 32-bit integers, decoded text) of each text."""
-        if len(self.kept) > CACHE_WORDS:
-            self.kept.clear()
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
         cut = [self.chunks(t) for t in texts]
-        kept = self.kept
-        new = {w for ws in cut for w in ws}.difference(kept)
+        new = self.kept.missing({w for ws in cut for w in ws})
         if new:
             self.learn(sorted(new))
-        out = []
-        for ws in cut:
-            got = [kept[w] for w in ws]
-            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]])))
-        return out
+        kept = self.kept.young
+        return [b"".join([kept[w] for w in ws]) for ws in cut]
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_all([text])[0][0], dtype="<u4").tolist()
+        return np.frombuffer(self.encode_all([text])[0], dtype="<u4").tolist()
+
+    def decode_bytes(self, ids: bytes) -> bytes:
+        """The text, in UTF-8, of ids as little-endian 32-bit integers; an unknown id stands for nothing."""
+        return b" ".join([t for t in map(self.token.get, np.frombuffer(ids, dtype="<u4").tolist()) if t is not None])
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by a space, as a file without a decoder asks for."""
-        return " ".join(self.token[i] for i in ids if i in self.token)
+        return self.decode_bytes(np.array(ids, dtype="<u4").tobytes()).decode()
 
 
 @lru_cache(maxsize=2)
@@ -243,26 +244,45 @@ def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, list[bytes], list[bytes]]]:
+    """Document ids, token ids and decoded texts of some rows at a time."""
     bpe = word_bpe(path)
     for batch in batches:
         for part in steps(batch):
-            got = bpe.encode_all([t or "" for t in part.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.string())], names=["doc_id", "ids", "decoded"])
+            ids = bpe.encode_all([t or "" for t in part.column(1).to_pylist()])
+            yield part.column(0), ids, list(map(bpe.decode_bytes, ids))
+
+
+def _texts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    for doc, ids, text in _encode(batches, path):
+        yield pa.RecordBatch.from_arrays([doc, pa.array(ids, pa.binary()), pa.array(text, pa.binary()).cast(pa.string())], names=["doc_id", "ids", "decoded"])
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, decoded): ids as little-endian unsigned 32-bit integers, and the text decoded from them."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(lambda it: _encode(it, path), f"doc_id {kind}, ids binary, decoded string")
+    return d.mapInArrow(lean(lambda it: _texts(it, path)), f"doc_id {kind}, ids binary, decoded string")
+
+
+def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    bpe = word_bpe(path)
+    for batch in batches:
+        text = [None if x is None else bpe.decode_bytes(x) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.binary()).cast(pa.string())], names=["doc_id", "decoded"])
+
+
+def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(doc_id, decoded) of rows of ids, little-endian unsigned 32-bit integers as `encode` gives them; null for null."""
+    d = rows.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
+    kind = d.schema["doc_id"].dataType.simpleString()
+    return d.mapInArrow(lean(lambda it: _decode(it, path)), f"doc_id {kind}, decoded string")
 
 
 def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    for part in _encode(batches, path):
-        ids, text = part.column(1).to_pylist(), part.column(2).to_pylist()
-        sha = lambda x: hashlib.sha256(x).hexdigest()
-        columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(list(map(sha, ids))), pa.array([sha(t.encode()) for t in text])]
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    for doc, ids, text in _encode(batches, path):
+        columns = [doc, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(list(map(sha, ids)), pa.string()), pa.array(list(map(sha, text)), pa.string())]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
@@ -270,4 +290,4 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of `encode`, without moving ids and texts out of the tasks."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(lambda it: _digests(it, path), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return d.mapInArrow(lean(lambda it: _digests(it, path)), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
