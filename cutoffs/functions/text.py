@@ -120,14 +120,14 @@ def clean_name(name: Column) -> Column:
     return F.regexp_replace(lead, r",(?=\S)", ", ")
 
 
-def _by_key(table: dict[str, dict[str, str]], key: Column, lang: str) -> Column:
+def by_key(table: dict[str, dict[str, str]], key: Column, lang: str) -> Column:
     """The entry of a fixed table for a key, null where it has none."""
     return F.try_element_at(F.create_map(*[F.lit(x) for k, v in table.items() if lang in v for x in (k, v[lang])]), F.coalesce(key, F.lit("")))
 
 
 def site_label(crossing: Column, road: Column, place: Column, place_local: Column, lang: str = "en-IN") -> Column:
     """Where a crossing is: its kind, the place near it (by its name in the language, if there is one), and the road."""
-    what = F.coalesce(_by_key(CROSSING, crossing, lang), F.lit(CROSSING["road"][lang]))
+    what = F.coalesce(by_key(CROSSING, crossing, lang), F.lit(CROSSING["road"][lang]))
     near = F.coalesce(F.nullif(place_local, F.lit("")), place) if lang != "en-IN" else place
     what = F.when(near.isNotNull(), filled(NEAR[lang], what=what, place=near)).otherwise(what)
     return F.when(F.coalesce(road, F.lit("")) != "", F.concat(what, filled(ON_ROAD[lang], road=road))).otherwise(what)
@@ -135,7 +135,7 @@ def site_label(crossing: Column, road: Column, place: Column, place_local: Colum
 
 def facility_label(kind: Column, name: Column, simulated: Column, lang: str = "en-IN") -> Column:
     """A facility's clean name, or its kind where it has none; in other languages with the kind after it."""
-    label = F.coalesce(_by_key(FACILITY_TYPES, kind, lang), kind)
+    label = F.coalesce(by_key(FACILITY_TYPES, kind, lang), kind)
     own = F.when(F.coalesce(name, F.lit("")) != "", clean_name(name)).otherwise(label)
     mark = F.when(F.coalesce(simulated, F.lit(False)), " (SIMULATED)").otherwise("")
     return F.concat(own, mark) if lang == "en-IN" else F.concat(own, F.lit(" – "), label, mark)

@@ -91,6 +91,19 @@ def sc4(spark, sf):
     return sql(spark, sf, TRACKS).select("event_id", x.alias("x"), y.alias("y")).select("event_id", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
 
 
+#: The ellipsoid's constants for the projection, of third order: radius, three coefficients, eccentricity.
+_UTM = """u AS (SELECT event_id, radians(lat) AS p, radians(lon - 81) AS d FROM x), v AS (SELECT event_id, d, sinh(asinh(tan(p)) - 0.08181919084262149e0 * atanh(0.08181919084262149e0 * sin(p))) AS t FROM u),
+w AS (SELECT event_id, atan2(t, cos(d)) AS xi, asinh(sin(d) / sqrt(t * t + cos(d) * cos(d))) AS eta FROM v)
+SELECT event_id, round(500000 + 0.9996e0 * 6367449.145823415e0 * (eta + 0.0008377318188192541 * cos(2 * xi) * sinh(2 * eta) + 7.608496958699166e-07 * cos(4 * xi) * sinh(4 * eta) + 1.2034877875966646e-09 * cos(6 * xi) * sinh(6 * eta)), 2) AS x,
+ round(0.9996e0 * 6367449.145823415e0 * (xi + 0.0008377318188192541 * sin(2 * xi) * cosh(2 * eta) + 7.608496958699166e-07 * sin(4 * xi) * cosh(4 * eta) + 1.2034877875966646e-09 * sin(6 * xi) * cosh(6 * eta)), 2) AS y FROM w"""
+
+
+@query("SC4_utm", f"WITH {_T}, {_UTM}")
+def sc4_xy(spark, sf):
+    x, y = geo.to_utm(F.col("lon"), F.col("lat"))
+    return sql(spark, sf, TRACKS).select("event_id", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
+
+
 _FIX = "f AS (SELECT source, member_no, s, first(lat) AS lat, first(lon) AS lon, first(vmax_ms) AS v FROM x GROUP BY 1, 2, 3)"
 
 

@@ -201,11 +201,41 @@ def f19(spark, sf):
     return c.select("vec_id", F.round("c", 6).alias("cos"), (F.col("c") < 0.85).alias("flagged"))
 
 
-@query("F20_facts_view", "SELECT n_nationkey, 'district.' || lower(n_name) || '.people' AS fact_id, 'people' AS kind, count(c_custkey) AS value FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2 UNION ALL SELECT n_nationkey, 'district.' || lower(n_name) || '.region', 'text', n_regionkey FROM nation")
+#: Nations as districts; their suppliers are facilities, their customers actions.
+_DISTRICT = "SELECT n_nationkey AS district, n_name AS district_name, CASE WHEN n_nationkey % 5 = 4 THEN 'official' ELSE 'ensemble' END AS mode, n_nationkey * 9000.0 AS pop_p10, n_nationkey * 20000.0 AS pop_p50, n_nationkey * 41000.0 AS pop_p90 FROM nation"
+_PEOPLE = "CASE WHEN {n} >= 100000 THEN format('{:.1f}', round_even({n} / 1e5, 1)) || ' lakh' WHEN {n} >= 1000 THEN format('{},{:03d}', CAST({n} AS BIGINT) // 1000, CAST({n} AS BIGINT) % 1000) ELSE CAST(CAST({n} AS BIGINT) AS VARCHAR) END"
+
+
+def _said(n: str) -> str:
+    return _PEOPLE.replace("{n}", n)
+
+
+@query(
+    "F20_facts_view",
+    f"""WITH d AS ({_DISTRICT}), f AS (SELECT s_nationkey AS district, s_suppkey, (s_suppkey * 37 % 1000) / 1e3 AS p, row_number() OVER (PARTITION BY s_nationkey ORDER BY (s_suppkey * 37 % 1000) / 1e3 DESC, s_suppkey) AS k FROM supplier),
+a AS (SELECT c_nationkey AS district, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer)
+SELECT district, 'provenance' AS fact_id, true AS required, 'IMD National Bulletin No. 21 issued 27 Oct 2025, 11:30 IST' AS en, 'imd_bulletin_no' AS row_id FROM d
+UNION ALL SELECT district, 'provenance_short', false, 'IMD Bulletin 21', 'imd_bulletin_no' FROM d UNION ALL SELECT district, 'district', true, district_name, 'district_name' FROM d UNION ALL SELECT district, 'landfall_window', false, '“tonight” (IMD)', 'landfall_window_text' FROM d
+UNION ALL SELECT district, 'ensemble_size', false, '1,062 storm futures (ECMWF and Google DeepMind WeatherNext, aligned to the IMD track)', 'members' FROM d WHERE mode = 'ensemble'
+UNION ALL SELECT district, 'pop_cut_p50', true, {_said("pop_p50")}, 'pop_cut_hospital.p50' FROM d UNION ALL SELECT district, 'pop_cut_range', true, {_said("pop_p10")} || ' to ' || {_said("pop_p90")}, 'pop_cut_hospital.p10_p90' FROM d WHERE mode = 'ensemble'
+UNION ALL SELECT f.district, 'fac' || k || '_name', k = 1, 'PHC ' || s_suppkey, CAST(s_suppkey AS VARCHAR) FROM f WHERE k <= 5
+UNION ALL SELECT f.district, 'fac' || k || '_p', k = 1, CASE WHEN p < 0.005 THEN '<1%' WHEN p > 0.995 THEN '>99%' ELSE CAST(CAST(round_even(p * 100, 0) AS BIGINT) AS VARCHAR) || '%' END, CAST(s_suppkey AS VARCHAR) FROM f JOIN d ON f.district = d.district WHERE k <= 5 AND mode = 'ensemble'
+UNION ALL SELECT f.district, 'fac' || k || '_window', k = 1, '28 Oct, 22:30 IST to 29 Oct, 05:30 IST', CAST(s_suppkey AS VARCHAR) FROM f WHERE k <= 5 AND s_suppkey % 2 = 0
+UNION ALL SELECT district, 'act' || k || '_site', k = 1, 'culvert near Tuni', CAST(c_custkey AS VARCHAR) FROM a WHERE k <= 3 UNION ALL SELECT district, 'act' || k || '_deadline', k = 1, '28 Oct, 22:30 IST (P10 closure − 6 h)', CAST(c_custkey AS VARCHAR) FROM a WHERE k <= 3
+UNION ALL SELECT district, 'act' || k || '_deadline_short', false, '28 Oct, 22:30 IST', CAST(c_custkey AS VARCHAR) FROM a WHERE k <= 3 UNION ALL SELECT district, 'act' || k || '_people', false, '12,300', CAST(c_custkey AS VARCHAR) FROM a WHERE k <= 3""",
+)
 def f20(spark, sf):
-    n = sql(spark, sf, "SELECT n_nationkey, lower(n_name) AS name, n_regionkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS people FROM nation")
-    fact = lambda s, kind, v: F.struct(F.concat(F.lit("district."), F.col("name"), F.lit(s)).alias("fact_id"), F.lit(kind).alias("kind"), F.col(v).cast("long").alias("value"))
-    return n.select("n_nationkey", F.explode(F.array(fact(".people", "people", "people"), fact(".region", "text", "n_regionkey"))).alias("f")).select("n_nationkey", "f.*")
+    from cutoffs.operators.facts import build_facts
+
+    at = lambda t: F.lit(t).cast("timestamp")
+    no = F.lit(None).cast("double")
+    d = sql(spark, sf, _DISTRICT).withColumns({"run_id": F.lit("r"), "bulletin_no": F.lit("21"), "issued_at": at("2025-10-27 06:00:00"), "landfall_text": F.lit("tonight"), "members": F.create_map(F.lit("a"), F.lit(976), F.lit("b"), F.lit(86), F.lit("IMD"), F.lit(1)), "fac_p10": no, "fac_p50": no, "fac_p90": no})
+    s = sql(spark, sf, "SELECT s_nationkey AS district, s_suppkey AS facility_id FROM supplier")
+    even = F.col("facility_id") % 2 == 0
+    s = s.withColumns({"run_id": F.lit("r"), "type": F.lit("phc"), "name": F.concat(F.lit("PHC,"), F.col("facility_id")), "simulated": F.lit(False), "p": F.col("facility_id") * 37 % 1000 / 1000, "t10": F.when(even, at("2025-10-28 17:00:00")), "t90": F.when(even, at("2025-10-29 00:00:00"))})
+    a = sql(spark, sf, "SELECT c_nationkey AS district, c_custkey AS action_id FROM customer")
+    a = a.withColumns({"run_id": F.lit("r"), "rank": F.lit(1), "crossing": F.lit("culvert"), "road": F.lit(None).cast("string"), "place": F.lit("Tuni"), "place_te": F.lit("తుని"), "place_hi": F.lit(None).cast("string"), "deadline": at("2025-10-28 17:00:00"), "basis": F.lit("P10 closure - 6 h"), "people": F.lit(12345.0), "p_event": no})
+    return build_facts(d, s, a).select("district", "fact_id", "required", "en", "row_id")
 
 
 @query("F22_citations", "SELECT c.conv_id, c.turn, 'fact_' || (c.turn % 7) AS fact_id, n.n_name AS value FROM conversations c JOIN nation n ON n.n_nationkey = c.turn % 7 WHERE c.turn % 7 <> 3 UNION SELECT conv_id, turn, 'fact_1', n_name FROM conversations JOIN nation ON n_nationkey = 1")

@@ -220,6 +220,35 @@ def test_sites_are_classified(spark):
     assert [r["target_tier"] for r in text.referral_targets(t).collect()] == ["chc", "sdh_area_hospital", "district_hospital"]
 
 
+def test_projection_of_known_points(spark):
+    """On the meridian the northing is the scaled arc; a degree of longitude at the equator is 111,319.49 m less the scale."""
+    r = spark.range(1).select(*geo.to_utm(F.lit(81.0), F.lit(16.0)), *geo.to_utm(F.lit(82.0), F.lit(0.0))).first()
+    a, f = 6378137.0, 1 / 298.257223563
+    e2 = f * (2 - f)
+    p = math.radians(16)
+    arc = a * ((1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * p - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * math.sin(2 * p) + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * math.sin(4 * p) - 35 * e2**3 / 3072 * math.sin(6 * p))
+    assert math.isclose(r[0], 500000, abs_tol=1e-6) and math.isclose(r[1], 0.9996 * arc, abs_tol=0.001)
+    assert math.isclose(r[2], 500000 + 0.9996 * 111319.49 * (1 + math.radians(1) ** 2 / 6 / (1 - e2)), abs_tol=0.5) and abs(r[3]) < 1e-6
+
+
+def test_facts_of_an_official_run_have_no_probabilities(spark):
+    from cutoffs.operators.facts import build_facts
+
+    at = datetime(2025, 10, 28, 17)
+    no = [None] * 3
+    d = spark.createDataFrame([("r", 1, "Kakinada", m, "21", at, "tonight", {"IMD": 1, "x": 50}, 1000.0, 334619.0, 500000.0, *no) for m in ("official",)] + [("r", 2, "Elsewhere", "ensemble", "21", at, "tonight", {"IMD": 1, "x": 1062}, 1000.0, 334619.0, 500000.0, 1.0, 2.0, 3.0)], "run_id string, district int, district_name string, mode string, bulletin_no string, issued_at timestamp, landfall_text string, members map<string,int>, pop_p10 double, pop_p50 double, pop_p90 double, fac_p10 double, fac_p50 double, fac_p90 double")
+    f = spark.createDataFrame([("r", k, f"f{j}", "chc", None, j == 2, p, at, None if j == 1 else at) for k in (1, 2) for j, p in ((1, 0.2), (2, 0.9), (3, None))], "run_id string, district int, facility_id string, type string, name string, simulated boolean, p double, t10 timestamp, t90 timestamp")
+    a = spark.createDataFrame([("r", 1, 1, "a", "bridge", "NH 16", "Tuni", "తుని", None, at, "other", 87.0, 0.4)], "run_id string, district int, rank int, action_id string, crossing string, road string, place string, place_te string, place_hi string, deadline timestamp, basis string, people double, p_event double")
+    got = {(r["district"], r["fact_id"]): r for r in build_facts(d, f, a).collect()}
+    assert not [k for k in got if k[0] == 1 and (k[1].endswith("_p") or "range" in k[1] or k[1] == "ensemble_size")]
+    assert {k[1] for k in got if k[0] == 2} == {"provenance", "provenance_short", "district", "landfall_window", "ensemble_size", "pop_cut_p50", "pop_cut_range", "fac_risk_p50", "fac_risk_range", "fac1_name", "fac1_p", "fac1_window", "fac2_name", "fac2_p"}
+    assert got[1, "district"]["te"] == "కాకినాడ" and got[2, "district"]["hi"] == "Elsewhere"
+    assert got[2, "pop_cut_range"]["hi"] == "1,000 से 5.0 लाख तक" and got[2, "fac_risk_range"]["en"] == "1 to 3"
+    assert got[1, "fac1_name"]["en"] == "CHC (SIMULATED)" and got[1, "fac1_name"]["required"] and not got[1, "fac2_name"]["required"]
+    assert got[1, "act1_site"]["en"] == "bridge near Tuni on NH 16" and got[1, "act1_site"]["te"] == "తుని సమీపంలోని వంతెన (NH 16)" and got[1, "act1_site"]["hi"] == "Tuni के पास पुल (NH 16)"
+    assert got[1, "act1_deadline"]["en"] == "28 Oct, 22:30 IST (other)" and got[1, "act1_people"]["en"] == "90"
+
+
 def test_areas_by_name_region_and_state(spark):
     areas = spark.createDataFrame(
         [("Kakinada", [], "Coastal Andhra Pradesh & Yanam", "north_coastal"), ("Krishna district", ["Krishna"], "Coastal Andhra Pradesh & Yanam", "south_coastal"), ("Tirupati", [], "Rayalaseema", "rayalaseema"), ("East Godavari", ["East & West Godavari"], "Coastal Andhra Pradesh & Yanam", "north_coastal")],
