@@ -3,7 +3,7 @@
 Documents are put in ascending order of their id and encoded with a byte-level BPE file of the tokenizers library; the
 end id follows each document. Every SHARD_TOKENS ids (rounded up to whole documents) make a shard. In rounds, the most
 frequent adjacent pairs of a shard become nonterminals and replace their non-overlapping occurrences, left to right,
-until no pair occurs often enough to pay for its rule. A shard's payload holds the rules, the length of what each rule
+until no pair occurs LEAST times. A shard's payload holds the rules, the length of what each rule
 expands to, and the remaining sequence in fixed-width bits; with the running sum of lengths, any range of ids is decoded
 from the symbols that cover it, without the rest of the shard.
 
@@ -27,12 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutoffs.llm.common import steps
+from cutoffs.llm.common import Kept, lean, steps
 from cutoffs.session import materialize
 
 END_ID = 2
 SHARD_TOKENS = 1_000_000
-ROUNDS, RULES_PER_ROUND, LEAST = 5, 4096, 24
+#: Occurrences from which a pair gets a rule; a round replaces pairs down to 1 / SHARE of the most frequent one's count.
+LEAST, SHARE = 24, 8
+#: Pieces of a generation that a task keeps encoded; there are two at most.
 CACHE_WORDS = 500_000
 _HASH_BITS = 18
 
@@ -51,19 +53,21 @@ class ByteBpe:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.heads = sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
-        self.kept: dict[str, bytes] = {}  # of " " + key
+        # a character of a byte-level token stands for a byte
+        self.size = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], dtype=np.int64)
+        self.kept = Kept(CACHE_WORDS)  # of " " + key
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encodes pieces, each after a space, many in a call: ids come with the number of their piece."""
+        """Encodes pieces, each after a space, many as one text: no token goes beyond its piece, so bytes tell them apart."""
         for a in range(0, len(pieces), 20_000):
             part = pieces[a : a + 20_000]
-            got = self.tokenizer.encode([" " + p for p in part], is_pretokenized=True, add_special_tokens=False)
-            data, word = np.array(got.ids, dtype="<u4").tobytes(), np.array(got.word_ids)
-            ends = (4 * np.searchsorted(word, np.arange(len(part)), side="right")).tolist()
-            self.kept.update(zip(part, [data[x:y] for x, y in zip([0, *ends], ends, strict=False)], strict=True))
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([1 + len(p.encode()) for p in part]))
+            data, ends = ids.tobytes(), (4 * (stops + 1)).tolist()
+            self.kept.young.update(zip(part, [data[x:y] for x, y in zip([0, *ends], ends, strict=False)], strict=True))
 
     @staticmethod
     def _joined(parts: list[str]) -> list[str]:
@@ -78,29 +82,25 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        if len(self.kept) > CACHE_WORDS:
-            self.kept.clear()
         # a text in which an added token may stand goes through the library as a whole
         special = [i for i, t in enumerate(texts) if any(h in t for h in self.heads)]
         parts = [t.split(" ") for t in texts]
         for i in special:
             parts[i] = [""]
-        got = [list(map(self.kept.get, ps)) for ps in parts]
-        new = {p for ps, g in zip(parts, got, strict=True) if None in g for p, x in zip(ps, g, strict=True) if x is None}
+        got = [list(map(self.kept.young.get, ps[1:])) for ps in parts]
+        new = self.kept.missing({p for ps, g in zip(parts, got, strict=True) for p, x in zip(ps[1:], g, strict=True) if x is None})
         odd = {p for p in new if not p or p[0].isspace()}
-        for i, (ps, g) in enumerate(zip(parts, got, strict=True)) if odd else ():
-            if None in g and not odd.isdisjoint(ps[1:]):
-                parts[i] = self._joined(ps)
-                got[i] = list(map(self.kept.get, parts[i]))
-                new.update(p for p, x in zip(parts[i], got[i], strict=True) if x is None)
+        if odd:
+            for i, ps in enumerate(parts):
+                if None in got[i] and not odd.isdisjoint(ps[1:]):
+                    parts[i] = self._joined(ps)
+                    got[i] = list(map(self.kept.young.get, parts[i][1:]))
+                    new.update(p for p, x in zip(parts[i][1:], got[i], strict=True) if x is None)
         self._learn(list(new - odd))
         for ps, g in zip(parts, got, strict=True):
             if None in g:
-                g[:] = map(self.kept.get, ps)
-        heads = self._whole([ps[0] for ps in parts])
-        for h, g in zip(heads, got, strict=True):
-            g[0] = h
-        out = [b"".join(g) for g in got]
+                g[:] = [self.kept.young[p] if x is None else x for p, x in zip(ps[1:], g, strict=True)]
+        out = [h + b"".join(g) for h, g in zip(self._whole([ps[0] for ps in parts]), got, strict=True)]
         for i, ids in zip(special, self._whole([texts[i] for i in special]), strict=True):
             out[i] = ids
         return out
@@ -111,51 +111,76 @@ def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def re_pair(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(sequence, rules, base): rule k is the pair that nonterminal base + k stands for."""
+def re_pair(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sequence, rules, base): rule k is the pair that nonterminal base + k stands for.
+
+    Pairs are counted by slots of a hash first, and exactly where a slot is frequent; pairs in a run of one symbol count
+    without overlap. Each round replaces the pairs that occur at least 1 / SHARE as often as the most frequent slot, or,
+    if there is none, those that occur `least` times. It ends when no pair does.
+    """
     base = int(ids.max(initial=0)) + 1
-    seq, rules, n_rules = ids.astype(np.uint32), [], 0
+    seq, rules, n_rules, alone, all_ = ids.astype(np.uint32), [], 0, False, False
     lut = np.empty(1 << _HASH_BITS, dtype=np.int32)
-    for _ in range(ROUNDS):
-        if len(seq) < 2 * LEAST:
-            break
+    while len(seq) > least:
         a, b = seq[:-1], seq[1:]
         slot = ((a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - _HASH_BITS)).astype(np.int64)
-        count = np.bincount(slot, minlength=1 << _HASH_BITS)
-        often = np.argpartition(count, -RULES_PER_ROUND)[-RULES_PER_ROUND:]
-        often = often[count[often] >= LEAST]
-        if not len(often):
-            break
+        # a pair is not more frequent than its slot, so only the places of frequent slots need exact counts
+        total = np.bincount(slot, minlength=1 << _HASH_BITS)
+        enough = least if all_ else max(least, int(total.max()) // SHARE)
+        all_ = False
+        at = np.flatnonzero((total >= enough)[slot])
+        at = at[_every_second(at, a[at] == b[at])]
+        key = a[at].astype(np.uint64) << np.uint64(32) | b[at]
+        pair, count = _counted(key)
+        some = np.flatnonzero(count >= enough)
+        if not len(some):
+            if enough == least:
+                break
+            all_ = True
+            continue
+        some = some[np.argsort(count[some], kind="stable")][-1 if alone else 0 :]
+        first, second = (pair[some] >> np.uint64(32)).astype(np.uint32), pair[some].astype(np.uint32)
+        # of chosen pairs in one slot the most frequent has it; the others wait for the next round
         lut.fill(-1)
-        lut[often] = np.arange(len(often), dtype=np.int32)
-        rule = lut[slot]
-        at = np.flatnonzero(rule >= 0)
-        rule = rule[at]
-        # one pair stands for its slot: that of the last occurrence; others in the slot wait for a later round
-        first, second = np.empty(len(often), dtype=np.uint32), np.empty(len(often), dtype=np.uint32)
-        first[rule], second[rule] = a[at], b[at]
-        same = (first[rule] == a[at]) & (second[rule] == b[at])
-        at, rule = at[same], rule[same]
-        # of pairs that overlap, every second one in a run of neighbours is taken
-        new = np.ones(len(at), dtype=bool)
-        new[1:] = at[1:] != at[:-1] + 1
-        place = np.arange(len(at))
-        take = ((place - np.maximum.accumulate(np.where(new, place, 0))) & 1) == 0
+        lut[((first * np.uint32(0x9E3779B1) + second * np.uint32(0x85EBCA77)) >> np.uint32(32 - _HASH_BITS)).astype(np.int64)] = np.arange(len(some), dtype=np.int32)
+        rule = lut[slot[at]]
+        hit = np.flatnonzero((rule >= 0) & (pair[some][rule] == key))
+        at, rule = at[hit], rule[hit]
+        take = _every_second(at, np.ones(len(at), dtype=bool))
         at, rule = at[take], rule[take]
-        enough = np.bincount(rule, minlength=len(often)) >= LEAST // 2
-        keep = enough[rule]
+        used = np.bincount(rule, minlength=len(some)) >= least // 2
+        keep = used[rule]
         at, rule = at[keep], rule[keep]
-        if not len(at):
-            break
-        rules.append(np.stack((first[enough], second[enough]), axis=1))
-        seq[at] = (base + n_rules - 1 + np.cumsum(enough)).astype(np.uint32)[rule]
-        n_rules += int(enough.sum())
+        alone = not len(at)  # where pairs are in each other's way the most frequent one is replaced alone
+        if alone:
+            continue
+        rules.append(np.stack((first[used], second[used]), axis=1))
+        seq[at] = (base + n_rules - 1 + np.cumsum(used)).astype(np.uint32)[rule]
+        n_rules += int(used.sum())
         stay = np.ones(len(seq), dtype=bool)
         stay[at + 1] = False
         seq = seq[stay]
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32), base
 
 
+def _every_second(at: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Flags of the places `at` to keep: of those flagged in `among`, every second one in a run of neighbours."""
+    out = np.ones(len(at), dtype=bool)
+    here = np.flatnonzero(among)
+    place, own = np.arange(len(here)), at[here]
+    new = np.ones(len(own), dtype=bool)
+    new[1:] = own[1:] != own[:-1] + 1
+    out[here] = ((place - np.maximum.accumulate(np.where(new, place, 0))) & 1) == 0
+    return out
+
+
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often each occurs."""
+    key = np.sort(key)
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
+    return key[edge], np.diff(np.append(edge, len(key)))
+
+
 def lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """How many ids each rule expands to (a rule refers to earlier rules only)."""
     out: list[int] = []
@@ -196,8 +221,24 @@ class Grammar:
         high = self.seq >= self.base
         size[high] = self.length[self.seq[high] - self.base]
         self.ends = np.cumsum(size)
+        self.table: np.ndarray | None = None
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
+        """The ids of some symbols, copied from a table of what each rule expands to, if that is not out of proportion."""
+        if len(seq) < len(self.rules) or self.length.sum() > 4 * self.n_ids:
+            return self.opened(seq)
+        if self.table is None:
+            self.table = self.opened(self.base + np.arange(len(self.rules)))
+            self.begin = np.cumsum(self.length) - self.length
+        out_at = np.concatenate((seq.astype("<u4"), self.table))
+        high = seq >= self.base
+        size, start = np.ones(len(seq), dtype=np.int64), np.arange(len(seq))
+        rule = seq[high] - self.base
+        size[high], start[high] = self.length[rule], len(seq) + self.begin[rule]
+        ends = np.cumsum(size)
+        return out_at[np.repeat(start - (ends - size), size) + np.arange(ends[-1])]
+
+    def opened(self, seq: np.ndarray) -> np.ndarray:
         """The ids of some symbols; each pass opens all nonterminals by one rule."""
         while True:
             high = seq >= self.base
@@ -237,7 +278,7 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_tok
         return pa.RecordBatch.from_arrays(row, names=["range", "shard", "first", "n_tokens", "doc_ids", "sizes", "payload"])
 
     for batch in batches:
-        for step in steps(batch):
+        for step in steps(batch, limit=2 << 20):
             for ids in bpe.encode([t or "" for t in step.column(1).to_pylist()]):
                 held.append(ids + end)
             names.append(step.column(0))
@@ -259,7 +300,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     ordered = d.repartitionByRange(n, "doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
     schema = f"range int, shard int, first bigint, n_tokens bigint, doc_ids array<{kind}>, sizes array<bigint>, payload binary"
-    return materialize(ordered.mapInArrow(lambda it: _shards(it, path, end_id, shard_tokens), schema))
+    return materialize(ordered.mapInArrow(lean(lambda it: _shards(it, path, end_id, shard_tokens)), schema))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,4 +326,4 @@ def documents(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, decoded from the shards' payloads."""
     kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
     rows = located(shards).select("start", "doc_ids", "sizes", "payload")
-    return rows.mapInArrow(_read, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return rows.mapInArrow(lean(_read), f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
