@@ -1,17 +1,20 @@
 """Language model scoring with a hidden Markov model trained by Baum-Welch over the whole training corpus.
 
-Tokens are the words of a lower-cased (A-Z) text and one end. The TOP_WORDS most frequent training words are symbols of
-their own; any other word is the symbol of its class (a hash of its ending) times its share of the class, from exact
-corpus counts with add-half smoothing. So the tables that every task needs have a fixed size, while the counts of all
-words stay in a Spark table that is joined by word. Expected counts of emissions and moves are computed per task by
-forward-backward and summed by Spark; a text's score is the scaled forward recursion over its symbols plus the shares.
+Tokens are the words of a lower-cased (A-Z) text and one end. The most frequent training words, about `top_words` of them,
+are symbols of their own; any other word is the symbol of its class (a hash of its ending) times its share of the class,
+from exact corpus counts with add-half smoothing. So the tables that every task needs have a fixed size, while the counts
+of all words stay in a Spark table that is joined by word. With `top_words` of the size of the vocabulary every training
+word is a symbol of its own, and the model has no classes but for unknown words. Expected counts of emissions and moves
+are computed per task by forward-backward and summed by Spark; a text's score is the scaled forward recursion over its
+symbols plus the shares.
 
 Before the passes over the corpus the parameters are set by a few rounds on at most WARM_DOCS texts (the ones with the
-smallest hash); all counts, and the ITERATIONS passes that make the model, cover every training text.
+smallest hash). All counts cover every training text, and passes over all of them follow until one raises the
+log-likelihood by less than TOLERANCE of it (or MOST_PASSES).
 
 Defined results: a null text is empty (an end only); a null id is in the training part; repeated rows count and are
-scored one by one; with an empty training part the model is uniform; an empty table gives an empty result; only the id
-and text columns are read.
+scored one by one; with an empty training part the model is uniform; an empty table gives an empty result; a text of more
+than LONG tokens is trained as several sequences, and scored as one; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -31,9 +34,10 @@ from cutoffs.session import materialize
 STATES = 8
 TOP_WORDS = 49152
 CLASSES = 4096
-#: Symbols: the top words, the classes, the end.
-SYMBOLS = TOP_WORDS + CLASSES + 1
-ITERATIONS = 2
+#: Passes over the corpus, at most, and the share of the log-likelihood under which a gain ends them.
+MOST_PASSES, TOLERANCE = 20, 0.002
+#: Tokens of a sequence in training, and of a step in scoring.
+LONG = 200_000
 WARM_DOCS, WARM_ROUNDS = 1000, 12
 SMOOTHING = 0.1
 
@@ -74,6 +78,10 @@ class Lexicon:
         self.top, self.top_n = top[order], top_n[order]
         self.class_n, self.class_v, self.total, self.distinct = class_n, class_v, total, distinct
         self.end_n = 0
+        #: Symbols: the top words, the classes, the end.
+        self.n_top = len(self.top)
+        self.symbols_n = self.n_top + len(class_n) + 1
+        self.kind = "<u2" if self.symbols_n <= 1 << 16 else "<u4"
 
     def symbols(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(symbol of each word, flag of each rare word)."""
@@ -82,13 +90,23 @@ class Lexicon:
             rare = self.top[at] != words.hash
         else:
             at, rare = np.zeros(len(words.hash), dtype=np.int64), np.ones(len(words.hash), dtype=bool)
-        return np.where(rare, TOP_WORDS + word_class(words), at), rare
+        return np.where(rare, self.n_top + word_class(words), at), rare
 
 
-def lexicon(counts: DataFrame) -> Lexicon:
-    """Collects the TOP_WORDS largest counts and one row per class: tables of fixed size."""
-    words = counts.filter("class >= 0")
-    top = materialize(words.orderBy(F.desc("n"), "word").limit(TOP_WORDS)).toPandas()  # ranked by tasks, not by the driver
+def lexicon(counts: DataFrame, top_words: int = TOP_WORDS) -> Lexicon:
+    """Collects the counts of at most top_words words and one row per class: tables of bounded size.
+
+    Words are counted by the size of their counts, in 64 steps for each doubling; all words from some step on are taken.
+    """
+    step = F.floor(F.log2("n") * 64)
+    words = counts.filter("class >= 0").withColumn("step", step)
+    at, held, least = words.groupBy("step").agg(F.count("*").alias("v")).orderBy(F.desc("step")).collect(), 0, 1 << 20
+    for r in at:  # 64 rows for each doubling of the largest count
+        held += r["v"]
+        if held > top_words:
+            break
+        least = r["step"]
+    top = words.filter(F.col("step") >= least).select("word", "class", "n").toPandas()
     all_of = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     per = words.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
     class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -113,10 +131,10 @@ def _encode(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
             n, counts = part.num_rows, words.counts()
             known = np.bincount(words.doc[~rare], minlength=n)
             base = np.bincount(words.doc[~rare], weights=logs[sym[~rare]], minlength=n)
-            norm = np.bincount(words.doc[rare], weights=norms[sym[rare] - TOP_WORDS], minlength=n)
+            norm = np.bincount(words.doc[rare], weights=norms[sym[rare] - lex.n_top], minlength=n)
             ends = np.cumsum(counts)
-            data = np.insert(sym, ends, SYMBOLS - 1).astype("<u2").tobytes()
-            at = np.append(0, np.cumsum(counts + 1)) * 2
+            data = np.insert(sym, ends, lex.symbols_n - 1).astype(lex.kind).tobytes()
+            at = np.append(0, np.cumsum(counts + 1)) * np.dtype(lex.kind).itemsize
             # each distinct rare word of a text once, with its count
             key = np.rec.fromarrays([words.doc[rare], words.hash[rare]])
             order = np.lexsort((key.f1, key.f0))
@@ -148,102 +166,127 @@ class Model:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
 
-    def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of (start, move, emission) over the sequences."""
+    def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected counts of (start, move, emission) over the sequences, and their log-likelihood."""
         chains = Chains(np.array([len(s) for s in sequences]))
         sym = np.concatenate(sequences)
         by_step = np.empty(len(sym), dtype=np.int64)
         by_step[chains.place] = sym
-        post, moves, _ = chains.posteriors(self.emit[by_step], self.move, self.start)
-        emit = np.stack([np.bincount(by_step, weights=post[:, k], minlength=SYMBOLS) for k in range(post.shape[1])], axis=1)
-        return post[: len(sequences)].sum(axis=0), moves, emit
+        post, moves, scale = chains.posteriors(self.emit[by_step], self.move, self.start)
+        emit = np.stack([np.bincount(by_step, weights=post[:, k], minlength=len(self.emit)) for k in range(post.shape[1])], axis=1)
+        return post[: len(sequences)].sum(axis=0), moves, emit, float(np.log(scale).sum())
 
     def log10(self, sequences: list[np.ndarray]) -> np.ndarray:
-        """log10 of the probability of each sequence of symbols."""
-        chains = Chains(np.array([len(s) for s in sequences]))
-        by_step = np.empty(len(chains.place), dtype=np.int64)
-        by_step[chains.place] = np.concatenate(sequences)
-        _, scale = chains.forward(self.emit[by_step], self.move, self.start)
-        return chains.log_likelihood(scale) / np.log(10)
+        """log10 of the probability of each sequence of symbols; long ones are gone through in steps."""
+        out = np.zeros(len(sequences))
+        short = [i for i, s in enumerate(sequences) if len(s) <= LONG]
+        if short:
+            chains = Chains(np.array([len(sequences[i]) for i in short]))
+            by_step = np.empty(len(chains.place), dtype=np.int64)
+            by_step[chains.place] = np.concatenate([sequences[i] for i in short])
+            _, scale = chains.forward(self.emit[by_step], self.move, self.start)
+            out[short] = chains.log_likelihood(scale)
+        for i in set(range(len(sequences))) - set(short):
+            start = self.start
+            for a in range(0, len(sequences[i]), LONG):
+                part = sequences[i][a : a + LONG]
+                alpha, scale = Chains(np.array([len(part)])).forward(self.emit[part], self.move, start)
+                out[i] += np.log(scale).sum()
+                start = alpha[-1] @ self.move
+        return out / np.log(10)
 
     @staticmethod
     def from_counts(start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.ndarray) -> Model:
         start, move = start + 1, move + 1
-        emit = emit + SMOOTHING * SYMBOLS * prior[:, None] + 1e-6
+        emit = emit + SMOOTHING * len(emit) * prior[:, None] + 1e-6
         return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def _sequences(col: pa.Array) -> Iterator[list[np.ndarray]]:
-    """The symbol sequences of a column, about 300,000 symbols at a time."""
+def _grouped(seqs: Iterator[np.ndarray], most: int | None = None) -> Iterator[list[np.ndarray]]:
+    """Sequences in groups of about 300,000 symbols; with `most`, longer ones in parts."""
     out, held = [], 0
-    for x in col:
-        out.append(np.frombuffer(x.as_buffer(), dtype="<u2"))
-        held += len(out[-1])
-        if held > 300_000:
-            yield out
-            out, held = [], 0
+    for seq in seqs:
+        for a in range(0, len(seq), most or len(seq)):
+            out.append(seq[a : a + (most or len(seq))])
+            held += len(out[-1])
+            if held > 300_000:
+                yield out
+                out, held = [], 0
     if out:
         yield out
 
 
-def _expect(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Expected counts of one task: rows of emissions by symbol, of moves (-1 - state) and of starts (-1 - STATES)."""
+def _sequences(col: pa.Array, kind: str, most: int | None = None) -> Iterator[list[np.ndarray]]:
+    """The symbol sequences of a column in groups."""
+    return _grouped((np.frombuffer(x.as_buffer(), dtype=kind) for x in col), most)
+
+
+def _expect(batches: Iterator[pa.RecordBatch], shared, kind: str) -> Iterator[pa.RecordBatch]:
+    """Expected counts of one task: rows of emissions by symbol, of moves (-1 - state), starts (-1 - states), and likelihood."""
     model: Model = shared.value
-    start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((SYMBOLS, STATES))
+    n = len(model.start)
+    start, move, emit, like = np.zeros(n), np.zeros((n, n)), np.zeros(model.emit.shape), np.zeros(n)
     for batch in batches:
-        for seqs in _sequences(batch.column(0)):
-            s, m, e = model.expected(seqs)
-            start, move, emit = start + s, move + m, emit + e
+        for seqs in _sequences(batch.column(0), kind, LONG):
+            s, m, e, x = model.expected(seqs)
+            start, move, like[0] = start + s, move + m, like[0] + x
+            emit += e
     some = np.flatnonzero(emit.any(axis=1))
     if len(some):
-        names = np.concatenate((some, -1 - np.arange(STATES), [-1 - STATES]))
-        rows = np.concatenate((emit[some], move, start[None]))
-        yield pa.RecordBatch.from_arrays([pa.array(names), *[pa.array(np.ascontiguousarray(rows[:, k])) for k in range(STATES)]], names=["name", *[f"s{k}" for k in range(STATES)]])
+        names = np.concatenate((some, -1 - np.arange(n), [-1 - n, -2 - n]))
+        rows = np.concatenate((emit[some], move, start[None], like[None]))
+        yield pa.RecordBatch.from_arrays([pa.array(names), *[pa.array(np.ascontiguousarray(rows[:, k])) for k in range(n)]], names=["name", *[f"s{k}" for k in range(n)]])
 
 
-def _unpack(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((SYMBOLS, STATES))
-    names, values = rows["name"].to_numpy(), rows[[f"s{k}" for k in range(STATES)]].to_numpy()
+def _unpack(rows, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    n = len(model.start)
+    start, move, emit, like = np.zeros(n), np.zeros((n, n)), np.zeros(model.emit.shape), 0.0
+    names, values = rows["name"].to_numpy(), rows[[f"s{k}" for k in range(n)]].to_numpy()
     emit[names[names >= 0]] = values[names >= 0]
-    for k in range(STATES):
-        if (names == -1 - k).any():
-            move[k] = values[names == -1 - k][0]
-    if (names == -1 - STATES).any():
-        start = values[names == -1 - STATES][0]
-    return start, move, emit
-
-
-def baum_welch(coded: DataFrame, lex: Lexicon, iterations: int = ITERATIONS) -> Model:
-    """Train on the `sym` column of coded: first on a bounded set on the driver, then over all rows."""
-    prior = np.zeros(SYMBOLS)
-    prior[: len(lex.top_n)] = lex.top_n
-    prior[TOP_WORDS : TOP_WORDS + CLASSES] = lex.class_n
-    prior[-1] = lex.end_n
-    prior = (prior + 0.5) / (prior + 0.5).sum()
-    noise = np.random.default_rng(11).gamma(1.0, size=(SYMBOLS, STATES))
+    for name, value in zip(names[names < 0].tolist(), values[names < 0], strict=True):
+        if name >= -n:
+            move[-1 - name] = value
+        elif name == -1 - n:
+            start = value
+        else:
+            like = float(value[0])
+    return start, move, emit, like
+
+
+def baum_welch(coded: DataFrame, lex: Lexicon, passes: int = MOST_PASSES, tolerance: float = TOLERANCE, states: int = STATES) -> Model:
+    """Train on the `sym` column of coded: first on a bounded set on the driver, then over all rows until it hardly gains."""
+    prior = np.concatenate((lex.top_n, lex.class_n, [lex.end_n])) + 0.5
+    prior = prior / prior.sum()
+    noise = np.random.default_rng(11).gamma(1.0, size=(len(prior), states))
     emit = prior[:, None] * (0.2 + noise)
-    model = Model(np.full(STATES, 1 / STATES), (np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES)), emit / emit.sum(axis=0))
+    model = Model(np.full(states, 1 / states), (np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)), emit / emit.sum(axis=0))
     warm = drawn(coded.select("sym"), WARM_DOCS, "sym").toPandas()["sym"]
-    seqs = [np.frombuffer(x, dtype="<u2") for x in sorted(map(bytes, warm))]
+    seqs = [np.frombuffer(x, dtype=lex.kind) for x in sorted(map(bytes, warm))]
     for _ in range(WARM_ROUNDS if seqs else 0):
-        model = Model.from_counts(*model.expected(seqs), prior)
-    sums = [F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES)]
-    for _ in range(iterations):
-        shared = coded.sparkSession.sparkContext.broadcast(model)  # SYMBOLS x STATES numbers
-        part = coded.select("sym").mapInArrow(lean(lambda it, s=shared: _expect(it, s)), "name bigint, " + ", ".join(f"s{k} double" for k in range(STATES)))
-        model = Model.from_counts(*_unpack(part.groupBy("name").agg(*sums).toPandas()), prior)
+        parts = [model.expected(p) for p in _grouped(iter(seqs), LONG)]
+        model = Model.from_counts(*[sum(x[k] for x in parts) for k in range(3)], prior)
+    sums, last = [F.sum(f"s{k}").alias(f"s{k}") for k in range(states)], None
+    for _ in range(passes if seqs else 0):
+        shared = coded.sparkSession.sparkContext.broadcast(model)  # symbols x states numbers
+        part = coded.select("sym").mapInArrow(lean(lambda it, s=shared: _expect(it, s, lex.kind)), "name bigint, " + ", ".join(f"s{k} double" for k in range(states)))
+        *counts, like = _unpack(part.groupBy("name").agg(*sums).toPandas(), model)
+        shared.destroy()
+        model = Model.from_counts(*counts, prior)
+        if last is not None and like - last < tolerance * abs(last):
+            break
+        last = like
     return model
 
 
-def _forward(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+def _forward(batches: Iterator[pa.RecordBatch], shared, kind: str) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
     for batch in batches:
-        scores = [model.log10(seqs) for seqs in _sequences(batch.column(3))]
-        sizes = [len(x) // 2 for x in batch.column(3).to_pylist()]
+        scores = [model.log10(seqs) for seqs in _sequences(batch.column(3), kind)]
+        sizes = [len(x) // np.dtype(kind).itemsize for x in batch.column(3).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), batch.column(4), batch.column(5), batch.column(6), pa.array(np.concatenate([np.zeros(0), *scores]))], names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "norm", "chain"])
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, held: int = 1, iterations: int = ITERATIONS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, held: int = 1, top_words: int = TOP_WORDS, passes: int = MOST_PASSES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
     Rows whose crc32(id) modulo `modulus` is `held` are scored but not learnt from.
@@ -251,13 +294,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     sc = docs.sparkSession.sparkContext
     d = docs.select(F.col(id_col).alias("doc_id"), (remainder(F.col(id_col), modulus) == held).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     counts = materialize(word_counts(d.filter("not held_out").select("text")))
-    lex = lexicon(counts)
+    lex = lexicon(counts, top_words)
     kind = d.schema["doc_id"].dataType.simpleString()
-    shared = sc.broadcast(lex)  # TOP_WORDS and CLASSES bound its size
+    shared = sc.broadcast(lex)  # top_words and CLASSES bound its size
     coded = materialize(d.mapInArrow(lean(lambda it: _encode(it, shared)), f"row bigint, doc_id {kind}, held_out boolean, sym binary, known bigint, base double, norm double, rare array<struct<word: bigint, times: int>>"))
-    model = baum_welch(coded.filter("not held_out"), lex, iterations)
+    model = baum_welch(coded.filter("not held_out"), lex, passes)
     fit = sc.broadcast(model)
-    scored = coded.select("row", "doc_id", "held_out", "sym", "known", "base", "norm").mapInArrow(lean(lambda it: _forward(it, fit)), f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, norm double, chain double")
+    scored = coded.select("row", "doc_id", "held_out", "sym", "known", "base", "norm").mapInArrow(lean(lambda it: _forward(it, fit, lex.kind)), f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, norm double, chain double")
     # counts of rare words: joined by word, summed by row
     rare = coded.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
     joined = rare.join(counts.filter("class >= 0").select("word", "n"), "word", "left")
