@@ -28,13 +28,22 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def drawn(df: DataFrame, rows: int, *of: str) -> DataFrame:
-    """At most `rows` rows of df: those with the smallest hash of the given columns.
+    """At most `rows` rows of df: those with the smallest hash of the given columns (of equal hashes, any).
 
-    The hashes alone are ranked first, so that each task gives the driver numbers and not its own candidates' texts.
+    The share of the hashes' range that holds so many rows is known from their number, so that only a few more than `rows`
+    hashes are ranked; no task gets the candidates of all others, and none gives its candidates' texts away.
     """
     h = F.xxhash64(*of)
-    top = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    return df.filter(h <= F.lit(top)).limit(rows)
+    n = df.count()
+    share = (rows + 8 * rows**0.5 + 16) / max(1, n)
+    while True:
+        low = df.select(h.alias("h"))
+        if share < 1:
+            low = low.filter(F.col("h") < F.lit(-(1 << 63) + int(share * (1 << 64))))
+        top, got = low.orderBy("h").limit(rows).agg(F.max("h"), F.count("*")).first()
+        if got >= min(rows, n) or share >= 1:
+            return df.filter(h <= F.lit(top)).limit(rows)
+        share *= 2
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -144,10 +153,19 @@ class Words:
         self.hash = self.hashed(self.start, self.end) if hashes else None
 
     def hashed(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        n = len(self.buf)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.buf] * _powers(_STEP, n), out=sums[1:])
-        return mixed((sums[end] - sums[start]) * _powers(_INVERSE, n + 1)[start] + (end - start).astype(np.uint64))
+        """A hash of the bytes of each word, taken over stretches of about STEP_BYTES, so that a long text needs no more."""
+        out = np.empty(len(start), dtype=np.uint64)
+        i = 0
+        while i < len(start):
+            base = start[i]
+            j = max(i + 1, int(np.searchsorted(start, base + STEP_BYTES)))
+            n = int(end[j - 1] - base)
+            sums = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(_BYTE[self.buf[base : base + n]] * _powers(_STEP, n), out=sums[1:])
+            a, b = start[i:j] - base, end[i:j] - base
+            out[i:j] = mixed((sums[b] - sums[a]) * _powers(_INVERSE, n + 1)[a] + (b - a).astype(np.uint64))
+            i = j
+        return out
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.doc, minlength=len(self.text_end))

@@ -3,9 +3,12 @@
 Each word has as features its character n-grams with word boundaries (those at a boundary are its affixes) and itself
 (the lexicon), hashed into a fixed number of weights per language; moves between languages have learned weights, so
 that a code-switched text can change its language between any two words. Forward-backward gives the probability of
-every language at every word; a document's language is the one with the largest mean over its words.
+every language at every word; a document's language is the one with the largest mean over its words. A chain has at most
+CHAIN_WORDS words; a longer text is several chains, of which the mean is taken all the same.
 
-The field is fitted on the driver to whole texts of at most SAMPLE_ROWS labelled rows, drawn by a hash of their id.
+The field is fitted on the driver to whole texts of at most SAMPLE_ROWS labelled rows, drawn by a hash of their id and
+text. A document has one label for all its words, so that a switch is never seen in it; of each batch some texts are
+therefore joined in pairs to one chain, with the words' labels changing where they meet.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; rows without a label are not learnt from;
 with nothing to learn from every text is `und`; repeated rows are scored one by one; an empty table gives an empty
@@ -29,6 +32,8 @@ from cutoffs.llm.common import Words, drawn, lean, members, mixed, steps
 SAMPLE_ROWS = 2000
 FEATURE_BITS = 17
 EPOCHS, RATE, DECAY = 3, 0.3, 1e-4
+#: Words of a chain, at most; of PAIR_OF texts of a batch, two are joined.
+CHAIN_WORDS, PAIR_OF = 50_000, 8
 #: Mean probability under which `keep_known` rejects a document.
 KEEP_SCORE = 0.3
 LETTERS = members((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
@@ -87,7 +92,7 @@ def _chains(texts: list[bytes]) -> tuple[Words, np.ndarray, list[bytes], np.ndar
 
 
 def fit(texts: list[bytes], labels: list[str]) -> Field:
-    """Stochastic gradient ascent on the likelihood of each text's words all having its label."""
+    """Stochastic gradient ascent on the likelihood of each text's words all having its label, switches between joined texts."""
     langs = sorted(set(labels))
     n = len(langs)
     field = Field(langs, np.zeros((1 << FEATURE_BITS, n)), np.zeros((n, n)), np.zeros(n))
@@ -101,11 +106,15 @@ def fit(texts: list[bytes], labels: list[str]) -> Field:
             if not len(some):
                 continue
             scores, feats, begin = field.emissions(distinct)
+            of_word = np.repeat(label[rows][some], lengths)
+            ends = np.cumsum(lengths)
+            joined = np.arange(len(lengths)) % PAIR_OF == 0  # with the next one
+            lengths = np.diff(np.append(0, ends[~joined | (np.arange(len(ends)) == len(ends) - 1)]))
             chains = Chains(lengths)
             by_step = np.empty(len(number), dtype=np.int64)
             by_step[chains.place] = number
             truth = np.empty(len(number), dtype=np.int64)
-            truth[chains.place] = np.repeat(label[rows][some], lengths)
+            truth[chains.place] = of_word
             post, moves, _ = chains.posteriors(field.potentials(scores)[by_step], np.exp(field.move), np.exp(field.first))
             diff = -post
             diff[np.arange(len(truth)), truth] += 1
@@ -117,16 +126,18 @@ def fit(texts: list[bytes], labels: list[str]) -> Field:
             seen[hit] += step[hit] ** 2
             field.weight[hit] += RATE * (step[hit] / np.sqrt(seen[hit]) - DECAY * field.weight[hit])
             real = np.zeros((n, n))
-            np.add.at(real, (label[rows][some], label[rows][some]), lengths - 1)
+            inner = np.ones(len(of_word), dtype=bool)
+            inner[np.cumsum(lengths) - lengths] = False  # words with one before them in their chain
+            np.add.at(real, (of_word[np.flatnonzero(inner) - 1], of_word[inner]), 1)
             field.move = np.clip(field.move + 0.5 * (real - moves) / max(1, lengths.sum()), -4, 4)
-            first = np.bincount(label[rows][some], minlength=n) - post[: len(some)].sum(axis=0)
+            first = np.bincount(of_word[np.cumsum(lengths) - lengths], minlength=n) - post[: len(lengths)].sum(axis=0)
             field.first = np.clip(field.first + 0.1 * first / len(rows), -4, 4)
     field.weight = field.weight.astype(np.float32)
     return field
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Field | None:
-    """Fit to at most `rows` rows with a text and a label, those with the smallest hash of their id."""
+    """Fit to at most `rows` rows with a text and a label, those with the smallest hash of their id and text."""
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     got = drawn(d.filter("text is not null and lang is not null"), rows, "id", "text").toPandas().sort_values(["id", "text", "lang"])
     return fit([t.lower().encode() for t in got["text"]], got["lang"].tolist()) if len(got) else None
@@ -139,16 +150,30 @@ def label(texts: list[str | None], field: Field | None) -> tuple[list[str], np.n
         return lang, score
     lower = [t.lower().encode() if t else b"" for t in texts]
     _, number, distinct, some, lengths = _chains(lower)
-    if len(some):
-        scores, _, _ = field.emissions(distinct)
-        chains = Chains(lengths)
-        by_step = np.empty(len(number), dtype=np.int64)
-        by_step[chains.place] = number
-        post, _, _ = chains.posteriors(field.potentials(scores)[by_step], np.exp(field.move), np.exp(field.first), pairs=False)
-        mean = np.add.reduceat(post[chains.place], np.cumsum(lengths) - lengths, axis=0) / lengths[:, None]
-        for i, k, s in zip(some.tolist(), mean.argmax(axis=1).tolist(), mean.max(axis=1).tolist(), strict=True):
-            if lower[i].upper() != lower[i] or any(map(str.isalpha, texts[i])):
-                lang[i], score[i] = field.langs[k], min(1.0, s)
+    if not len(some):
+        return lang, score
+    scores, _, _ = field.emissions(distinct)
+    potentials, move, first = field.potentials(scores), np.exp(field.move), np.exp(field.first)
+    # chains of CHAIN_WORDS words at most, and about as many words at a time
+    parts = -(-lengths // CHAIN_WORDS)
+    starts = np.concatenate([np.arange(k) * CHAIN_WORDS for k in parts.tolist()])
+    owner = np.repeat(np.arange(len(lengths)), parts)
+    cut = np.minimum(CHAIN_WORDS, lengths[owner] - starts)
+    total = np.zeros((len(lengths), len(field.langs)))
+    ends, a = np.cumsum(cut), 0
+    while a < len(cut):
+        base = int(ends[a] - cut[a])
+        b = max(a + 1, int(np.searchsorted(ends, base + 8 * CHAIN_WORDS, side="right")))
+        chains = Chains(cut[a:b])
+        by_step = np.empty(int(ends[b - 1]) - base, dtype=np.int64)
+        by_step[chains.place] = number[base : ends[b - 1]]
+        post, _, _ = chains.posteriors(potentials[by_step], move, first, pairs=False)
+        np.add.at(total, owner[a:b], np.add.reduceat(post[chains.place], ends[a:b] - cut[a:b] - base, axis=0))
+        a = b
+    mean = total / lengths[:, None]
+    for i, k, s in zip(some.tolist(), mean.argmax(axis=1).tolist(), mean.max(axis=1).tolist(), strict=True):
+        if lower[i].upper() != lower[i] or any(map(str.isalpha, texts[i])):
+            lang[i], score[i] = field.langs[k], min(1.0, s)
     return lang, score
 
 

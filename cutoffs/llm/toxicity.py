@@ -6,9 +6,12 @@ Each word is expanded into these subsequences once per task; what a landmark lac
 words that mark toxic documents (not too alike), and a few frequent ones. A sentence's kernel with a landmark is the
 largest normalised kernel of its words (kernels under FLOOR count as zero); the landmark kernel matrix turns these into
 features (Nystroem). The machine is trained on sentences: of a toxic document the one that scores highest, of others
-all that have a feature, and on landmarks with characters put in. A document's score is a logistic function of its
+the hardest that have a feature, and on landmarks with characters put in. A document's score is a logistic function of its
 highest sentence.
 
+Of the sentences of others that have a feature, the fit takes the HARD with the highest values in each round, and the
+highest of each document; that is a bound on what the machine is fitted to, as SAMPLE_ROWS is.
+
 Words are what stands between white space, lower-cased, without characters other than letters and digits; a run of
 three or more single characters is one more word. The fit uses at most SAMPLE_ROWS labelled documents of each class,
 drawn by a hash of their id.
@@ -39,6 +42,8 @@ LANDMARKS, PLAIN_LANDMARKS = 42, 6
 #: Landmarks are less alike than this.
 ALIKE = 0.6
 SAMPLE_ROWS = 2000
+#: Sentences of other documents that a round fits to, beside the highest of each document.
+HARD = 4000
 #: Landmarks are at most this long.
 SHORT = 20
 #: Words whose kernels a task keeps; when it is full, they are computed anew.
@@ -306,7 +311,7 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
         order = np.lexsort((-value, doc))
         best = order[np.append(True, doc[order][1:] != doc[order][:-1])]
         others = np.flatnonzero(~hard)
-        others = np.union1d(others[np.argsort(-value[others])[:4000]], best[~hard[best]])
+        others = np.union1d(others[np.argsort(-value[others], kind="stable")[:HARD]], best[~hard[best]])
         rows = np.concatenate((best[hard[best]], others))
         x = np.vstack((feats[rows], spelled, np.zeros((1, feats.shape[1]))))
         y = np.concatenate((hard[rows], np.ones(len(spelled), dtype=bool), [False]))
