@@ -76,7 +76,8 @@ def ratios(counts: DataFrame, n_buckets: int = BUCKETS) -> Column | None:
     import math
 
     per = [math.log((rows.get(b, (0, 0))[1] + 1) / (n_good + n_buckets)) - math.log((rows.get(b, (0, 0))[0] + 1) / (n_raw + n_buckets)) for b in range(n_buckets)]
-    return F.split(F.lit(",".join(f"{x:.4f}" for x in per)), ",").cast("array<double>")
+    # as one text, which is cut and read once when the plan is made; repr keeps all digits
+    return F.split(F.lit(",".join(map(repr, per))), ",").cast("array<double>")
 
 
 def repeated_words(hashes: Column, window: int = WINDOW) -> Column:

@@ -86,7 +86,9 @@ def links(nodes: DataFrame, bits: int = 4) -> DataFrame:
     n = nodes.count()
     blocks = _blocks_for(n, bits)
     masks = block_masks(blocks, blocks - bits)
-    keyed = nodes.select("fp", "n", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("k", "mask"))
+    # small rows that become 35 keys and more each: spread before they do
+    spread = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keyed = spread.select("fp", "n", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("k", "mask"))
     keyed = keyed.select("fp", "n", "k", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     groups = keyed.groupBy("k", "key").agg(F.count("*").alias("size"), F.max(F.struct("n", "fp")).getField("fp").alias("hub"), F.min("fp").alias("low")).filter("size > 1")
     member = materialize(keyed.join(groups, ["k", "key"]).select("k", "key", "fp", "hub", "low"))
