@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cutoffs.llm import bpe, decontam, hmm, langid, linededup, quality, sharding, simhash, tokenfile, toxicity
+from cutoffs.llm import bpe, decontam, hmm, langid, linededup, neardup, quality, sharding, simhash, tokenfile, toxicity
 from cutoffs.llm.chain import Chains
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -160,6 +160,40 @@ def test_pipeline_near_dedup_finds_jaccard_of_four_fifths(spark):
     assert 80 < len(near) < 180 and kept == {d for d, _ in rows} - near
 
 
+def test_near_dedup_of_a_large_group_is_brute_force(spark):
+    """Copies near and far from one text, a far group of its own, chains of which only neighbours are near, other lengths."""
+    rng = np.random.default_rng(21)
+    base = [f"w{k}" for k in rng.integers(0, 900, 150)]
+
+    def changed(w, n, tag):
+        w = list(w)
+        for i in rng.choice(len(w), n, replace=False):
+            w[i] = f"{tag}_{i}"
+        return w
+
+    all_ = [base]
+    all_ += [changed(base, int(rng.integers(1, 4)), f"a{k}") for k in range(120)]
+    all_ += [changed(base, int(rng.integers(4, 12)), f"b{k}") for k in range(80)]
+    second = changed(base, 14, "s")
+    all_ += [changed(second, 1, f"c{k}") for k in range(40)]
+    link = changed(base, 6, "l")
+    for k in range(8):
+        link = changed(link, 3, f"l{k}")
+        all_.append(link)
+    all_ += [base[:-k] for k in (5, 20, 31, 45, 46, 47)] + [base + [f"t{k}" for k in range(n)] for n in (4, 25, 60, 61, 62)]
+    order = rng.permutation(len(all_))
+    rows = [(d, " ".join(all_[k])) for d, k in enumerate(order.tolist())]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = [lo if x == hi else x for x in root]
+    kept = {r["doc_id"] for r in neardup.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == set(root) and len(kept) > 20
+
+
 # Sharding ----------------------------------------------------------------------------------------------------------
 
 
@@ -219,6 +253,40 @@ def test_quality_score_prefers_the_target(spark):
     assert quality.rules(df, spark.createDataFrame([], "doc_id bigint")).filter("score is not null").count() == 0
 
 
+def test_quality_score_and_verdict_are_brute_force(spark, docs):
+    """Buckets, both multinomials and the mean ratio told again in Python, with ids that are repeated or null."""
+    some = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").limit(60).collect()]
+    some += [some[0], (None, some[1][1]), (9001, None), (9002, "one"), (9003, "ein zwei")]
+    df = spark.createDataFrame(some, "doc_id bigint, text string")
+    good = [(d,) for d, _ in some[:40] if d is not None and d % 2 == 0] + [(9002,), (None,), (some[0][0],)]
+    n_buckets = 128
+
+    def h64(data, seed=42):
+        return xxhash.xxh64_intdigest(data, seed)
+
+    def grams(text):
+        hs = [h64(w.encode()) for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
+        le = [h.to_bytes(8, "little") for h in hs]
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
+        one = [signed(h64(b)) % n_buckets for b in le]
+        return one + [signed(h64(b, h64(a))) % n_buckets for a, b in zip(le, le[1:])]
+
+    ids = {d for d, in good if d is not None}
+    raw, target = Counter(), Counter()
+    for d, t in some:
+        raw.update(grams(t))
+        target.update(grams(t) if d in ids else [])
+    ratio = [math.log((target[b] + 1) / (sum(target.values()) + n_buckets)) - math.log((raw[b] + 1) / (sum(raw.values()) + n_buckets)) for b in range(n_buckets)]
+    want = Counter()
+    for d, t in some:
+        g = grams(t)
+        score = sum(ratio[b] for b in g) / len(g) if g else None
+        failed = plain_rules(t)[-1]
+        want[d, None if score is None else round(score, 9), not failed and score >= 0.0] += 1
+    got = quality.rules(df, spark.createDataFrame(good, "doc_id bigint"), threshold=0.0, n_buckets=n_buckets).collect()
+    assert Counter((r["doc_id"], None if r["score"] is None else round(r["score"], 9), r["kept"]) for r in got) == want
+
+
 @pytest.mark.parametrize("kind", ["bigint", "string"])
 def test_quality_target_counts_all_trusted_documents(spark, kind):
     n = 20_400
@@ -400,7 +468,29 @@ def test_bpe_is_the_library(request, table):
 def test_bpe_round_trip_of_ids():
     b = bpe.WordBpe(P.path("word_bpe_49k.json"))
     ids = b.encode("Hello wonderful WORLD 123 don't")
-    assert b.decode(ids) == b.encode_all(["Hello wonderful WORLD 123 don't"])[0][1]
+    assert b.decode(ids) == "hello</w> wonderful</w> world</w> 1</w> 2</w> 3</w> don</w> 't</w>"
+
+
+def test_bpe_decodes_its_ids_and_refuses_other_files(spark, odd, tmp_path):
+    path = P.path("word_bpe_49k.json")
+    enc = bpe.encode(odd, path)
+    back = {(r["doc_id"], r["decoded"]) for r in bpe.decode(enc, path).collect()}
+    assert back == {(r["doc_id"], r["decoded"]) for r in enc.collect()} and (2, "") in back
+    with pytest.raises(ValueError):
+        bpe.WordBpe(P.path("byte_bpe_50k.json"))
+
+
+def test_kept_results_stay_while_they_are_used():
+    from cutoffs.llm.common import Kept
+
+    kept = Kept(3)
+    for k in range(40):
+        keys = {"often", k}
+        for x in kept.missing(keys):
+            assert x != "often" or k == 0
+            kept.young[x] = str(x)
+        assert all(kept.young[x] == str(x) for x in keys)
+        assert len(kept.young) + len(kept.old) <= 10
 
 
 # Token file --------------------------------------------------------------------------------------------------------
@@ -431,6 +521,46 @@ def test_re_pair_round_trip_and_random_access(n, top):
         assert (g.read(a, b) == ids[a:b]).all()
 
 
+def most_frequent(seq):
+    """How often the most frequent pair occurs, without overlap (brute force)."""
+    n = Counter()
+    last = {}
+    for i, p in enumerate(zip(seq, seq[1:])):
+        if last.get(p, -2) < i - 1:
+            n[p] += 1
+            last[p] = i
+    return max(n.values(), default=0)
+
+
+@pytest.mark.parametrize("kind", ["zipf", "runs", "periods", "text"])
+def test_re_pair_stops_when_no_pair_is_frequent(kind):
+    rng = np.random.default_rng(8)
+    ids = {
+        "zipf": rng.zipf(1.2, 40_000) % 200,
+        "runs": np.repeat(rng.integers(0, 3, 3000), rng.integers(1, 30, 3000)),
+        "periods": np.tile(rng.integers(0, 9, 17), 1500),
+        "text": np.concatenate([np.arange(k, k + 7) for k in rng.integers(0, 300, 9000)]),
+    }[kind].astype("<u4")
+    seq, rules, base = tokenfile.re_pair(ids, least=24)
+    assert most_frequent(seq.tolist()) < 24
+    open_ = dict(enumerate(rules.tolist(), base))
+    for k, pair in open_.items():
+        assert max(pair) < k  # a rule refers to earlier ones
+    # every rule was made for a pair that was frequent: opened in reverse, it stands for many places
+    used = Counter(seq.tolist())
+    for k in sorted(open_, reverse=True):
+        assert used[k] >= 12
+        for x in open_[k]:
+            used[x] += used[k]
+    assert (tokenfile.Grammar(tokenfile.pack(ids)).read() == ids).all()
+
+
+def test_first_rules_are_the_most_frequent_pairs():
+    ids = np.array(([1, 2] * 40 + [9]) * 30 + [3, 4, 5] * 50 + [6, 7] * 30, dtype="<u4")
+    _, rules, _ = tokenfile.re_pair(ids, least=24)
+    assert rules[0].tolist() == [1, 2]
+
+
 # Chains, language ID, language model ------------------------------------------------------------------------------
 
 
@@ -481,6 +611,60 @@ def test_language_id(spark, docs, odd, none):
     assert kept.filter("doc_id = 8").count() == 2
 
 
+def plain_label(text, field):
+    """Language and score of a text, word by word and state by state (brute force)."""
+    m64 = (1 << 64) - 1
+
+    def mix(x):
+        for k, c in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+            x = ((x ^ x >> k) * c) & m64
+        return x ^ x >> 33
+
+    low = (text or "").lower()
+    words = re.findall(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+", low.encode())
+    if not words or not any(map(str.isalpha, text)):
+        return "und", 0.0
+    mask, n = (1 << langid.FEATURE_BITS) - 1, len(field.langs)
+    rows = []
+    for w in words:
+        b = b"^" + w + b"$"
+        feats = [mix(int.from_bytes(b[i : i + k], "big") * 8 + k) & mask for k in range(1, 5) for i in range(len(b) - k + 1)]
+        feats.append(mix(sum(mix(c + i * 257) for i, c in enumerate(b)) & m64) & mask)
+        e = [float(sum(field.weight[f][j] for f in feats)) / math.sqrt(len(feats)) for j in range(n)]
+        rows.append([math.exp(max(-60.0, x - max(e))) for x in e])
+    move, first = np.exp(field.move), np.exp(field.first)
+    fwd, bwd = [np.array(first) * rows[0]], [np.ones(n)]
+    for e in rows[1:]:
+        fwd.append((fwd[-1] @ move) * e)
+        fwd[-1] = fwd[-1] / fwd[-1].sum()
+    for e in rows[:0:-1]:
+        bwd.append(move @ (np.array(e) * bwd[-1]))
+        bwd[-1] = bwd[-1] / bwd[-1].sum()
+    post = [f * b / (f * b).sum() for f, b in zip(fwd, bwd[::-1])]
+    mean = np.mean(post, axis=0)
+    return field.langs[int(mean.argmax())], float(mean.max())
+
+
+def test_language_prediction_is_brute_force(spark, docs, odd, monkeypatch):
+    field = langid.train(docs)
+    for df in (docs.orderBy("doc_id").limit(25), odd):
+        want = Counter((r["doc_id"], *((x := plain_label(r["text"], field))[:1]), round(x[1], 4)) for r in df.select("doc_id", "text").collect())
+        assert Counter((r["doc_id"], r["lang_pred"], round(r["score"], 4)) for r in langid.predict(df, field).collect()) == want
+    # a text of several chains has the mean over all of them
+    texts = [r["text"] for r in docs.orderBy(F.desc("n_chars")).limit(3).collect()]
+    whole = langid.label(texts, field)
+    monkeypatch.setattr(langid, "CHAIN_WORDS", 40)
+    parts = langid.label(texts, field)
+    assert whole[0] == parts[0] and np.allclose(whole[1], parts[1], atol=0.02)
+
+
+def test_moves_between_languages_are_learnt(docs):
+    rows = [r for r in docs.orderBy("doc_id").collect() if r["lang"] and r["text"]]
+    field = langid.fit([r["text"].lower().encode() for r in rows], [r["lang"] for r in rows])
+    off = field.move[~np.eye(len(field.langs), dtype=bool)]
+    assert (np.diag(field.move) > off.max()).all() and off.min() > -4  # switches are rare, not ruled out
+
+
 def test_language_id_follows_a_switch():
     en, de = ["the house and the garden of my friend"] * 30, ["der hund und die katze in dem haus"] * 30
     field = langid.fit([t.encode() for t in en + de], ["en"] * 30 + ["de"] * 30)
@@ -504,7 +688,7 @@ def test_language_model_base_is_brute_force(request, table):
     c = Counter(w for d, ws in rows if not held(d) for w in ws)
     n, v = sum(c.values()), len(c)
     want = sorted((str(d), held(d), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 5)) for d, ws in rows)
-    got = hmm.score(df, iterations=1).collect()
+    got = hmm.score(df, passes=1).collect()
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == want
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
@@ -518,16 +702,104 @@ def test_language_model_beats_single_words_and_is_a_distribution(docs, none):
 def test_baum_welch_never_lowers_the_likelihood():
     rng = np.random.default_rng(4)
     seqs = [rng.integers(0, 50, rng.integers(1, 40)) for _ in range(60)]
-    prior = np.full(hmm.SYMBOLS, 1 / hmm.SYMBOLS)
-    emit = prior[:, None] * (0.2 + rng.gamma(1.0, size=(hmm.SYMBOLS, hmm.STATES)))
+    emit = np.full(50, 1 / 50)[:, None] * (0.2 + rng.gamma(1.0, size=(50, hmm.STATES)))
     model, last = hmm.Model(np.full(hmm.STATES, 1 / hmm.STATES), np.full((hmm.STATES, hmm.STATES), 1 / hmm.STATES), emit / emit.sum(axis=0)), -math.inf
     for _ in range(4):
         now = model.log10(seqs).sum()
         assert now >= last - 1e-6
-        s, m, e = model.expected(seqs)
+        s, m, e, like = model.expected(seqs)
+        assert math.isclose(like / math.log(10), now, rel_tol=1e-9)
         model, last = hmm.Model((s + 1e-9) / (s + 1e-9).sum(), (m + 1e-9) / (m + 1e-9).sum(axis=1, keepdims=True), (e + 1e-12) / (e + 1e-12).sum(axis=0)), now
 
 
+def plain_forward(model, seq):
+    """log10 of a sequence's probability, one step at a time in exact order (brute force)."""
+    at, total = [float(x) for x in model.start], 0.0
+    for t, s in enumerate(seq):
+        if t:
+            at = [sum(at[i] * model.move[i][j] for i in range(len(at))) for j in range(len(at))]
+        at = [a * float(model.emit[s][j]) for j, a in enumerate(at)]
+        z = sum(at)
+        total, at = total + math.log10(z), [a / z for a in at]
+    return total
+
+
+def plain_expected(model, seqs):
+    """Expected counts by the sums over all pairs of states at all places (brute force)."""
+    n = len(model.start)
+    start, move, emit = np.zeros(n), np.zeros((n, n)), np.zeros(model.emit.shape)
+    for seq in seqs:
+        fwd, bwd = np.zeros((len(seq), n)), np.ones((len(seq), n))
+        for t, s in enumerate(seq):
+            fwd[t] = (model.start if t == 0 else fwd[t - 1] @ model.move) * model.emit[s]
+        for t in range(len(seq) - 2, -1, -1):
+            bwd[t] = model.move @ (model.emit[seq[t + 1]] * bwd[t + 1])
+        z = fwd[-1].sum()
+        start += fwd[0] * bwd[0] / z
+        for t, s in enumerate(seq):
+            emit[s] += fwd[t] * bwd[t] / z
+            if t:
+                move += fwd[t - 1][:, None] * model.move * (model.emit[s] * bwd[t])[None] / z
+    return start, move, emit
+
+
+def test_language_model_score_is_brute_force(spark, monkeypatch):
+    """Training and scoring told again without Spark: counts, classes, Baum-Welch passes, forward recursion, shares."""
+    rng = np.random.default_rng(31)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "xyzuvw"]
+    rows = [(d, " ".join(words[k] for k in (rng.zipf(1.5, rng.integers(0, 30)) * 7 % len(words)))) for d in range(60)] + [(900, None), (901, "Neverseen AX ax neverseen")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    toks = {d: [w.decode() for w in SPLIT.findall((t or "").encode().lower())] for d, t in rows}
+    count = Counter(w for d, ws in toks.items() if not held(d) for w in ws)
+    seen = []
+    real = hmm.baum_welch
+    monkeypatch.setattr(hmm, "baum_welch", lambda coded, lex, *a: seen.append((lex, real(coded, lex, *a))) or seen[-1][1])
+    for top in (10_000, 12):
+        out = {r["doc_id"]: r["score"] for r in hmm.score(df, top_words=top, passes=2).collect()}
+        lex, model = seen[-1]
+        # the largest set of most frequent words that fits, by the steps of their counts
+        step = {w: math.floor(math.log2(n) * 64) for w, n in count.items()}
+        levels = sorted(set(step.values()), reverse=True)
+        own = max((w for w in ({w for w in count if step[w] >= v} for v in levels) if len(w) <= top), key=len, default=set())
+        assert lex.n_top == len(own) and lex.total == sum(count.values()) + sum(not held(d) for d in toks)
+        one = {w: hmm.Words([w.encode()], hmm.SPACED) for ws in toks.values() for w in ws}
+        kind = {w: int(hmm.word_class(x)[0]) for w, x in one.items()}
+        number = {w: int(np.searchsorted(lex.top, one[w].hash[0])) for w in own}
+        code = lambda ws: [number[w] if w in own else lex.n_top + kind[w] for w in ws] + [lex.symbols_n - 1]
+        mass, size = Counter(), Counter()
+        for w in count:
+            if w not in own:
+                mass[kind[w]] += count[w]
+                size[kind[w]] += 1
+        share = lambda w: math.log10((count[w] + 0.5) / (mass[kind[w]] + 0.5 * (size[kind[w]] + 1)))
+        for d, ws in toks.items():
+            want = plain_forward(model, code(ws)) + sum(share(w) for w in ws if w not in own)
+            assert math.isclose(out[d], want, rel_tol=1e-7, abs_tol=1e-7)
+        # the last pass over the corpus is one step of Baum-Welch from the model before it
+        parts = [code(ws) for d, ws in toks.items() if not held(d)]
+        coded = spark.createDataFrame([(bytearray(np.array(code(ws), dtype=lex.kind).tobytes()),) for d, ws in toks.items() if not held(d)], "sym binary")
+        prior = (np.concatenate((lex.top_n, lex.class_n, [lex.end_n])) + 0.5) / (np.concatenate((lex.top_n, lex.class_n, [lex.end_n])) + 0.5).sum()
+        before, after = real(coded, lex, 0), real(coded, lex, 1)
+        want = hmm.Model.from_counts(*plain_expected(before, parts), prior)
+        assert np.allclose(want.emit, after.emit) and np.allclose(want.move, after.move) and np.allclose(want.start, after.start)
+        with monkeypatch.context() as m:  # long texts are scored in steps
+            m.setattr(hmm, "LONG", 7)
+            got = model.log10([np.array(code(ws)) for ws in toks.values()])
+            assert np.allclose(got, [plain_forward(model, code(ws)) for ws in toks.values()])
+        assert np.allclose(after.emit.sum(axis=0), 1) and np.allclose(after.move.sum(axis=1), 1) and math.isclose(after.start.sum(), 1)
+
+
+def test_texts_are_drawn_by_hash(spark):
+    from cutoffs.llm.common import drawn
+
+    df = spark.range(5000).withColumn("h", F.xxhash64("id"))
+    want = {r["id"] for r in df.orderBy("h").limit(100).collect()}
+    assert {r["id"] for r in drawn(df, 100, "id").collect()} == want
+    assert drawn(df, 6000, "id").count() == 5000 and drawn(df.limit(0), 10, "id").count() == 0
+    assert drawn(spark.range(500).withColumn("id", F.lit(None).cast("bigint")), 20, "id").count() == 20
+
+
 # Toxicity ----------------------------------------------------------------------------------------------------------
 
 
@@ -556,6 +828,50 @@ def test_kernel_is_its_definition():
             assert math.isclose(x, k if k >= toxicity.FLOOR else 0.0, abs_tol=1e-5)
 
 
+def plain_score(model, text):
+    """The score of a text by the definitions of words, sentences, kernel, features and machine (brute force)."""
+    sentences, now, run = [[]], [], []
+
+    def spelled(to):
+        if len(run) >= 3:
+            to.append("".join(x for x, _ in run).lower())
+        run.clear()
+
+    spans = list(re.finditer(rb"[^\x20\x09-\x0d]+", text))
+    homes = []
+    for m in spans:
+        w = m.group().lower()
+        sentences[-1].append(toxicity.plain(m.group()))
+        homes.append(sentences[-1])
+        if len(w) == 1 and w.isalnum():
+            run.append((w.decode(), homes[-1]))
+        else:
+            spelled(run[0][1] if run else now)
+        if w[-1:] in (b".", b"!", b"?") or text[m.end() : m.end() + 1] == b"\n":
+            sentences.append([])
+    spelled(run[0][1] if run else now)
+    marks, best = model.kernel.landmarks, model.bias
+    for words in sentences:
+        k = np.zeros(len(marks))
+        for w in words:
+            if len(w) >= toxicity.ORDER:
+                k = np.maximum(k, [x if (x := plain_kernel(w, t)) >= toxicity.FLOOR else 0.0 for t in marks])
+        if k.any():
+            best = max(best, float(k @ model.lift @ model.weight) + model.bias)
+    return 1 / (1 + math.exp(-(model.slope * best + model.offset)))
+
+
+def test_toxicity_score_is_brute_force(spark):
+    rng = np.random.default_rng(16)
+    fill = [f"{a}{b}" for a in ("talu", "reka", "moni", "vipe") for b in ("sa", "do", "ne")]
+    rows = [(i, " ".join(fill[k] for k in rng.integers(0, 12, 9)) + (". You idiot scum!" if i % 2 else ".")) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.train(df, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, toxic int"))
+    texts = [t.encode() for _, t in rows[:4]] + [b"you ID-IOT\nand i d i o t here. s c u m", b"iddiot idixot! scxum", b"", b" \n ", "été idiöt".encode(), b"a b c d. e f g"]
+    got = model.scores(texts)
+    assert np.allclose(got, [plain_score(model, t) for t in texts], atol=1e-4)
+
+
 def test_toxicity_learns_and_tolerates_gaps(spark, odd, none):
     rng = np.random.default_rng(6)
     fill = [f"{a}{b}{c}" for a in ("ta", "re", "mo", "ni") for b in ("lu", "sa", "pe") for c in ("ka", "do", "vi")]
