@@ -133,8 +133,9 @@ def test_block_masks_cover_every_pair():
 
 
 def test_keep_one(odd, none):
-    kept = [(r["doc_id"], r["key"]) for r in simhash.keep_one(odd).collect()]
-    assert sorted(d for d, _ in kept if d is not None) == [1, 2, 6, 7, 8, 9] or len(kept) == len(set(kept))
+    rows = [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()]
+    kept = Counter(r["doc_id"] for r in simhash.keep_one(odd).collect())
+    assert kept == Counter({c for _, _, c in plain_components(rows)})  # one row of each component, that of its smallest id
     assert simhash.keep_one(odd).columns == odd.columns and simhash.keep_one(none).count() == 0
 
 
@@ -447,6 +448,15 @@ def test_decontamination_cuts_the_united_hits_of_all_blocks(spark):
     assert all("t" not in t and "i" not in t for d, t in one if d >= 200)
 
 
+@pytest.mark.parametrize("block_words", [1, 3, 100])
+def test_decontamination_of_odd_rows_is_the_same_in_any_blocks(spark, odd, block_words):
+    """Repeated rows, null ids, null texts and items, items without words; other columns stay."""
+    items = spark.createDataFrame([(1, PASSAGE), (2, "kurzer text zweite"), (None, "no id here"), (2, "kurzer text zweite"), (3, None), (4, "..."), (5, "wort1 ist1 wort2")], "item_id bigint, text string")
+    want = Counter(map(tuple, decontam.clean(odd, items).collect()))
+    assert Counter(map(tuple, decontam.clean(odd, items, block_words=block_words).collect())) == want
+    assert decontam.clean(odd.limit(0), items, block_words=block_words).count() == 0
+
+
 # BPE ---------------------------------------------------------------------------------------------------------------
 
 
@@ -915,6 +925,33 @@ def test_pipeline_stages(spark, docs, odd):
         assert stage(spark, odd.limit(0), SF).count() == 0
 
 
+@pytest.mark.parametrize("table", ["odd", "none"])
+def test_pipeline_runs_on_odd_and_empty_tables(spark, request, tmp_path, table):
+    request.getfixturevalue(table).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    ids = [r["doc_id"] for r in out.collect()]
+    assert len(ids) == len(set(ids)) and (set(ids) == {1, None, 6, 7, 8, 9} if table == "odd" else not ids)
+
+
+def test_clashing_columns_do_no_harm(spark, odd):
+    names = ["row", "sym", "known", "base", "norm", "rare", "word", "n", "hit", "items", "fp", "node", "size", "k", "band", "c", "e", "held_out", "score", "h", "bucket"]
+    wide = odd.select("doc_id", "text", "lang", "source", *[F.lit(7).alias(x) for x in names])
+    same = lambda f: Counter(map(str, f(wide).collect())) == Counter(map(str, f(odd).collect()))
+    assert same(lambda d: hmm.score(d, passes=1)) and same(simhash.near_duplicates) and same(lambda d: langid.predict(d, langid.train(d)))
+    assert same(lambda d: sharding.interleave(d)) and same(lambda d: quality.rules(d, d.select("doc_id").limit(0)))
+    assert neardup.keep_one(wide).columns == wide.columns and linededup.clean(wide).columns == wide.columns
+
+
+def test_repeated_and_null_ids_in_token_files(spark):
+    rows = [(1, "b"), (1, "a"), (1, "a"), (None, "x y"), (None, None), (2, "")]
+    path = P.path("byte_bpe_50k.json")
+    out = tokenfile.documents(tokenfile.write(spark.createDataFrame(rows, "doc_id bigint, text string"), path, shard_tokens=3, partitions=4)).collect()
+    got = sorted(out, key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, None, 1, 1, 1, 2] and [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:k]) for k in range(6)]
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 
