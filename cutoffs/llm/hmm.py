@@ -216,9 +216,11 @@ def _grouped(seqs: Iterator[np.ndarray], most: int | None = None) -> Iterator[li
         yield out
 
 
-def _sequences(col: pa.Array, kind: str, most: int | None = None) -> Iterator[list[np.ndarray]]:
-    """The symbol sequences of a column in groups."""
-    return _grouped((np.frombuffer(x.as_buffer(), dtype=kind) for x in col), most)
+def _sequences(col: pa.Array, kind: str) -> tuple[list[np.ndarray], np.ndarray]:
+    """The symbol sequences of a column, longest first, and their places in it: a group takes as many steps as its longest."""
+    seqs = [np.frombuffer(x.as_buffer(), dtype=kind) for x in col]
+    order = np.argsort([-len(x) for x in seqs], kind="stable")
+    return [seqs[i] for i in order.tolist()], order
 
 
 def _expect(batches: Iterator[pa.RecordBatch], shared, kind: str) -> Iterator[pa.RecordBatch]:
@@ -227,7 +229,7 @@ def _expect(batches: Iterator[pa.RecordBatch], shared, kind: str) -> Iterator[pa
     n = len(model.start)
     start, move, emit, like = np.zeros(n), np.zeros((n, n)), np.zeros(model.emit.shape), np.zeros(n)
     for batch in batches:
-        for seqs in _sequences(batch.column(0), kind, LONG):
+        for seqs in _grouped(iter(_sequences(batch.column(0), kind)[0]), LONG):
             s, m, e, x = model.expected(seqs)
             start, move, like[0] = start + s, move + m, like[0] + x
             emit += e
@@ -281,9 +283,11 @@ def baum_welch(coded: DataFrame, lex: Lexicon, passes: int = MOST_PASSES, tolera
 def _forward(batches: Iterator[pa.RecordBatch], shared, kind: str) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
     for batch in batches:
-        scores = [model.log10(seqs) for seqs in _sequences(batch.column(3), kind)]
+        seqs, order = _sequences(batch.column(3), kind)
+        chain = np.zeros(len(seqs))
+        chain[order] = np.concatenate([np.zeros(0), *[model.log10(group) for group in _grouped(iter(seqs))]])
         sizes = [len(x) // np.dtype(kind).itemsize for x in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), batch.column(4), batch.column(5), batch.column(6), pa.array(np.concatenate([np.zeros(0), *scores]))], names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "norm", "chain"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), batch.column(4), batch.column(5), batch.column(6), pa.array(chain)], names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "norm", "chain"])
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, held: int = 1, top_words: int = TOP_WORDS, passes: int = MOST_PASSES) -> DataFrame:

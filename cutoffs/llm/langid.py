@@ -32,8 +32,11 @@ from cutoffs.llm.common import Words, drawn, lean, members, mixed, steps
 SAMPLE_ROWS = 2000
 FEATURE_BITS = 17
 EPOCHS, RATE, DECAY = 3, 0.3, 1e-4
-#: Words of a chain, at most; of PAIR_OF texts of a batch, two are joined.
-CHAIN_WORDS, PAIR_OF = 50_000, 8
+#: Words of a chain, at most (chains are stepped together, as many steps as the longest has words); of PAIR_OF texts of a
+#: batch, two are joined.
+CHAIN_WORDS, PAIR_OF = 4096, 8
+#: Words that are stepped through at once.
+STEP_WORDS = 400_000
 #: Mean probability under which `keep_known` rejects a document.
 KEEP_SCORE = 0.3
 LETTERS = members((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
@@ -163,7 +166,7 @@ def label(texts: list[str | None], field: Field | None) -> tuple[list[str], np.n
     ends, a = np.cumsum(cut), 0
     while a < len(cut):
         base = int(ends[a] - cut[a])
-        b = max(a + 1, int(np.searchsorted(ends, base + 8 * CHAIN_WORDS, side="right")))
+        b = max(a + 1, int(np.searchsorted(ends, base + STEP_WORDS, side="right")))
         chains = Chains(cut[a:b])
         by_step = np.empty(int(ends[b - 1]) - base, dtype=np.int64)
         by_step[chains.place] = number[base : ends[b - 1]]
