@@ -182,7 +182,7 @@ def label(texts: list[str | None], field: Field | None) -> tuple[list[str], np.n
 
 def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in steps(batch):
+        for part in steps(batch, limit=1 << 19):
             lang, score = label(part.column(1).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
@@ -197,7 +197,7 @@ def predict(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_c
 
 def _keep(batches: Iterator[pa.RecordBatch], shared, text: str, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in steps(batch, text):
+        for part in steps(batch, text, 1 << 19):
             lang, score = label(part.column(text).to_pylist(), shared.value)
             yield part.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score.tolist(), strict=True)]))
 
