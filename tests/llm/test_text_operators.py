@@ -195,6 +195,16 @@ def test_near_dedup_of_a_large_group_is_brute_force(spark):
     assert kept == set(root) and len(kept) > 20
 
 
+def test_sketches_never_differ_in_more_bits_than_the_sets():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 30, 400, 5000):
+        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        for k in (0, 1, 7, 60):
+            b = np.unique(np.concatenate((a[k:], rng.integers(0, 1 << 62, k).astype(np.uint64))))
+            bits = sum(int(x).bit_count() for x in (neardup.odd_sketch(a) ^ neardup.odd_sketch(b)).view(np.uint64))
+            assert bits <= len(np.setxor1d(a, b))
+
+
 # Sharding ----------------------------------------------------------------------------------------------------------
 
 
