@@ -88,9 +88,29 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cutoffs.llm.filteraudit import audit
+
+    return audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
+#: The audit in one pass of SQL: smaller ids by a window over equal texts, orders by recursion.
+OP11_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+f AS (SELECT doc_id, part, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM w),
+k AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS m, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic FROM f),
+n AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM k GROUP BY ALL),
+o(o, step, own, past) AS (SELECT '', 0, 0, 0 UNION ALL SELECT o || substr('ABCDE', i + 1, 1), step + 1, 1 << i, past | own FROM o, range(5) r(i) WHERE ((past | own) & (1 << i)) = 0 AND step < 5),
+p AS (SELECT x.o AS filter_order, y.step, y.own, y.past FROM o x JOIN o y ON x.step = 5 AND y.step > 0 AND left(x.o, y.step) = y.o),
+r AS (SELECT part, filter_order, step, own, sum(CASE WHEN (m & (own | past)) = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN (m & own) > 0 AND (m & past) = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+ sum(CASE WHEN (m & own) > 0 AND (m & past) > 0 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN m = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+ sum(CASE WHEN (m & own) > 0 AND (m & past) = 0 THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN (m & own) > 0 AND (m & past) = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM n, p GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_filter_audit": OP11_SQL}
