@@ -42,7 +42,8 @@ from cutoffs.session import materialize, shared_dir
 FILTERS = "ABCDE"
 #: The bit of filter E in a mask of failures; filter number i has the bit 1 << i.
 SEEN = 16
-ROW = "digest binary, doc_id bigint, part string, mask int, n bigint"
+#: An id that isn't known is 0 here: a column with nulls would become one of doubles in pandas.
+ROW = "digest binary, doc_id bigint, known boolean, part string, mask int, n bigint"
 #: Bytes of a digest; keys of rows that need no state are shorter.
 DIGEST = 32
 
@@ -78,9 +79,8 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows.loc[~mine, "code"] = -1
         sums = rows.groupby(["code", "doc_id", "known", "part", "mask"], sort=False).size().reset_index(name="n")
         key = np.append(texts, aside)[sums["code"].to_numpy()]  # the place of code -1 is the last
-        ids = pa.array(sums["doc_id"].to_numpy(), pa.int64(), mask=~sums["known"].to_numpy())
-        cols = [pa.array(key, pa.binary()), ids, pa.array(sums["part"], pa.string()), pa.array(sums["mask"].to_numpy(), pa.int32()), pa.array(sums["n"].to_numpy(), pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, names=["digest", "doc_id", "part", "mask", "n"])
+        cols = [pa.array(key, pa.binary()), pa.array(sums["doc_id"].to_numpy(), pa.int64()), pa.array(sums["known"].to_numpy()), pa.array(sums["part"], pa.string()), pa.array(sums["mask"].to_numpy(), pa.int32()), pa.array(sums["n"].to_numpy(), pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["digest", "doc_id", "known", "part", "mask", "n"])
 
 
 def _changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -101,7 +101,7 @@ def _changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
         for part, n in rows.loc[ids == low, ["part", "n"]].itertuples(index=False):
             parts[part] = parts.get(part, 0) + n
         if had is not None and had[0] > low:
-            old = pd.DataFrame({"digest": [key[0]] * len(had[1]), "doc_id": had[0], "part": had[1], "mask": np.int32(mask), "n": had[2]})
+            old = pd.DataFrame({"digest": [key[0]] * len(had[1]), "doc_id": had[0], "known": True, "part": had[1], "mask": np.int32(mask), "n": had[2]})
             out += [old.assign(n=-old["n"]), old.assign(mask=np.int32(mask | SEEN))]
         state.update((low, list(parts), [int(n) for n in parts.values()]))
         yield pd.concat(out, ignore_index=True)
@@ -128,7 +128,7 @@ def changes(spark: SparkSession, path: str, batches: int = 4, id_col: str = "doc
     rows = reader.parquet(path).select(F.unhex(F.sha2(text, 256)).alias("digest"), F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("part"), failures(text).alias("mask"))
     log = rows.mapInArrow(lean(_combined), ROW).groupBy("digest").applyInPandasWithState(_changes, ROW, "doc_id bigint, part array<string>, n array<bigint>", "append", GroupStateTimeout.NoTimeout)
     at = f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}"
-    run = log.select("doc_id", "part", "mask", "n").writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+    run = log.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "part", "mask", "n").writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
     run.option("path", f"{at}/log").option("checkpointLocation", f"{at}/state").start().awaitTermination()
     return spark.read.schema("doc_id bigint, part string, mask int, n bigint").parquet(f"{at}/log")
 

@@ -17,7 +17,7 @@ different texts are as in `simhash.keep_one`; an empty table gives an empty resu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +54,12 @@ def shingles(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def bands(s: np.ndarray) -> np.ndarray:
-    """The key of each band of a set of shingle hashes."""
+def bands(sets: list[np.ndarray]) -> np.ndarray:
+    """The keys of the bands of each set of shingle hashes, one row each."""
+    return np.array([_bands(s) for s in sets], dtype=np.int64).reshape(len(sets), BANDS)
+
+
+def _bands(s: np.ndarray) -> np.ndarray:
     # the upper bits of a product with an odd number, mixed once more, are as good as a hash function of its own
     least = np.array([(s * c ^ (s * c >> np.uint64(32))).min() if len(s) else 0 for c in _ODD], dtype=np.uint64)
     key = np.zeros(BANDS, dtype=np.uint64)
@@ -71,12 +75,12 @@ def odd_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(bit, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _nodes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _nodes(batches: Iterator[pa.RecordBatch], words: int, keys_of: Callable[[list[np.ndarray]], np.ndarray]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in steps(batch):
             sets = shingles(raw(part.column(1)), words)
             node = np.array([mixed(mixed(s).sum(dtype=np.uint64, keepdims=True))[0] for s in sets], dtype=np.uint64).view(np.int64)
-            keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
+            keys = pa.array(list(keys_of(sets)), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), keys], names=["key", "node", "size", "bands"])
 
 
@@ -88,6 +92,12 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([part.column(0), grams, pa.array([odd_sketch(s) for s in sets], pa.list_(pa.int64()))], names=["node", "grams", "odd"])
 
 
+def nodes(d: DataFrame, words: int, keys_of: Callable[[list[np.ndarray]], np.ndarray] = bands) -> DataFrame:
+    """(key, node, size, bands) for each row of d (key, text): its set's hash and size, and the keys of its bands."""
+    kind = d.schema["key"].dataType.simpleString()
+    return materialize(d.mapInArrow(lean(lambda it: _nodes(it, words, keys_of)), f"key {kind}, node bigint, size bigint, bands array<bigint>"))
+
+
 def near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose sets (node, grams) have at least the given Jaccard similarity."""
     sets = sets.select("node", "grams")
@@ -209,8 +219,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
     keyed = docs.withColumn("__nd_key", key)
     d = keyed.select(F.col("__nd_key").alias("key"), F.col(text_col).cast("string").alias("text"))
-    kind = d.schema["key"].dataType.simpleString()
-    found = materialize(d.mapInArrow(lean(lambda it: _nodes(it, words)), f"key {kind}, node bigint, size bigint, bands array<bigint>"))
+    found = nodes(d, words)
     comp = connected_components(links(d, found, words, similarity), "a", "b")
     of = found.groupBy("node").agg(F.min("key").alias("key")).join(comp, "node", "left")
     stay = of.groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("key").alias("__nd_stay")).select("__nd_stay")

@@ -94,6 +94,27 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cutoffs.llm.superminhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=5, similarity=0.85)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cutoffs.llm.negatives import hard_negatives, vectors
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors(table(spark, sf_dir, "embeddings"), label=label), F.col("id") % 100 == 0)
+
+
+#: Scores as sums of products, ranks by windows.
+OP13_SQL = """WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+v AS (SELECT vec_id, label, list_transform(x, lambda c: floor(256 * c::DOUBLE)) AS v FROM r),
+s AS (SELECT a.vec_id AS a, a.label AS la, c.vec_id AS c, c.label AS lc, list_dot_product(a.v, c.v)::BIGINT AS s FROM v a, v c WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, c AS p, s AS ps FROM s WHERE la = lc AND a <> c QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, c) <= 5),
+n AS (SELECT a, p, ps, c, s, row_number() OVER (PARTITION BY a, p ORDER BY s DESC, c) AS k FROM p JOIN s USING (a) WHERE la <> lc AND 100 * s BETWEEN 30 * ps AND 90 * ps)
+SELECT a AS anchor_id, p AS positive_id, k::INT AS rank, c AS negative_id, ps AS positive_score, s AS negative_score FROM n WHERE k <= 10"""
+
 #: The audit in one pass of SQL: smaller ids by a window over equal texts, orders by recursion.
 OP11_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
@@ -113,4 +134,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_filter_audit": OP11_SQL}
+    return {"op11_filter_audit": OP11_SQL, "op13_hard_negatives": OP13_SQL}
