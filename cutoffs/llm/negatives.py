@@ -150,9 +150,9 @@ def _negatives(x: pa.Table, y: pa.Table, dims: int, planes: int, most: int, low:
         row, own, goals = x["row"].to_numpy(), x["label"].to_numpy(), x["goals"].to_pylist()
         for i, score in _scored(x, y, dims, planes):
             other = np.flatnonzero(label != own[i])
-            hundred = 100 * score[other]
+            theirs = score[other]
             for rank, goal in enumerate(goals[i]):
-                at = other[(hundred >= low * goal) & (hundred <= high * goal)]
+                at = other[(theirs >= -(-low * goal // 100)) & (theirs <= high * goal // 100)]
                 at = at[_first(score[at], ids[at], most)]
                 out += [(row[i], rank, ids[j] if known[j] else None, score[j]) for j in at]
     cols = list(zip(*out, strict=True)) or [()] * 4
