@@ -8,7 +8,8 @@ from cutoffs.contraction import connected_components
 from cutoffs.operators import reach
 from cutoffs.registry import query, sql
 
-EDGES = """SELECT l_orderkey * 8 + l_linenumber AS edge_id, o_custkey AS u, 1000000 + l_suppkey AS v, l_partkey % 2 AS member,
+#: Orders and line numbers repeat, so that an edge's id also has its place among the lines of its number.
+EDGES = """SELECT (l_orderkey * 8 + l_linenumber) * 64 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS edge_id, o_custkey AS u, 1000000 + l_suppkey AS v, l_partkey % 2 AS member,
   CASE WHEN l_returnflag = 'N' AND l_linenumber = 1 THEN CAST('Infinity' AS DOUBLE) ELSE CAST((l_orderkey * 7 + l_linenumber * 13) % 73 AS DOUBLE) END AS c
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 SOURCES = """SELECT 1000000 + s_suppkey AS node, CAST(s_suppkey % 100 AS DOUBLE) AS a FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1"""

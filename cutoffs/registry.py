@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-PLANS = ("members", "graph", "series", "spatial", "rasters", "rainfall", "text", "serving", "sets", "streams", "build")
+PLANS = ("members", "graph", "networks", "series", "spatial", "rasters", "rainfall", "text", "serving", "sets", "streams", "build")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
