@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Offsets to the eight neighbours of a cell.
@@ -100,21 +102,81 @@ def edge_minima(samples: DataFrame, end_m: float = 200.0) -> DataFrame:
     return samples.groupBy("edge_id").agg(F.min(v).alias("min_hand_m"), F.min(F.when(F.col("dist") <= end_m, v)).alias("hand_u_end_m"), F.min(F.when(F.col("dist") >= F.col("length") - end_m, v)).alias("hand_v_end_m"))
 
 
+#: Metres of a step of heights; pixels and heights meet in order within a step.
+STEP_M = 0.25
+
+
 def exceedance(pixels: DataFrame, floods: DataFrame) -> DataFrame:
     """(row, col, p): weight of the members (patch, member, h, w) whose flood height is over hand + 0.3, by pixel patch.
 
-    A patch's heights are one array with their weights, so that each pixel stays one row; pixels without a height are 0.
+    Pixels and heights of a patch are merged into one sorted list from the highest down, along which the weights add up, so
+    that no pixel meets a height. A list is cut into steps of STEP_M metres, whose sums are added up first: a patch that
+    holds much of the table is many lists. Patches without heights are left out; a pixel without a value has 0.
     """
-    per = floods.groupBy("patch", "h").agg(F.sum("w").alias("w")).groupBy("patch").agg(F.collect_list(F.struct("h", "w")).alias("_m"))
-    over = F.filter("_m", lambda x: x["h"] > F.col("hand") + 0.3)
-    return pixels.join(per, "patch").select("row", "col", F.aggregate(over, F.lit(0.0), lambda a, x: a + x["w"]).alias("p"))
-
-
-def percentiles(pixels: DataFrame, shares: list[float], value: str = "value") -> DataFrame:
-    """One row of linear percentiles p10, p50 and so on: values are counted before they meet, so one task gets each once."""
-    per = pixels.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    p = per.agg(F.percentile(value, F.array(*[F.lit(x) for x in shares]), F.col("_n")).alias("p"))
-    return p.select(*[F.col("p")[i].alias(f"p{round(100 * x)}") for i, x in enumerate(shares)])
+    step = lambda t: F.floor(t / STEP_M).alias("_s")
+    t = F.col("hand") + 0.3
+    high = floods.groupBy("patch", "h").agg(F.sum("w").alias("w")).filter(F.col("h").isNotNull() & F.col("w").isNotNull())
+    high = high.select("patch", F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"), F.col("h").alias("t"), "w", step(F.col("h")), F.lit(1).alias("_k"))
+    kinds = {f.name: f.dataType for f in pixels.schema}
+    high = high.withColumns({c: F.col(c).cast(kinds[c]) for c in ("row", "col")})
+    low = pixels.join(floods.select("patch").distinct(), "patch", "left_semi").select("patch", "row", "col", t.alias("t"), F.lit(0.0).alias("w"), step(t), F.lit(0).alias("_k"))
+    both = high.union(low)
+    sums = both.groupBy("patch", "_s").agg(F.sum("w").alias("_w"))
+    above = sums.select("patch", "_s", F.coalesce(F.sum("_w").over(Window.partitionBy("patch").orderBy(F.desc_nulls_last("_s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_above"))
+    # of equal heights the pixel comes first: its flood has to be higher
+    down = Window.partitionBy("patch", "_s").orderBy(F.desc("t"), "_k").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_in", F.sum("w").over(down)).filter("_k = 0").join(above.withColumnRenamed("_s", "_s2").withColumnRenamed("patch", "_p2"), F.col("patch").eqNullSafe(F.col("_p2")) & F.col("_s").eqNullSafe(F.col("_s2")))
+    return out.select("row", "col", F.when(F.col("t").isNull() | F.isnan("t"), 0.0).otherwise(F.col("_above") + F.col("_in")).alias("p"))
+
+
+#: Cells of a histogram pass.
+CELLS = 4096
+
+
+def order_statistics(rows: DataFrame, value: str, ranks: list[int], cells: int = CELLS) -> dict[int, float]:
+    """The values at the given ranks (from 0) among the values that are neither null nor NaN, which have to be finite.
+
+    Distributed selection: a pass counts the values by cells of the interval in which a rank must be, keeps the cell that
+    holds it, and takes that cell's smallest and largest value as the next interval, until they are one value. The driver
+    sees `cells` counts for each interval; no task gets the values together. All ranks are followed in the same passes.
+    """
+    v = rows.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    low, high = v.agg(F.min("v"), F.max("v")).first()
+    open_ = {r: (low, high, r) for r in ranks}
+    found: dict[int, float] = {}
+    while open_:
+        for r, (a, b, _) in list(open_.items()):
+            if a == b:
+                found[r] = a
+                del open_[r]
+        spans = sorted({(a, b) for a, b, _ in open_.values()})
+        if not spans:
+            break
+        cell = lambda a, b: F.least(F.floor((F.col("v") / 2 - a / 2) / (b / 2 - a / 2) * cells), F.lit(cells - 1))
+        hits = F.array(*[F.when(F.col("v").between(a, b), F.struct(F.lit(i).alias("i"), cell(a, b).alias("cell"))) for i, (a, b) in enumerate(spans)])
+        counted = v.select("v", F.explode(F.array_compact(hits)).alias("h")).groupBy("h.i", "h.cell").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("i", "cell").collect()
+        for r, (a, b, k) in list(open_.items()):
+            for c in counted:
+                if (a, b) != spans[c["i"]]:
+                    continue
+                if k < c["n"]:
+                    open_[r] = (c["a"], c["b"], k)
+                    break
+                k -= c["n"]
+    return found
+
+
+def percentiles(pixels: DataFrame, shares: list[float], value: str = "value", cells: int = CELLS) -> DataFrame:
+    """One row of linear percentiles p10, p50 and so on (null without values), by `order_statistics`."""
+    spark = pixels.sparkSession
+    names = [f"p{round(100 * x)}" for x in shares]
+    kept = pixels.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    n = kept.count()
+    at = [x * (n - 1) for x in shares]
+    ranks = sorted({k for x in at for k in (math.floor(x), math.ceil(x))}) if n else []
+    got = order_statistics(kept, value, ranks, cells) if n else {}
+    out = [got[math.floor(x)] + (got[math.ceil(x)] - got[math.floor(x)]) * (x - math.floor(x)) if n else None for x in at]
+    return spark.range(1).select(*[F.lit(x).cast("double").alias(name) for x, name in zip(out, names, strict=True)])
 
 
 def surge_summary(cells: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutoffs.functions.geo import haversine_km
+from cutoffs.functions.geo import EARTH_KM, haversine_km
+from cutoffs.session import materialize
 
 METRICS = ["lat", "lon", "vmax_ms", "pmin_hpa", "rmw_km"]
 KEYS = ["source", "member_no"]
@@ -154,21 +157,68 @@ def fix_speeds(fixes: DataFrame, keys: list[str], lead: str = "lead_h") -> DataF
     return out.groupBy(*keys).agg(F.max("_v").alias("max_kmh"), F.bool_and("_up").alias("monotone"))
 
 
-#: Places that a fix meets in one block.
+#: Degrees of the boxes of a track, from level to level; the box above them all is the whole track's.
+BOX_DEGREES = (8.0, 1.0, 0.125)
+#: Places that a copy of the tracks' outer boxes meets at once.
 BLOCK_PLACES = 1000
 
 
-def closest_approach(tracks: DataFrame, places: DataFrame, keys: list[str], place: str = "place") -> DataFrame:
+def closest_approach(tracks: DataFrame, places: DataFrame, keys: list[str], place: str = "place", boxes: tuple[float, ...] = BOX_DEGREES) -> DataFrame:
     """(keys, place, km): smallest distance of each track to each place of a stated set.
 
-    The places are dealt to blocks and the fixes meet one block after another, as the result has a row for each track and
-    place; each task keeps the smallest distances of its fixes before anything moves.
+    Branch and bound on a tree of boxes of each track. No fix of a box is nearer than the box, and the nearest fix is no
+    further than one fix that each box names; so boxes that are further than the nearest named fix are left, the others are
+    opened. Only the track's outer box meets every place, as the result has a row for both; fixes meet the places for which
+    their last box stays. `approach_steps` gives the rows of each level.
     """
+    return approach_steps(tracks, places, keys, place, boxes)[-1].groupBy(*keys, place).agg(F.min("_km").alias("km"))
+
+
+def approach_steps(tracks: DataFrame, places: DataFrame, keys: list[str], place: str = "place", boxes: tuple[float, ...] = BOX_DEGREES) -> list[DataFrame]:
+    """The rows that each level of `closest_approach` compares: boxes with places, and fixes with places at last."""
+    fixes = tracks.select(*keys, "lat", "lon").dropna(subset=["lat", "lon"])
+    at = [F.lit("")]  # a box's name is where it is on all levels down to its own
+    for d in boxes:
+        at.append(F.concat_ws("/", at[-1], F.floor(F.col("lat") / d), F.floor(F.col("lon") / d)))
+    fixes = materialize(fixes.withColumns({f"_b{i}": a for i, a in enumerate(at)}))
+    finest = [f"_b{i}" for i in range(len(at))]
+    # each level's boxes from those of the level below
+    last = fixes.groupBy(*keys, *finest).agg(F.min("lat").alias("_s"), F.max("lat").alias("_n"), F.min("lon").alias("_w"), F.max("lon").alias("_e"), F.min(F.struct("lat", "lon")).alias("_f"))
+    levels = [materialize(last)]
+    for i in range(len(boxes) - 1, -1, -1):
+        up = levels[0].groupBy(*keys, *finest[: i + 1]).agg(F.min("_s").alias("_s"), F.max("_n").alias("_n"), F.min("_w").alias("_w"), F.max("_e").alias("_e"), F.min("_f").alias("_f"))
+        levels.insert(0, materialize(up))
     blocks = max(1, -(-places.count() // BLOCK_PLACES))
-    p = places.select(place, F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), F.pmod(F.xxhash64(place), F.lit(blocks)).alias("_block"))
-    fixes = tracks.select(*keys, "lat", "lon", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
-    pairs = fixes.join(p, "_block")
-    return pairs.groupBy(*keys, place).agg(F.min(haversine_km(F.col("lat"), F.col("lon"), F.col("_plat"), F.col("_plon"))).alias("km"))
+    salts = max(1, int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    p = places.select(place, F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), F.pmod(F.xxhash64(place), F.lit(blocks)).alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    outer = levels[0].withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    named = haversine_km(F.col("_f.lat"), F.col("_f.lon"), F.col("_plat"), F.col("_plon"))
+    met = outer.join(p, ["_block", "_salt"]).select(*keys, place, "_plat", "_plon", "_b0", named.alias("_ub"))
+    steps = [met]
+    for i in range(1, len(levels)):
+        met = met.join(levels[i], [*keys, *finest[:i]]).withColumn("_ub", F.least("_ub", named))
+        met = materialize(met.withColumn("_lb", box_km(F.col("_plat"), F.col("_plon"), *[F.col(c) for c in ("_s", "_n", "_w", "_e")])).select(*keys, place, "_plat", "_plon", *finest[: i + 1], "_ub", "_lb"))
+        steps.append(met)
+        met = met.withColumn("_ub", F.min("_ub").over(Window.partitionBy(*keys, place))).filter(F.col("_lb") <= F.col("_ub")).drop("_lb")
+    near = met.join(fixes, [*keys, *finest])
+    return [*steps, near.select(*keys, place, haversine_km(F.col("lat"), F.col("lon"), F.col("_plat"), F.col("_plon")).alias("_km"))]
+
+
+def box_km(lat: Column, lon: Column, south: Column, north: Column, west: Column, east: Column) -> Column:
+    """A bound that no point of a box is nearer than, in km.
+
+    The largest of three: its distance in latitude, that to its nearer side as a meridian, and that to its middle less the
+    way from there to a corner along a meridian and a parallel, which is close for boxes that are far off.
+    """
+    zero = F.lit(0.0)
+    aside = [F.greatest(zero, west - (lon + k), (lon + k) - east) for k in (-360, 0, 360)]  # both ways round
+    dlon = F.least(*aside)
+    up = F.greatest(zero, south - lat, lat - north)
+    side = F.when(dlon <= 90, F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(dlon)) * F.cos(F.radians(lat)))))).otherwise(90 - F.abs(lat))
+    k = EARTH_KM * math.pi / 180
+    widest = F.cos(F.radians(F.when((south <= 0) & (north >= 0), 0.0).otherwise(F.least(F.abs(south), F.abs(north)))))
+    middle = haversine_km(lat, lon, (south + north) / 2, (west + east) / 2) - (north - south + (east - west) * widest) / 2 * k
+    return F.greatest(F.greatest(up, side) * k, middle) * (1 - 1e-9) - 1e-6
 
 
 def normalise_tracks(raw: DataFrame) -> DataFrame:
