@@ -32,13 +32,16 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     e = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).filter("a is not null and b is not null")
     own = e.filter("a = b").select(F.col("a").alias("node")).distinct()
     live = materialize(e.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    seen = live.select(F.col("a").alias("node")).union(live.select(F.col("b").alias("node"))).union(own).distinct()
-    labels = materialize(seen.select("node", F.col("node").alias("component")))
+    labels = None
     while not live.isEmpty():
         both = live.union(live.select("b", "a")).toDF("node", "nbr")
         parent = both.groupBy("node").agg(F.min("nbr").alias("m")).select("node", F.least("m", "node").alias("parent"))
         root = pointer_roots(parent)
-        labels = materialize(labels.join(root.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+        if labels is None:  # the first round has a root for every node with an edge
+            labels = root.select("node", F.col("root").alias("component"))
+        else:
+            labels = materialize(labels.join(root.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("root", "component").alias("component")))
         ra, rb = root.toDF("a", "ra"), root.toDF("b", "rb")
         live = materialize(live.join(ra, "a").join(rb, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-    return labels
+    alone = own.select("node", F.col("node").alias("component"))
+    return alone if labels is None else labels.union(alone.join(labels, "node", "left_anti"))

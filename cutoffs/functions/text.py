@@ -83,9 +83,12 @@ def indian_group(n: Column) -> Column:
 
 
 def people(n: Column, lang: str = "en-IN") -> Column:
-    """Rounded for readers: lakh from 100,000 on, hundreds from 1,000 on, tens from 10 on (halves to even), 0 at least."""
+    """Rounded for readers: lakh from 100,000 on, hundreds from 1,000 on, tens from 10 on (halves to even), 0 at least.
+
+    Lakh are rounded as the double that they are: 115,000 is a little under 1.15 lakh, and so 1.1.
+    """
     n = F.greatest(n.cast("double"), F.lit(0.0))
-    lakh = F.concat(F.format_string("%.1f", F.bround(n / 100000, 1)), F.lit(" " + LAKH[lang]))
+    lakh = F.concat(F.replace(F.format_number(n / 100000, 1), F.lit(","), F.lit("")), F.lit(" " + LAKH[lang]))
     return F.when(n >= 100000, lakh).when(n >= 1000, indian_group((F.bround(n / 100) * 100).cast("long"))).when(n >= 10, (F.bround(n / 10) * 10).cast("long").cast("string")).otherwise(F.bround(n).cast("long").cast("string"))
 
 

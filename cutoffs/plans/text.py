@@ -101,7 +101,7 @@ def f9(spark, sf):
 
 
 @query("F9_people", """WITH t AS (SELECT o_orderkey, o_orderkey * 37 % 990001 - 5 AS n FROM orders), u AS (SELECT o_orderkey, greatest(n, 0) AS n, CAST(CASE WHEN n >= 1000 THEN round_even(n / 100e0, 0) * 100 WHEN n >= 10 THEN round_even(n / 10e0, 0) * 10 ELSE greatest(n, 0) END AS BIGINT) AS k FROM t)
-SELECT o_orderkey, CASE WHEN n >= 100000 THEN format('{:.1f}', round_even(n / 1e5, 1)) || ' lakh' WHEN k >= 100000 THEN format('{},{:02d},{:03d}', k // 100000, k // 1000 % 100, k % 1000) WHEN k >= 1000 THEN format('{},{:03d}', k // 1000, k % 1000) ELSE CAST(k AS VARCHAR) END AS people FROM u""")
+SELECT o_orderkey, CASE WHEN n >= 100000 THEN format('{:.1f}', n / 1e5) || ' lakh' WHEN k >= 100000 THEN format('{},{:02d},{:03d}', k // 100000, k // 1000 % 100, k % 1000) WHEN k >= 1000 THEN format('{},{:03d}', k // 1000, k % 1000) ELSE CAST(k AS VARCHAR) END AS people FROM u""")
 def f9_people(spark, sf):
     return sql(spark, sf, "SELECT o_orderkey, o_orderkey * 37 % 990001 - 5 AS n FROM orders").select("o_orderkey", T.people(F.col("n")).alias("people"))
 

@@ -161,6 +161,13 @@ def test_formatting(spark):
     assert one(spark, text.ist_time(F.lit("2025-10-26 17:00:00").cast("timestamp"))) == "22:30 IST"
 
 
+def test_people_in_lakh_are_rounded_as_doubles(spark):
+    assert one(spark, text.people(F.lit(115000))) == "1.1 lakh"
+    got = spark.range(100_000, 10_000_000, 250).select("id", text.people(F.col("id")).alias("t")).collect()
+    assert [r["t"] for r in got] == [f"{r['id'] / 1e5:.1f} lakh" for r in got]
+    assert one(spark, text.people(F.lit(123456789012.0))) == f"{123456789012.0 / 1e5:.1f} lakh"
+
+
 def test_days_of_phrases(spark):
     days = lambda t: [d.day for d in one(spark, text.parse_days(F.lit(t), 2025, 10))]
     assert days("26th to 29th October") == [26, 27, 28, 29] and days("28th & 29th") == [28, 29] and days("27th") == [27] and days("soon") == []
