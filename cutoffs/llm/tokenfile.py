@@ -3,7 +3,7 @@
 Documents are put in ascending order of their id and encoded with a byte-level BPE file of the tokenizers library; the
 end id follows each document. Every SHARD_TOKENS ids (rounded up to whole documents) make a shard. In rounds, the most
 frequent adjacent pairs of a shard become nonterminals and replace their non-overlapping occurrences, left to right,
-until no pair occurs LEAST times. A shard's payload holds the rules, the length of what each rule
+until no pair occurs so often that its rule is paid for. A shard's payload holds the rules, the length of what each rule
 expands to, and the remaining sequence in fixed-width bits; with the running sum of lengths, any range of ids is decoded
 from the symbols that cover it, without the rest of the shard.
 
@@ -32,8 +32,8 @@ from cutoffs.session import materialize
 
 END_ID = 2
 SHARD_TOKENS = 1_000_000
-#: Occurrences from which a pair gets a rule; a round replaces pairs down to 1 / SHARE of the most frequent one's count.
-LEAST, SHARE = 24, 8
+#: Bits that a rule takes in a payload; a round replaces pairs down to 1 / SHARE of the most frequent one's count.
+RULE_BITS, SHARE = 96, 8
 #: Pieces of a generation that a task keeps encoded; there are two at most.
 CACHE_WORDS = 500_000
 _HASH_BITS = 18
@@ -111,14 +111,20 @@ def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def re_pair(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, int]:
+def paying(base: int) -> int:
+    """Occurrences from which a rule is shorter than what it saves: each saves one symbol of as many bits as base has."""
+    return RULE_BITS // max(1, base.bit_length()) + 1
+
+
+def re_pair(ids: np.ndarray, least: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """(sequence, rules, base): rule k is the pair that nonterminal base + k stands for.
 
     Pairs are counted by slots of a hash first, and exactly where a slot is frequent; pairs in a run of one symbol count
     without overlap. Each round replaces the pairs that occur at least 1 / SHARE as often as the most frequent slot, or,
-    if there is none, those that occur `least` times. It ends when no pair does.
+    if there is none, those that occur `least` times (by default, those whose rule pays). It ends when no pair does.
     """
     base = int(ids.max(initial=0)) + 1
+    least = max(2, paying(base) if least is None else least)
     seq, rules, n_rules, alone, all_ = ids.astype(np.uint32), [], 0, False, False
     lut = np.empty(1 << _HASH_BITS, dtype=np.int32)
     while len(seq) > least:
@@ -148,7 +154,7 @@ def re_pair(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray
         at, rule = at[hit], rule[hit]
         take = _every_second(at, np.ones(len(at), dtype=bool))
         at, rule = at[take], rule[take]
-        used = np.bincount(rule, minlength=len(some)) >= least // 2
+        used = np.bincount(rule, minlength=len(some)) >= least
         keep = used[rule]
         at, rule = at[keep], rule[keep]
         alone = not len(at)  # where pairs are in each other's way the most frequent one is replaced alone
@@ -189,8 +195,8 @@ def lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return np.array(out, dtype=np.uint32)
 
 
-def pack(ids: np.ndarray) -> bytes:
-    seq, rules, base = re_pair(ids)
+def pack(ids: np.ndarray, least: int | None = None) -> bytes:
+    seq, rules, base = re_pair(ids, least)
     bits = max(1, int(base + len(rules) - 1).bit_length())
     head = np.array([base, len(rules), len(seq), bits, len(ids)], dtype="<u4").tobytes()
     parts = []
@@ -261,7 +267,7 @@ class Grammar:
         return self.expand(self.seq[a : b + 1])[start - before : stop - before]
 
 
-def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_tokens: int) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_tokens: int, least: int | None) -> Iterator[pa.RecordBatch]:
     """Encodes the documents of one range in order and yields a row per shard."""
     bpe, part, number, first = byte_bpe(path), TaskContext.get().partitionId(), 0, 0
     names: list[pa.Array] = []
@@ -273,7 +279,7 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_tok
         sizes = [len(x) // 4 for x in held]
         ids = np.frombuffer(b"".join(held), dtype="<u4")
         docs = pa.concat_arrays(names)
-        row = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), pa.array([sizes], pa.list_(pa.int64())), pa.array([pack(ids)], pa.binary())]
+        row = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), pa.array([sizes], pa.list_(pa.int64())), pa.array([pack(ids, least)], pa.binary())]
         number, first = number + 1, first + len(ids)
         return pa.RecordBatch.from_arrays(row, names=["range", "shard", "first", "n_tokens", "doc_ids", "sizes", "payload"])
 
@@ -289,8 +295,8 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_tok
         yield flush()
 
 
-def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, partitions: int | None = None) -> DataFrame:
-    """Writes the shards of docs, in ranges of ascending id, and returns the table as read back.
+def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, partitions: int | None = None, least: int | None = None) -> DataFrame:
+    """Writes the shards of docs, in ranges of ascending id, and returns the table as read back; least as in `re_pair`.
 
     Columns: range, shard, first (ids of the range before the shard), n_tokens, doc_ids, sizes, payload.
     """
@@ -300,7 +306,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     ordered = d.repartitionByRange(n, "doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
     schema = f"range int, shard int, first bigint, n_tokens bigint, doc_ids array<{kind}>, sizes array<bigint>, payload binary"
-    return materialize(ordered.mapInArrow(lean(lambda it: _shards(it, path, end_id, shard_tokens)), schema))
+    return materialize(ordered.mapInArrow(lean(lambda it: _shards(it, path, end_id, shard_tokens, least)), schema))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
