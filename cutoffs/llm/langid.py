@@ -3,8 +3,9 @@
 Each word has as features its character n-grams with word boundaries (those at a boundary are its affixes) and itself
 (the lexicon), hashed into a fixed number of weights per language; moves between languages have learned weights, so
 that a code-switched text can change its language between any two words. Forward-backward gives the probability of
-every language at every word; a document's language is the one with the largest mean over its words. A chain has at most
-CHAIN_WORDS words; a longer text is several chains, of which the mean is taken all the same.
+every language at every word; a document's language is the one with the largest mean over its words (of equal ones the
+first by name). A text is one chain, however long: its stretches of CHAIN_WORDS words are stepped side by side, with the
+weights that come over their borders from either side worked out first, so that steps don't grow with the longest text.
 
 The field is fitted on the driver to whole texts of at most SAMPLE_ROWS labelled rows, drawn by a hash of their id and
 text. A document has one label for all its words, so that a switch is never seen in it; of each batch some texts are
@@ -32,8 +33,8 @@ from cutoffs.llm.common import Words, drawn, lean, members, mixed, steps
 SAMPLE_ROWS = 2000
 FEATURE_BITS = 17
 EPOCHS, RATE, DECAY = 3, 0.3, 1e-4
-#: Words of a chain, at most (chains are stepped together, as many steps as the longest has words); of PAIR_OF texts of a
-#: batch, two are joined.
+#: Words of a stretch, at most (stretches are stepped together, as many steps as the longest has words); of PAIR_OF texts of
+#: a batch, two are joined.
 CHAIN_WORDS, PAIR_OF = 4096, 8
 #: Words that are stepped through at once.
 STEP_WORDS = 400_000
@@ -146,6 +147,50 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit([t.lower().encode() for t in got["text"]], got["lang"].tolist()) if len(got) else None
 
 
+def _stretches(cut: np.ndarray, number: np.ndarray, potentials: np.ndarray, words: int) -> Iterator[tuple[int, int, Chains, np.ndarray]]:
+    """(first, end, layout, potentials by step) of as many stretches at a time as have about so many words."""
+    ends, a = np.cumsum(cut), 0
+    while a < len(cut):
+        base = int(ends[a] - cut[a])
+        b = max(a + 1, int(np.searchsorted(ends, base + words, side="right")))
+        chains = Chains(cut[a:b])
+        by_step = np.empty(int(ends[b - 1]) - base, dtype=np.int64)
+        by_step[chains.place] = number[base : ends[b - 1]]
+        yield a, b, chains, potentials[by_step]
+        a = b
+
+
+def _borders(cut: np.ndarray, parts: np.ndarray, number: np.ndarray, potentials: np.ndarray, move: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What comes into each stretch and what follows it, so that stretches of a text are looked through side by side as one chain.
+
+    The stretches of long texts are first summed up as matrices, from the label before to the last one; their products carry
+    forward and backward weights over the cuts.
+    """
+    begin, end = np.tile(first, (len(cut), 1)), np.ones((len(cut), len(first)))
+    stop = np.cumsum(parts)
+    many = np.flatnonzero(parts > 1)
+    if not len(many):
+        return begin, end
+    long = np.repeat(parts > 1, parts)
+    heads = np.zeros(len(cut), dtype=bool)
+    heads[stop[many] - parts[many]] = True
+    across = np.ones((len(cut), len(first), len(first)))
+    across[long & ~heads] = np.concatenate([c.transfers(emit, move) for _, _, c, emit in _stretches(cut[long & ~heads], number[np.repeat(long & ~heads, cut)], potentials, STEP_WORDS)])
+    after = np.ones((len(cut), len(first)))
+    after[heads] = np.concatenate([c.forward(emit, move, first)[0][c.place[np.cumsum(c.lengths) - 1]] for _, _, c, emit in _stretches(cut[heads], number[np.repeat(heads, cut)], potentials, STEP_WORDS)])
+    for t in many.tolist():
+        mine = range(stop[t] - parts[t], stop[t])
+        now = after[mine[0]]
+        for k in mine[1:]:
+            begin[k] = now @ move
+            now = now @ across[k]
+            now = now / now.sum()
+        for k in reversed(mine[:-1]):
+            back = across[k + 1] @ end[k + 1]
+            end[k] = back / back.sum()
+    return begin, end
+
+
 def label(texts: list[str | None], field: Field | None) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
     lang, score = ["und"] * len(texts), np.zeros(len(texts))
@@ -157,22 +202,17 @@ def label(texts: list[str | None], field: Field | None) -> tuple[list[str], np.n
         return lang, score
     scores, _, _ = field.emissions(distinct)
     potentials, move, first = field.potentials(scores), np.exp(field.move), np.exp(field.first)
-    # chains of CHAIN_WORDS words at most, and about as many words at a time
+    # stretches of CHAIN_WORDS words at most, and about as many words at a time
     parts = -(-lengths // CHAIN_WORDS)
     starts = np.concatenate([np.arange(k) * CHAIN_WORDS for k in parts.tolist()])
     owner = np.repeat(np.arange(len(lengths)), parts)
     cut = np.minimum(CHAIN_WORDS, lengths[owner] - starts)
+    begin, end = _borders(cut, parts, number, potentials, move, first)
     total = np.zeros((len(lengths), len(field.langs)))
-    ends, a = np.cumsum(cut), 0
-    while a < len(cut):
-        base = int(ends[a] - cut[a])
-        b = max(a + 1, int(np.searchsorted(ends, base + STEP_WORDS, side="right")))
-        chains = Chains(cut[a:b])
-        by_step = np.empty(int(ends[b - 1]) - base, dtype=np.int64)
-        by_step[chains.place] = number[base : ends[b - 1]]
-        post, _, _ = chains.posteriors(potentials[by_step], move, first, pairs=False)
-        np.add.at(total, owner[a:b], np.add.reduceat(post[chains.place], ends[a:b] - cut[a:b] - base, axis=0))
-        a = b
+    for a, b, chains, emit in _stretches(cut, number, potentials, STEP_WORDS):
+        post, _, _ = chains.posteriors(emit, move, begin[a:b], pairs=False, end=end[a:b])
+        post /= post.sum(axis=1, keepdims=True)
+        np.add.at(total, owner[a:b], np.add.reduceat(post[chains.place], np.cumsum(cut[a:b]) - cut[a:b], axis=0))
     mean = total / lengths[:, None]
     for i, k, s in zip(some.tolist(), mean.argmax(axis=1).tolist(), mean.max(axis=1).tolist(), strict=True):
         if lower[i].upper() != lower[i] or any(map(str.isalpha, texts[i])):

@@ -569,12 +569,21 @@ def test_re_pair_stops_when_no_pair_is_frequent(kind):
     # every rule was made for a pair that was frequent: opened in reverse, it stands for many places
     used = Counter(seq.tolist())
     for k in sorted(open_, reverse=True):
-        assert used[k] >= 12
+        assert used[k] >= 24
         for x in open_[k]:
             used[x] += used[k]
     assert (tokenfile.Grammar(tokenfile.pack(ids)).read() == ids).all()
 
 
+def test_rules_stop_where_they_no_longer_pay():
+    rng = np.random.default_rng(9)
+    ids = (rng.zipf(1.3, 60_000) % 40_000).astype("<u4")
+    assert tokenfile.paying(50_000) == 7 and tokenfile.paying(1 << 20) == 5
+    sizes = {n: len(tokenfile.pack(ids, n)) for n in (2, 4, 24, 200)}
+    assert len(tokenfile.pack(ids)) <= min(sizes.values()) * 1.01
+    assert most_frequent(tokenfile.re_pair(ids)[0].tolist()) < tokenfile.paying(int(ids.max()) + 1)
+
+
 def test_first_rules_are_the_most_frequent_pairs():
     ids = np.array(([1, 2] * 40 + [9]) * 30 + [3, 4, 5] * 50 + [6, 7] * 30, dtype="<u4")
     _, rules, _ = tokenfile.re_pair(ids, least=24)
@@ -670,12 +679,14 @@ def test_language_prediction_is_brute_force(spark, docs, odd, monkeypatch):
     for df in (docs.orderBy("doc_id").limit(25), odd):
         want = Counter((r["doc_id"], *((x := plain_label(r["text"], field))[:1]), round(x[1], 4)) for r in df.select("doc_id", "text").collect())
         assert Counter((r["doc_id"], r["lang_pred"], round(r["score"], 4)) for r in langid.predict(df, field).collect()) == want
-    # a text of several chains has the mean over all of them
-    texts = [r["text"] for r in docs.orderBy(F.desc("n_chars")).limit(3).collect()]
+    # a text of several stretches is one chain
+    texts = [r["text"] for r in docs.orderBy(F.desc("n_chars")).limit(12).collect()] + ["kurz und gut", None, "the cat und der hund " * 20]
+    monkeypatch.setattr(langid, "CHAIN_WORDS", 1 << 30)
     whole = langid.label(texts, field)
-    monkeypatch.setattr(langid, "CHAIN_WORDS", 40)
-    parts = langid.label(texts, field)
-    assert whole[0] == parts[0] and np.allclose(whole[1], parts[1], atol=0.02)
+    for words in (4096, 40, 7, 1):
+        monkeypatch.setattr(langid, "CHAIN_WORDS", words)
+        parts = langid.label(texts, field)
+        assert whole[0] == parts[0] and np.allclose(whole[1], parts[1], rtol=0, atol=1e-9)
 
 
 def test_moves_between_languages_are_learnt(docs):
