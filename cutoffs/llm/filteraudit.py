@@ -11,8 +11,11 @@ those of the files read so far. All 120 orders follow from the counters.
 
 A text is known by its SHA-256. A task combines the rows of each Arrow batch before they move: only the rows with the
 smallest id of a text in it go to the text's state, the others are sent on as they are, so that a text that a third of all
-rows have doesn't meet in one task. State is kept by RocksDB on executors' disks with its changes in the checkpoint; the
-log is a file sink, so that each change is in it once, whatever fails.
+rows have doesn't meet in one task. States are kept together for about TEXTS texts, by a hash of the digest, and looked
+through at once: a call for each text costs ten times what its change does. They lie in the state store that the session
+names (spark.sql.streaming.stateStore.providerClass), about 70 bytes a text in executors' memory by default, on their disks
+with RocksDB, which suits tables whose texts don't fit; either has its changes in the checkpoint. The log is a file sink,
+so that each change is in it once, whatever fails.
 
 Defined results: a null text is empty, a null source is the part ''; an empty text has no words and fails A (and E under
 an id that isn't the smallest). A row without an id never fails E and makes no other row fail. Repeated rows (same id, same
@@ -23,6 +26,7 @@ three named columns of the documents are read, so that others can't clash.
 
 from __future__ import annotations
 
+import io
 import uuid
 from collections.abc import Iterator
 from itertools import permutations
@@ -42,10 +46,13 @@ from cutoffs.session import materialize, shared_dir
 FILTERS = "ABCDE"
 #: The bit of filter E in a mask of failures; filter number i has the bit 1 << i.
 SEEN = 16
-#: An id that isn't known is 0 here: a column with nulls would become one of doubles in pandas.
-ROW = "digest binary, doc_id bigint, known boolean, part string, mask int, n bigint"
-#: Bytes of a digest; keys of rows that need no state are shorter.
-DIGEST = 32
+#: Texts whose states are kept together, about.
+TEXTS = 1000
+#: Rows on their way to the states. An id that isn't known is 0: a column with nulls would become one of doubles in pandas.
+ROW = "bucket bigint, digest binary, doc_id bigint, known boolean, part string, mask int, n bigint"
+#: A state: the rows (digest, doc_id, part, mask, n) of each text's smallest id, as an Arrow stream.
+STATE = "rows binary"
+COLUMNS = ["digest", "doc_id", "part", "mask", "n"]
 
 
 def failures(text: Column) -> Column:
@@ -62,49 +69,54 @@ def failures(text: Column) -> Column:
 
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (digest, doc_id, part, mask) as rows with n: those with a text's smallest id in the batch, and the rest.
+    """Rows (bucket, digest, doc_id, part, mask) as rows with n: those with a text's smallest id in the batch, and the rest.
 
-    The rest goes under a key of the task, with E failed; rows without an id go there as they are.
+    The rest goes to a bucket of the task, a negative one, with E failed; rows without an id go there as they are.
     """
-    aside = b"task%d" % TaskContext.get().partitionId()
+    aside = -1 - TaskContext.get().partitionId()
     for batch in batches:
-        known = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-        ids = batch.column(1).fill_null(0).to_numpy()
-        code, texts = pd.factorize(batch.column(0).to_numpy(zero_copy_only=False))
-        least = np.full(len(texts), np.iinfo(np.int64).max)
-        np.minimum.at(least, code[known], ids[known])
-        mine = known & (ids == least[code])
-        rows = pd.DataFrame({"code": code, "doc_id": ids, "known": known, "mine": mine, "part": batch.column(2).to_numpy(zero_copy_only=False), "mask": batch.column(3).to_numpy()})
-        rows["mask"] |= np.where(known & ~mine, SEEN, 0)
-        rows.loc[~mine, "code"] = -1
-        sums = rows.groupby(["code", "doc_id", "known", "part", "mask"], sort=False).size().reset_index(name="n")
-        key = np.append(texts, aside)[sums["code"].to_numpy()]  # the place of code -1 is the last
-        cols = [pa.array(key, pa.binary()), pa.array(sums["doc_id"].to_numpy(), pa.int64()), pa.array(sums["known"].to_numpy()), pa.array(sums["part"], pa.string()), pa.array(sums["mask"].to_numpy(), pa.int32()), pa.array(sums["n"].to_numpy(), pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, names=["digest", "doc_id", "known", "part", "mask", "n"])
+        known = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+        ids = batch.column(2).fill_null(0).to_numpy()
+        bucket = batch.column(0).to_numpy()
+        code, texts = pd.factorize(batch.column(1).to_numpy(zero_copy_only=False))
+        mine = known & (ids == _least(code[known], ids[known], len(texts))[code])
+        rows = pd.DataFrame({"bucket": np.where(mine, bucket, aside), "code": np.where(mine, code, -1), "doc_id": ids, "known": known, "part": batch.column(3).to_numpy(zero_copy_only=False), "mask": batch.column(4).to_numpy() | np.where(known & ~mine, SEEN, 0)})
+        sums = rows.groupby(["bucket", "code", "doc_id", "known", "part", "mask"], sort=False).size().reset_index(name="n")
+        digest = np.append(texts, b"")[sums["code"].to_numpy()]  # the place of code -1 is the last
+        cols = [pa.array(sums["bucket"].to_numpy(), pa.int64()), pa.array(digest, pa.binary()), pa.array(sums["doc_id"].to_numpy(), pa.int64()), pa.array(sums["known"].to_numpy()), pa.array(sums["part"], pa.string()), pa.array(sums["mask"].to_numpy(), pa.int32()), pa.array(sums["n"].to_numpy(), pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["bucket", "digest", "doc_id", "known", "part", "mask", "n"])
+
+
+def _least(code: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of the ids of each of n codes."""
+    out = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(out, code, ids)
+    return out
 
 
 def _changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The changes that new rows of a text bring; the state is (smallest id, its parts, their rows)."""
-    if len(key[0]) < DIGEST:
+    """The changes that new rows bring to the texts of a bucket."""
+    if key[0] < 0:
         yield from frames
         return
-    for rows in frames:
-        had = state.get if state.exists else None
-        if had is None and len(rows) == 1:
-            state.update((int(rows["doc_id"].iat[0]), [rows["part"].iat[0]], [int(rows["n"].iat[0])]))
-            yield rows
-            continue
-        ids, mask = rows["doc_id"].to_numpy(), int(rows["mask"].iat[0])
-        low = int(ids.min()) if had is None else min(int(ids.min()), had[0])
-        out = [rows.assign(mask=np.where(ids > low, mask | SEEN, mask).astype(np.int32))]
-        parts: dict = dict(zip(had[1], had[2], strict=True)) if had is not None and had[0] == low else {}
-        for part, n in rows.loc[ids == low, ["part", "n"]].itertuples(index=False):
-            parts[part] = parts.get(part, 0) + n
-        if had is not None and had[0] > low:
-            old = pd.DataFrame({"digest": [key[0]] * len(had[1]), "doc_id": had[0], "known": True, "part": had[1], "mask": np.int32(mask), "n": had[2]})
-            out += [old.assign(n=-old["n"]), old.assign(mask=np.int32(mask | SEEN))]
-        state.update((low, list(parts), [int(n) for n in parts.values()]))
-        yield pd.concat(out, ignore_index=True)
+    new = pd.concat(list(frames), ignore_index=True)
+    had = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else new[COLUMNS].iloc[:0]
+    old = len(had)
+    rows = pd.concat([had, new[COLUMNS]], ignore_index=True) if old else new[COLUMNS]
+    code, texts = pd.factorize(rows["digest"].to_numpy())
+    ids, mask = rows["doc_id"].to_numpy(), rows["mask"].to_numpy()
+    holds = ids == _least(code, ids, len(texts))[code]
+    held = rows[holds].groupby(["digest", "doc_id", "part", "mask"], sort=False, as_index=False)["n"].sum() if len(texts) < holds.sum() else rows[holds]
+    sink = io.BytesIO()
+    table = pa.Table.from_pandas(held[COLUMNS], preserve_index=False).replace_schema_metadata()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    state.update((sink.getvalue(),))
+    yield new.assign(mask=np.where(holds[old:], mask[old:], mask[old:] | SEEN).astype(np.int32))
+    lost = had[~holds[:old]].assign(bucket=key[0], known=True)
+    if len(lost):
+        yield lost.assign(n=-lost["n"])[new.columns]
+        yield lost.assign(mask=(lost["mask"] | SEEN).astype(np.int32))[new.columns]
 
 
 def changes(spark: SparkSession, path: str, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -115,18 +127,15 @@ def changes(spark: SparkSession, path: str, batches: int = 4, id_col: str = "doc
     """
     whole = spark.read.parquet(path)
     files = whole.inputFiles()
-    stream = spark.newSession()  # the state's settings stay out of the caller's session
-    stream.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    stream.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-    stream.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    reader = stream.readStream.schema(whole.schema).option("maxFilesPerTrigger", max(1, ceil(len(files) / batches)))
+    reader = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", max(1, ceil(len(files) / batches)))
     if len(files) == 1 and files[0].rstrip("/").rpartition("/")[2] == path.rstrip("/").rpartition("/")[2]:
         folder, _, name = path.rstrip("/").rpartition("/")  # a stream reads folders
         reader, path = reader.option("pathGlobFilter", name), folder
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = reader.parquet(path).select(F.unhex(F.sha2(text, 256)).alias("digest"), F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("part"), failures(text).alias("mask"))
-    log = rows.mapInArrow(lean(_combined), ROW).groupBy("digest").applyInPandasWithState(_changes, ROW, "doc_id bigint, part array<string>, n array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    digest = F.unhex(F.sha2(text, 256))
+    buckets = max(1, -(-whole.count() // TEXTS))
+    rows = reader.parquet(path).select(F.pmod(F.xxhash64(digest), F.lit(buckets)).alias("bucket"), digest.alias("digest"), F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("part"), failures(text).alias("mask"))
+    log = rows.mapInArrow(lean(_combined), ROW).groupBy("bucket").applyInPandasWithState(_changes, ROW, STATE, "append", GroupStateTimeout.NoTimeout)
     at = f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}"
     run = log.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "part", "mask", "n").writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
     run.option("path", f"{at}/log").option("checkpointLocation", f"{at}/state").start().awaitTermination()
