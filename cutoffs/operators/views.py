@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cutoffs.functions import text
+
 
 def ranked(df: DataFrame, key: str, value: str, n: int, tie: str = "id") -> DataFrame:
     """The n largest values of each key with their rank (ties by id); a report, so that n is its feature."""
@@ -21,6 +23,19 @@ def district_summary(sites: DataFrame, landfall: float) -> DataFrame:
     return sites.groupBy("district").agg(F.count("*").alias("sites"), F.count(F.when(F.col("p") >= 0.3, 1)).alias("at_risk"), F.max("p").alias("max_p"), F.sum("people").alias("people"), F.count(F.when(F.col("hour") <= landfall, 1)).alias("by_landfall"))
 
 
+def at_risk(sites: DataFrame, most: int = 10, lang: str = "en-IN") -> DataFrame:
+    """(district, asked, rank, id, chance, window, simulated): sites by their chance of being cut off by landfall, the highest first.
+
+    sites: district, id, type, p, t10, t90, simulated. A list for each type, and one for "any"; `most` rows of each, which is
+    the feature of a spoken answer. Sites without a chance are in none; ties are in the order of ids. The window is the
+    likely time among members in which the site is cut off, null if one of its ends is.
+    """
+    long = sites.filter("p is not null").withColumn("asked", F.explode(F.array(F.lit("any"), F.col("type")))).filter("asked is not null")
+    top = long.withColumn("rank", F.row_number().over(Window.partitionBy("district", "asked").orderBy(F.desc("p"), "id"))).filter(F.col("rank") <= most)
+    window = F.when(F.col("t10").isNotNull() & F.col("t90").isNotNull(), text.range_text(text.local_time(F.col("t10"), lang), text.local_time(F.col("t90"), lang), lang))
+    return top.select("district", "asked", "rank", "id", text.probability(F.col("p")).alias("chance"), window.alias("window"), F.coalesce("simulated", F.lit(False)).alias("simulated"))
+
+
 #: Facility and crossing probability, people of a district and near a crossing, stand-down.
 FACILITY_P, DISTRICT_PEOPLE, CROSSING_P, CROSSING_PEOPLE, STAND_DOWN = 0.3, 100_000, 0.3, 10_000, 0.15
 

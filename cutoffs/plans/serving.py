@@ -34,6 +34,21 @@ def q4(spark, sf):
     return views.district_summary(sql(spark, sf, SITES), 30)
 
 
+_AT_RISK = """SELECT s_nationkey AS district, s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'phc' WHEN 1 THEN 'chc' ELSE 'shelter' END AS type, CASE WHEN s_suppkey % 11 > 0 THEN (s_suppkey % 37) / 37e0 END AS p,
+ CASE WHEN s_suppkey % 4 > 0 THEN TIMESTAMP '2025-10-26 05:00:00' + INTERVAL 1 HOUR * (s_suppkey % 60) END AS t10, TIMESTAMP '2025-10-29 00:00:00' AS t90, s_suppkey % 5 = 0 AS simulated FROM supplier"""
+
+
+@query(
+    "Q4_sites_at_risk",
+    f"""WITH s AS ({_AT_RISK}), l AS (SELECT *, unnest(['any', type]) AS asked FROM s WHERE p IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY district, asked ORDER BY p DESC, id) AS rank FROM l)
+SELECT district, asked, rank, id, CASE WHEN p < 0.005 THEN '<1%' WHEN p > 0.995 THEN '>99%' ELSE CAST(CAST(round_even(p * 100, 0) AS BIGINT) AS VARCHAR) || '%' END AS chance,
+ strftime(t10 + INTERVAL 330 MINUTE, '%-d %b, %H:%M IST') || ' to ' || strftime(t90 + INTERVAL 330 MINUTE, '%-d %b, %H:%M IST') AS "window", simulated FROM r WHERE rank <= 10""",
+)
+def q4_list(spark, sf):
+    """The ten sites of each district and type that are likeliest to be cut off."""
+    return views.at_risk(sql(spark, sf, _AT_RISK.replace("INTERVAL 1 HOUR * (s_suppkey % 60)", "make_interval(0, 0, 0, 0, CAST(s_suppkey % 60 AS INT))")))
+
+
 @query("Q4_facility_timeline", "SELECT s_suppkey AS id, unnest([1, 2, 3]) * CAST(s_suppkey % 9 + 1 AS INTEGER) AS hour, unnest([0.1e0, 0.2e0, 0.3e0]) AS p FROM supplier")
 def q4_timeline(spark, sf):
     s = sql(spark, sf, "SELECT s_suppkey AS id, CAST(s_suppkey % 9 + 1 AS INTEGER) AS k FROM supplier")

@@ -41,6 +41,16 @@ def st2(spark, sf):
     return rules.daily_cap(sql(spark, sf, "SELECT event_id, ts FROM events")).select("event_id", "allowed")
 
 
+@query(
+    "ST2_daily_cap_stream",
+    "WITH r AS (SELECT event_id, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS k FROM events) SELECT event_id, k <= 300 AS allowed FROM r WHERE k > 300 OR day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
+)
+def st2_stream(spark, sf):
+    """Each event's decision: rejections at once, allowances when the watermark has passed the day."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return _run(rules.daily_cap_stream(_stream(spark, sf).select("event_id", "ts")))
+
+
 @query("ST3_first_write_wins", "SELECT event_type, user_id, min(event_id) AS event_id FROM events GROUP BY 1, 2")
 def st3(spark, sf):
     return rules.first_write_wins(sql(spark, sf, "SELECT event_type, user_id, event_id FROM events"), ["event_type", "user_id"], ["event_id"]).select("event_type", "user_id", "event_id")

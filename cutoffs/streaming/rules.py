@@ -53,25 +53,56 @@ def rate_limit(events: DataFrame, key: str = "key", ts: str = "ts", limit: int =
 
 
 class RateLimiter(StatefulProcessor):
-    """Streaming form: accepted times of a key as state, dropped once they leave the span."""
+    """Streaming form in event time: hits wait until the watermark has passed them, so that their order of arrival is no matter.
+
+    A key's state is its waiting hits and the accepted times of the last span. A timer at the first waiting hit decides those
+    that the watermark has passed; a timer at the end of the span drops what is left, so that an idle key leaves no state.
+    """
+
+    def __init__(self, limit: int = LIMIT, span: float = SPAN_S):
+        self.limit, self.span = limit, span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", "times array<double>")
+        self.handle = handle
+        self.state = handle.getValueState("hits", "waiting array<bigint>, kept array<bigint>")  # microseconds
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        kept = list(self.kept.get()[0]) if self.kept.exists() else []
-        flags, kept = accepted([t.timestamp() for t in frame["ts"]], kept)
-        self.kept.update((kept,))
-        yield pd.DataFrame({"key": [key[0]] * len(frame), "ts": frame["ts"], "allowed": flags})
+        new = [t.value // 1000 for frame in rows for t in frame["ts"]]
+        waiting, kept = map(list, self.state.get()) if self.state.exists() else ([], [])
+        self._wait(sorted(waiting + new), kept)
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():
+            return
+        passed, span = timerValues.getCurrentWatermarkInMs() * 1000, int(self.span * 1e6)
+        waiting, kept = map(list, self.state.get())
+        ready = [t for t in waiting if t <= passed]
+        flags, kept = accepted(ready, kept, self.limit, span)
+        self._wait(waiting[len(ready) :], [t for t in kept if passed - t < span])
+        if ready:
+            yield pd.DataFrame({"key": [key[0]] * len(ready), "ts": pd.to_datetime(ready, unit="us", utc=True), "allowed": flags})
+
+    def _wait(self, waiting: list[int], kept: list[int]) -> None:
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t[0] if isinstance(t, (list, tuple)) else t)
+        if not waiting and not kept:
+            self.state.clear()
+            return
+        self.state.update((waiting, kept))
+        self.handle.registerTimer(-(-(waiting[0] if waiting else kept[-1] + int(self.span * 1e6)) // 1000))
 
     def close(self) -> None:
         pass
 
 
-def rate_limit_stream(events: DataFrame) -> DataFrame:
-    """events: key bigint, ts timestamp (a stream) -> key, ts, allowed."""
-    return events.groupBy("key").transformWithStateInPandas(statefulProcessor=RateLimiter(), outputStructType="key bigint, ts timestamp, allowed boolean", outputMode="Append", timeMode="None")
+def rate_limit_stream(events: DataFrame, limit: int = LIMIT, span: float = SPAN_S, late: str = "10 minutes") -> DataFrame:
+    """events: key bigint, ts timestamp (a stream) -> key, ts, allowed, as the batch form decides them.
+
+    A hit is decided when the watermark, the latest time seen less `late`, has passed it; later ones are dropped as late.
+    """
+    timed = events.select("key", "ts").withWatermark("ts", late)
+    return timed.groupBy("key").transformWithStateInPandas(statefulProcessor=RateLimiter(limit, span), outputStructType="key bigint, ts timestamp, allowed boolean", outputMode="Append", timeMode="EventTime")
 
 
 def daily_cap(events: DataFrame, cap: int = DAILY, ts: str = "ts", tie: str = "event_id", key: list[str] | None = None) -> DataFrame:
@@ -94,10 +125,65 @@ def daily_cap(events: DataFrame, cap: int = DAILY, ts: str = "ts", tie: str = "e
     return whole.unionByName(edge).select(*events.columns, "allowed")
 
 
-def daily_counts_stream(events: DataFrame, cap: int = DAILY, late: str = "1 hour") -> DataFrame:
-    """Streaming form: events per UTC day with whether the cap was passed."""
-    per = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
-    return per.select(F.col("window.start").alias("day"), "n", (F.col("n") > cap).alias("over"))
+class DailyCap(StatefulProcessor):
+    """Streaming form: a day's state is its first events so far, at most as many as the cap, by time and id.
+
+    An event that can't be among them any more is rejected at once, and one that an earlier event pushes out then; those that
+    stay are allowed when the watermark passes the end of the day, and the day's state goes.
+    """
+
+    def __init__(self, cap: int = DAILY):
+        self.cap = cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("first", "ts array<bigint>, id array<bigint>")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        if key[0] < 0:  # events that their task has rejected
+            for frame in rows:
+                yield pd.DataFrame({"event_id": frame["event_id"], "allowed": False})
+            return
+        new = [x for frame in rows for x in zip(frame["us"].tolist(), frame["event_id"].tolist(), strict=True)]
+        old = list(zip(*self.state.get(), strict=True)) if self.state.exists() else []
+        if not old:
+            self.handle.registerTimer((key[0] + 1) * 86_400_000)
+        first = sorted(old + new)
+        self.state.update(tuple(map(list, zip(*first[: self.cap], strict=True))))
+        out = [i for _, i in first[self.cap :]]
+        if out:
+            yield pd.DataFrame({"event_id": out, "allowed": False})
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            yield pd.DataFrame({"event_id": list(self.state.get()[1]), "allowed": True})
+            self.state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def daily_cap_stream(events: DataFrame, cap: int = DAILY, late: str = "1 hour") -> DataFrame:
+    """events: event_id bigint, ts timestamp (a stream) -> event_id, allowed, once for each event of a day that is over.
+
+    A task sends on at most `cap` events of a day in each Arrow batch to the day's state; the others are rejected where they
+    are and go out under a key of their task, so that a busy day isn't one task's.
+    """
+    rows = events.filter("ts is not null and event_id is not null").withWatermark("ts", late)
+    rows = rows.select(F.floor(F.unix_micros("ts") / 86_400_000_000).alias("day"), F.unix_micros("ts").alias("us"), F.col("event_id").cast("bigint").alias("event_id"))
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        aside = -1 - TaskContext.get().partitionId()
+        for batch in batches:
+            frame = batch.to_pandas()
+            place = frame.sort_values(["us", "event_id"]).groupby("day").cumcount()
+            frame.loc[place[place >= cap].index, "day"] = aside
+            yield pa.RecordBatch.from_pandas(frame, schema=batch.schema, preserve_index=False)
+
+    near = rows.mapInArrow(firsts, "day bigint, us bigint, event_id bigint")
+    return near.groupBy("day").transformWithStateInPandas(statefulProcessor=DailyCap(cap), outputStructType="event_id bigint, allowed boolean", outputMode="Append", timeMode="EventTime")
 
 
 def first_write_wins(events: DataFrame, parts: list[str], order: list[str]) -> DataFrame:
