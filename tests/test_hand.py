@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cutoffs.contraction import connected_components
 from cutoffs.functions import geo, text, wind
 from cutoffs.operators import impact, network, rainfall, raster, reach, series, spatial, stats, terrain
+from cutoffs.session import materialize, scope
 from cutoffs.sources import sinks, tracks
 from cutoffs.streaming import rules
 
@@ -92,6 +93,21 @@ def test_scenarios_in_tasks_and_in_rounds_agree(spark):
     assert reach.isolation_times(e.limit(0), s.limit(0), ["member"]).count() == 0
 
 
+def test_a_scope_takes_its_tables_away(spark, tmp_path):
+    with scope(spark):
+        outer = materialize(spark.range(3))
+        with pytest.raises(ValueError), scope(spark):
+            inner = materialize(spark.range(4))
+            raise ValueError
+        with pytest.raises(Exception, match="(?i)exist"):
+            inner.collect()
+        outer.write.parquet(f"{tmp_path}/kept")
+    kept = materialize(spark.range(5))  # outside of a scope tables stay
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.schema("id bigint").parquet(*outer.inputFiles()).collect()
+    assert spark.read.parquet(f"{tmp_path}/kept").count() == 3 and kept.count() == 5
+
+
 def test_components_of_chain_star_and_loop(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (None, 3), (500, 500)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
