@@ -121,7 +121,9 @@ def re_pair(ids: np.ndarray, least: int | None = None) -> tuple[np.ndarray, np.n
 
     Pairs are counted by slots of a hash first, and exactly where a slot is frequent; pairs in a run of one symbol count
     without overlap. Each round replaces the pairs that occur at least 1 / SHARE as often as the most frequent slot, or,
-    if there is none, those that occur `least` times (by default, those whose rule pays). It ends when no pair does.
+    if there is none, those that occur `least` times (by default, those whose rule pays). It ends when no pair does. Of pairs
+    that are in each other's way a rule may keep down to half of that; to wait with it for a round of its own takes four
+    times as long and makes shards 0.3 % smaller.
     """
     base = int(ids.max(initial=0)) + 1
     least = max(2, paying(base) if least is None else least)
@@ -154,7 +156,7 @@ def re_pair(ids: np.ndarray, least: int | None = None) -> tuple[np.ndarray, np.n
         at, rule = at[hit], rule[hit]
         take = _every_second(at, np.ones(len(at), dtype=bool))
         at, rule = at[take], rule[take]
-        used = np.bincount(rule, minlength=len(some)) >= least
+        used = np.bincount(rule, minlength=len(some)) >= least // 2
         keep = used[rule]
         at, rule = at[keep], rule[keep]
         alone = not len(at)  # where pairs are in each other's way the most frequent one is replaced alone
