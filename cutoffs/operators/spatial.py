@@ -6,6 +6,8 @@ else. Points are (x, y) in metres, or in degrees where that is said; polygons ar
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, extra: list[str
     around = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
     b = right.withColumn("_o", F.explode(F.array(*around)))
     b = b.withColumn("_cx", cell("rx", radius) + F.col("_o.i")).withColumn("_cy", cell("ry", radius) + F.col("_o.j")).drop("_o")
-    out = a.join(b, [*keys, "_cx", "_cy"]).withColumn("dist", F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry")))
+    out = a.join(b.hint("merge"), [*keys, "_cx", "_cy"]).withColumn("dist", F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry")))
     return out.filter(F.col("dist") <= radius).drop("_cx", "_cy")
 
 
@@ -125,28 +127,61 @@ def line_distance(points: DataFrame, lines: DataFrame, first_radius: float, most
 def segment_nearest(points: DataFrame, seg: DataFrame, first_radius: float, most: float | None = None) -> DataFrame:
     """(id, line_id, dist): the nearest of segments (line_id, ax, ay, bx, by), which a line may have in any number of rows.
 
-    Points without a place, and those with none within `most`, are left out; so are all if there is no segment.
+    Points without a place, and those with none within `most`, are left out; so are all if there is no segment. Points at
+    one place are searched for once. Cells start at the size at which one holds about four places, if that is finer than
+    first_radius, and a segment goes only to the cells that it passes, so that neither side grows with the other.
     """
     seg = materialize(seg.select("line_id", "ax", "ay", "bx", "by").filter(_placed("ax", "ay") & _placed("bx", "by")))
-    rest, radius = materialize(points.select("id", "x", "y").filter(_placed("x", "y"))), first_radius
-    done = rest.limit(0).select("id", F.lit(None).cast(seg.schema["line_id"].dataType).alias("line_id"), F.lit(None).cast("double").alias("dist"))
+    placed = points.select("id", "x", "y").filter(_placed("x", "y"))
+    rest = materialize(placed.select("x", "y").distinct())
+    done = rest.limit(0).select("x", "y", F.lit(None).cast(seg.schema["line_id"].dataType).alias("line_id"), F.lit(None).cast("double").alias("dist"))
     if seg.isEmpty():
-        return done
+        return placed.join(done, ["x", "y"]).select("id", "line_id", "dist")
+    radius = None
     while not rest.isEmpty():
+        n, *box = rest.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+        if radius is None:
+            fine = math.sqrt((box[1] - box[0]) * (box[3] - box[2]) / n) / 2
+            radius = min(first_radius, fine) if fine > 0 else first_radius
         radius = radius if most is None else min(radius, most)
-        x, y = F.least("ax", "bx"), F.least("ay", "by")
-        span = lambda lo, hi, r=radius: F.explode(F.sequence(F.floor((lo - r) / r), F.floor((hi + r) / r)))
-        cover = seg.withColumn("_cx", span(x, F.greatest("ax", "bx"))).withColumn("_cy", span(y, F.greatest("ay", "by")))
-        p = rest.withColumn("_cx", cell("x", radius)).withColumn("_cy", cell("y", radius))
+        size = radius * CELL_RADII
+        p = rest.withColumn("_cx", cell("x", size)).withColumn("_cy", cell("y", size))
         d = segment_distance(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
-        best = p.join(cover, ["_cx", "_cy"]).withColumn("dist", d).filter(F.col("dist") <= radius).groupBy("id").agg(F.min(F.struct("dist", "line_id")).alias("_m"))
-        both = materialize(rest.join(best, "id", "left"))
-        done = done.union(both.filter("_m is not null").select("id", F.col("_m.line_id").alias("line_id"), F.col("_m.dist").alias("dist")))
+        # a segment's rows in cells are many times its rows, which a plan's estimate doesn't know: never broadcast
+        met = p.join(passed(seg, size, radius, *box).hint("merge"), ["_cx", "_cy"])
+        best = met.withColumn("dist", d).filter(F.col("dist") <= radius).groupBy("x", "y").agg(F.min(F.struct("dist", "line_id")).alias("_m"))
+        both = materialize(rest.join(best, ["x", "y"], "left"))
+        done = done.union(both.filter("_m is not null").select("x", "y", F.col("_m.line_id").alias("line_id"), F.col("_m.dist").alias("dist")))
         if radius == most:
             break
-        rest = both.filter("_m is null").select("id", "x", "y")
+        rest = both.filter("_m is null").select("x", "y")
         radius *= 2
-    return done
+    return placed.join(done, ["x", "y"]).select("id", "line_id", "dist")
+
+
+#: Width of a cell in radii where segments are searched.
+CELL_RADII = 4.0
+
+
+def passed(seg: DataFrame, size: float, radius: float, x0: float, x1: float, y0: float, y1: float) -> DataFrame:
+    """A row of each segment (ax, ay, bx, by) for each cell in the box x0 to x1, y0 to y1 that has places within radius of it.
+
+    Column by column of cells: the stretch of the segment that can be near a place of the column has the rows of cells.
+    """
+    r = radius * (1 + 1e-6)
+    low, high = F.least("ax", "bx"), F.greatest("ax", "bx")
+    at = lambda v: F.floor(v / size)
+    left, right = F.greatest(at(low - r), at(F.lit(x0))), F.least(at(high + r), at(F.lit(x1)))
+    columns = seg.withColumn("_l", left).withColumn("_r", right).filter("_l <= _r").withColumn("_cx", F.explode(F.sequence("_l", "_r")))
+    slope = (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax"))
+    y_at = lambda x: F.when(F.col("bx") != F.col("ax"), F.col("ay") + (x - F.col("ax")) * slope)
+    a, b = y_at(F.greatest(low, F.col("_cx") * size - r)), y_at(F.least(high, (F.col("_cx") + 1) * size + r))
+    most, least = F.greatest("ay", "by"), F.least("ay", "by")
+    slack = r + F.greatest(F.abs(F.col("ay")), F.abs(F.col("by")), F.abs(most - least)) * 1e-9
+    under = F.coalesce(F.greatest(F.least(a, b), least), least) - slack
+    over = F.coalesce(F.least(F.greatest(a, b), most), most) + slack
+    rows = columns.withColumn("_l", F.greatest(at(under), at(F.lit(y0)))).withColumn("_r", F.least(at(over), at(F.lit(y1))))
+    return rows.filter("_l <= _r").withColumn("_cy", F.explode(F.sequence("_l", "_r"))).drop("_l", "_r")
 
 
 def nearest_polygon(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
