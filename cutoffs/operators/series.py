@@ -34,19 +34,31 @@ def first_members(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("_d", F.dense_rank().over(Window.partitionBy("source").orderBy("member_no"))).filter(F.col("_d") <= n).drop("_d")
 
 
-def positions_at(tracks: DataFrame, times: DataFrame, keys: list[str], at: str = "t_ref", metrics: list[str] | None = None) -> DataFrame:
+def positions_at(tracks: DataFrame, times: DataFrame, keys: list[str], at: str = "t_ref", metrics: list[str] | None = None, slice_s: float | None = None) -> DataFrame:
     """As-of interpolation: each of times (keys, at) with the metrics between the fixes around it; null outside a track.
 
-    Fixes and times are merged and ordered in one window per track, so that no pairs of rows are formed.
+    Fixes and times are merged and ordered in one window per track, so that no pairs of rows are formed. With slice_s the
+    windows are those of slices of so many seconds, for a track that is asked for many times: the last fix before a slice
+    and the first after it come from one row for each slice.
     """
     metrics = metrics or ["lat", "lon"]
     fix = tracks.groupBy(*keys, "valid_utc").agg(*[F.first(m, ignorenulls=True).alias(m) for m in metrics]).select(*keys, epoch("valid_utc").alias("_t"), F.struct(epoch("valid_utc").alias("t"), *metrics).alias("_f"), F.lit(0).alias("_q"), F.lit(None).cast("timestamp").alias(at))
     ask = times.select(*keys, epoch(at).alias("_t"), F.lit(None).cast(fix.schema["_f"].dataType).alias("_f"), F.lit(1).alias("_q"), at)
     both = fix.unionByName(ask)
-    by = Window.partitionBy(*keys)
+    cut = [] if slice_s is None else ["_k"]
+    if cut:
+        both = both.withColumn("_k", F.floor(F.col("_t") / slice_s))
+    by = Window.partitionBy(*keys, *cut)
+    # both orders run forwards, as a frame that ends at the last row is gone through anew for each row
     before = F.last("_f", ignorenulls=True).over(by.orderBy("_t", "_q").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_f", ignorenulls=True).over(by.orderBy("_t", F.desc("_q")).rowsBetween(0, Window.unboundedFollowing))
+    after = F.last("_f", ignorenulls=True).over(by.orderBy(F.desc("_t"), "_q").rowsBetween(Window.unboundedPreceding, 0))
     out = both.withColumn("_a", before).withColumn("_b", after).filter("_q = 1")
+    if cut:
+        ends = both.groupBy(*keys, "_k").agg(F.max("_f").alias("_l"), F.min("_f").alias("_n"))
+        over = Window.partitionBy(*keys)
+        carried = lambda c, order: F.last(c, ignorenulls=True).over(over.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+        ends = ends.select(*keys, "_k", carried("_l", F.asc("_k")).alias("_l"), carried("_n", F.desc("_k")).alias("_n"))
+        out = out.join(ends, [*keys, "_k"]).withColumns({"_a": F.coalesce("_a", "_l"), "_b": F.coalesce("_b", "_n")})
     t = F.when(F.col("_b.t") > F.col("_a.t"), (F.col("_t") - F.col("_a.t")) / (F.col("_b.t") - F.col("_a.t"))).otherwise(F.lit(0.0))
     value = lambda m: F.when(F.col("_a.t").isNotNull() & F.col("_b.t").isNotNull(), F.col(f"_a.{m}") + t * (F.col(f"_b.{m}") - F.col(f"_a.{m}")))
     return out.select(*keys, at, *[value(m).alias(m) for m in metrics])
@@ -62,7 +74,7 @@ def match_members(tracks: DataFrame, official: DataFrame, radius_km: float = 300
     start = tracks.groupBy(*keys).agg(F.min("valid_utc").alias("_s")).join(F.broadcast(span)).withColumn("t_ref", F.greatest("_s", "_o0"))
     mine = positions_at(tracks, start.select(*keys, "t_ref"), keys)
     ref = start.select("t_ref").distinct().withColumn("_one", F.lit(1))
-    theirs = positions_at(official.withColumn("_one", F.lit(1)), ref, ["_one"]).select("t_ref", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    theirs = positions_at(official.withColumn("_one", F.lit(1)), ref, ["_one"], slice_s=3600.0).select("t_ref", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
     near = mine.join(theirs, "t_ref").withColumn("_km", haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).filter(F.col("_km") <= radius_km)
     best = near.withColumn("_r", F.row_number().over(Window.partitionBy(*KEYS).orderBy("_km", "storm_id"))).filter("_r = 1").select(*keys)
     return tracks.join(best, keys, "left_semi")

@@ -12,6 +12,23 @@ from cutoffs.functions import text
 from cutoffs.operators import criticality, series, spatial
 
 
+def test_positions_run_forwards_and_in_slices(spark):
+    rng = np.random.default_rng(4)
+    t0 = datetime(2024, 1, 1)
+    fix = [(1, t0 + timedelta(hours=int(h)), float(h) ** 1.5, float(-h)) for h in (0, 1, 2, 7, 8, 30)]
+    ask = [(1, t0 + timedelta(minutes=int(m))) for m in {*rng.integers(-90, 2000, 300), 0, 60, 420, 1800}]
+    tracks = spark.createDataFrame(fix, "k int, valid_utc timestamp, lat double, lon double")
+    times = spark.createDataFrame(ask, "k int, t_ref timestamp")
+    df = series.positions_at(tracks, times, ["k"])
+    assert "unboundedfollowing" not in df._jdf.queryExecution().toString().lower()
+    want = sorted(map(repr, df.collect()))
+    h, lat = [(f[1] - t0).total_seconds() for f in fix], [f[2] for f in fix]
+    for r in df.collect():
+        s = (r["t_ref"] - t0).total_seconds()
+        assert (r["lat"] is None) if s < 0 or s > h[-1] else math.isclose(r["lat"], np.interp(s, h, lat), abs_tol=1e-9)
+    assert sorted(map(repr, series.positions_at(tracks, times, ["k"], slice_s=3600.0).collect())) == want
+
+
 def _apart(px, py, ax, ay, bx, by):
     d = (bx - ax) ** 2 + (by - ay) ** 2
     t = min(1.0, max(0.0, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / d)) if d else 0.0
