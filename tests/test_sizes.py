@@ -49,3 +49,21 @@ def test_long_segments_go_only_to_the_cells_that_they_pass(spark):
         assert math.isclose(got[i], min(_apart(x, y, *q[1:]) for q in seg), abs_tol=1e-6)
     long = s.filter("line_id = 63")
     assert spatial.passed(long, 4.0, 1.0, -100.0, 100.0, -100.0, 100.0).count() < 300  # its box has 2,500 cells there
+
+
+def test_each_crossing_is_made_once_in_any_number_of_parts(spark):
+    rng = np.random.default_rng(6)
+    line = lambda q: [(float(q[0]), float(q[1])), (float(q[2]), float(q[3]))]
+    r, w = ([(k, line(q)) for k, q in enumerate(rng.normal(0, 100, (n, 4)))] for n in (90, 40))
+    want = set()
+    for i, ((ax, ay), (bx, by)) in r:
+        for j, ((cx, cy), (dx, dy)) in w:
+            det = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
+            t, u = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / det, ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / det
+            if 0 <= t <= 1 and 0 <= u <= 1:
+                want.add((i, j))
+    roads = spark.createDataFrame(r, "road_id int, line array<struct<x: double, y: double>>")
+    waters = spark.createDataFrame(w, "water_id int, line array<struct<x: double, y: double>>")
+    for parts in (7, 10**7):
+        got = [tuple(x) for x in spatial.crossings(roads, waters, 10.0, task_pairs=parts).select("road_id", "water_id").collect()]
+        assert len(got) == len(want) and set(got) == want
