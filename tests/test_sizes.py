@@ -12,6 +12,12 @@ from cutoffs.functions import text
 from cutoffs.operators import criticality, series, spatial
 
 
+def test_people_that_round_up_to_a_thousand_are_grouped(spark):
+    df = spark.createDataFrame([(n,) for n in (4, 994, 995, 996, 999, 1000, 99_960)], "n long")
+    got = {r["n"]: r["p"] for r in df.select("n", text.people(F.col("n")).alias("p")).collect()}
+    assert got == {4: "4", 994: "990", 995: "1,000", 996: "1,000", 999: "1,000", 1000: "1,000", 99_960: "1,00,000"}
+
+
 def test_positions_run_forwards_and_in_slices(spark):
     rng = np.random.default_rng(4)
     t0 = datetime(2024, 1, 1)
