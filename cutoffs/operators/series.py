@@ -242,11 +242,14 @@ def normalise_tracks(raw: DataFrame) -> DataFrame:
 
 
 def official_track(reading: DataFrame) -> DataFrame:
-    """Forecast rows of a bulletin as a track: wind is the middle of its bounds in m/s, start is the first valid time."""
+    """Forecast rows of a bulletin as a track: wind is the middle of its bounds in m/s, start is the first valid time.
+
+    lead_h is a double of hours; lead_us is the same in whole microseconds, from which minutes can be told exactly.
+    """
     from cutoffs.functions.wind import wind_to_ms
 
     f = reading.select("bulletin_id", F.posexplode("forecast").alias("seq", "f"))
     mid = (F.col("f.wind_min") + F.coalesce("f.wind_max", "f.wind_min")) / 2
     out = f.select("bulletin_id", "seq", F.col("f.valid_utc").alias("valid_utc"), F.col("f.lat").alias("lat"), F.col("f.lon").alias("lon"), wind_to_ms(mid, F.col("f.unit")).alias("vmax_ms"))
     init = F.min("valid_utc").over(Window.partitionBy("bulletin_id"))
-    return out.withColumn("init_utc", init).withColumn("lead_h", (epoch("valid_utc") - epoch("init_utc")) / 3600).withColumn("source", F.lit("official")).withColumn("member_no", F.lit(0).cast("long"))
+    return out.withColumn("init_utc", init).withColumn("lead_us", F.unix_micros(F.col("valid_utc").cast("timestamp")) - F.unix_micros(F.col("init_utc").cast("timestamp"))).withColumn("lead_h", F.col("lead_us") / 3.6e9).withColumn("source", F.lit("official")).withColumn("member_no", F.lit(0).cast("long"))

@@ -263,7 +263,7 @@ def src3(spark, sf):
     e = sql(spark, sf, "SELECT user_id AS bulletin_id, ts, value FROM events")
     item = F.struct(F.col("ts").alias("valid_utc"), F.lit(16.0).alias("lat"), F.lit(82.0).alias("lon"), F.col("value").alias("wind_min"), (F.col("value") + 10).alias("wind_max"), F.lit("kt").alias("unit"))
     reading = e.groupBy("bulletin_id").agg(F.sort_array(F.collect_list(item)).alias("forecast"))
-    return series.official_track(reading).select("bulletin_id", F.round("vmax_ms", 5).alias("vmax_ms"), F.floor(F.col("lead_h") * 60 + 1e-6).cast("long").alias("lead_min"))
+    return series.official_track(reading).select("bulletin_id", F.round("vmax_ms", 5).alias("vmax_ms"), F.expr("lead_us div 60000000").alias("lead_min"))
 
 
 @query("SRC5_prefix_scan", "SELECT DISTINCT p_brand AS track_id FROM part WHERE p_brand LIKE 'Brand#1%'")

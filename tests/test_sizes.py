@@ -18,6 +18,15 @@ def test_people_that_round_up_to_a_thousand_are_grouped(spark):
     assert got == {4: "4", 994: "990", 995: "1,000", 996: "1,000", 999: "1,000", 1000: "1,000", 99_960: "1,00,000"}
 
 
+def test_minutes_of_a_lead_are_exact(spark):
+    t0 = datetime(2024, 1, 1)
+    us = [0, 59_999_970, 60_000_000, 43_199 * 60_000_000 - 1]
+    rows = [(1, [(t0 + timedelta(microseconds=u), 16.0, 82.0, 10.0, 20.0, "kt") for u in us])]
+    df = spark.createDataFrame(rows, "bulletin_id int, forecast array<struct<valid_utc: timestamp, lat: double, lon: double, wind_min: double, wind_max: double, unit: string>>")
+    got = series.official_track(df).selectExpr("lead_us", "lead_us div 60000000 AS m").orderBy("lead_us").collect()
+    assert [tuple(r) for r in got] == list(zip(us, [0, 0, 1, 43_198]))
+
+
 def test_positions_run_forwards_and_in_slices(spark):
     rng = np.random.default_rng(4)
     t0 = datetime(2024, 1, 1)
