@@ -246,21 +246,28 @@ def _repeated(lines: DataFrame, name: str) -> bool:
 def suppress(points: DataFrame, radius: float, score: str, keys: list[str], most: int | None = None) -> DataFrame:
     """Greedy suppression: by falling score (ties: smallest id), keep a point unless a kept one is within radius.
 
-    In rounds every point that beats all open points around it is kept and its surroundings are dropped; the result is
-    that of going through the points one by one. `most` keeps the best of each key.
+    In rounds the best open point of each cell that beats the best of the eight cells around it is kept, and open points
+    within radius of it are dropped; the result is that of going through the points one by one. Open points meet kept ones
+    only, of which a cell's surroundings have one in a round, so that a round makes a few rows for each open point.
+    `most` keeps the best of each key.
     """
-    pts = materialize(points.select(*keys, "id", "x", "y", F.struct(F.col(score).alias("s"), (-F.col("id")).alias("n")).alias("_p")))
-    other = pts.select(*keys, F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("_p").alias("_rp"))
-    pairs = materialize(near_pairs(pts, other, radius, keys).filter("id <> rid").select(*keys, "id", "rid", "_p", "_rp"))
-    open_, kept = pts.select(*keys, "id"), None
+    place = [*keys, "_cx", "_cy"]
+    at = {"_cx": cell("x", radius), "_cy": cell("y", radius)}
+    open_ = materialize(points.filter(_placed("x", "y")).select(*keys, "id", "x", "y", F.struct(F.col(score).alias("s"), (-F.col("id")).alias("n")).alias("_p")).withColumns(at))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    shifted = [*keys, (F.col("_cx") + F.col("_o.i")).alias("_cx"), (F.col("_cy") + F.col("_o.j")).alias("_cy")]
+    kept = points.filter(~_placed("x", "y")).select(*keys, "id")  # what has no place is near nothing
     while not open_.isEmpty():
-        live = pairs.join(open_, [*keys, "id"]).join(open_.select(*keys, F.col("id").alias("rid")), [*keys, "rid"])
-        beaten = live.filter("_rp > _p").select(*keys, "id").distinct()
-        won = materialize(open_.join(beaten, [*keys, "id"], "left_anti"))
-        kept = won if kept is None else kept.union(won)
-        lost = live.join(won, [*keys, "id"]).select(*keys, F.col("rid").alias("id")).distinct()
-        open_ = materialize(open_.join(won, [*keys, "id"], "left_anti").join(lost, [*keys, "id"], "left_anti"))
-    out = points if kept is None else points.join(kept, [*keys, "id"], "left_semi")
+        best = materialize(open_.groupBy(*place).agg(F.max(F.struct("_p", "id", "x", "y")).alias("_b")))
+        over = best.withColumn("_o", F.explode(around)).select(*shifted, "_b._p").groupBy(*place).agg(F.max("_p").alias("_most"))
+        won = materialize(best.join(over, place).filter(F.col("_b._p") == F.col("_most")).select(*place, "_b.id", "_b.x", "_b.y"))
+        kept = kept.union(won.select(*keys, "id"))
+        near = won.withColumn("_o", F.explode(around)).select(*shifted, F.col("x").alias("rx"), F.col("y").alias("ry"))
+        # at most four points of a round are near a cell, as each beats the cells around its own
+        near = near.groupBy(*place).agg(F.collect_list(F.struct("rx", "ry")).alias("_w"))
+        inside_one = F.exists("_w", lambda w: F.hypot(F.col("x") - w["rx"], F.col("y") - w["ry"]) <= radius)
+        open_ = materialize(open_.join(near, place, "left").filter(~F.coalesce(inside_one, F.lit(False))).drop("_w"))
+    out = points.join(kept, [*keys, "id"], "left_semi")
     if most is None:
         return out
     by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))

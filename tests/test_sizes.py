@@ -91,3 +91,19 @@ def test_each_crossing_is_made_once_in_any_number_of_parts(spark):
     for parts in (7, 10**7):
         got = [tuple(x) for x in spatial.crossings(roads, waters, 10.0, task_pairs=parts).select("road_id", "water_id").collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_suppression_makes_no_pairs_of_all_points(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, float(x), float(y), float(s)) for i, (x, y, s) in enumerate(zip(rng.normal(0, 3, 4000), rng.normal(0, 3, 4000), rng.integers(0, 50, 4000)))]
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[3], r[0])):
+        if all(math.hypot(r[1] - q[1], r[2] - q[2]) > 4 for q in kept):
+            kept.append(r)
+    df = spark.createDataFrame(rows, "id bigint, x double, y double, score double")
+    met = spatial.near_pairs
+    spatial.near_pairs = None  # 16 million pairs before
+    try:
+        assert {r["id"] for r in spatial.suppress(df, 4.0, "score", []).collect()} == {r[0] for r in kept}
+    finally:
+        spatial.near_pairs = met
