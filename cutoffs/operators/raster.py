@@ -78,8 +78,10 @@ def observed_mosaic(scenes: DataFrame, event: Column) -> DataFrame:
     """Per pixel the first scene after `event` of any orbit that has a scene before: obs_h (0 to 254) and vv."""
     before = scenes.filter(F.col("acquired") < event).select("orbit").distinct()
     hours = F.floor((F.unix_micros(F.col("acquired").cast("timestamp")) - F.unix_micros(event.cast("timestamp"))) / 3.6e9)
-    after = scenes.filter(F.col("acquired") >= event).join(before, "orbit", "left_semi").withColumn("obs_h", F.least(F.lit(254), F.greatest(F.lit(0), hours)).cast("int"))
-    return after.groupBy("row", "col").agg(F.min(F.struct("acquired", "orbit", "obs_h", "vv")).alias("m")).select("row", "col", "m.orbit", "m.obs_h", "m.vv")
+    after = scenes.filter(F.col("acquired") >= event).withColumn("obs_h", F.least(F.lit(254), F.greatest(F.lit(0), hours)).cast("int"))
+    # orbits are few: scenes joined on them would be a task for each, so that a pixel's first scene of each is taken before
+    first = after.groupBy("row", "col", "orbit").agg(F.min(F.struct("acquired", "orbit", "obs_h", "vv")).alias("m")).join(before, "orbit", "left_semi")
+    return first.groupBy("row", "col").agg(F.min("m").alias("m")).select("row", "col", "m.orbit", "m.obs_h", "m.vv")
 
 
 def observed_edges(samples: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cutoffs.functions import text
-from cutoffs.operators import criticality, series, spatial
+from cutoffs.operators import criticality, raster, series, spatial
 
 
 def test_people_that_round_up_to_a_thousand_are_grouped(spark):
@@ -107,3 +107,13 @@ def test_suppression_makes_no_pairs_of_all_points(spark):
         assert {r["id"] for r in spatial.suppress(df, 4.0, "score", []).collect()} == {r[0] for r in kept}
     finally:
         spatial.near_pairs = met
+
+
+def test_first_passes_are_found_before_orbits_are_joined(spark):
+    t = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    rows = [(1, t(-5), 0, 0, 1.0), (2, t(-9), 9, 9, 1.0), (3, t(1), 0, 0, 5.0), (1, t(4), 0, 0, 6.0), (2, t(4), 0, 0, 3.0), (1, t(3), 0, 1, 8.0), (1, t(3), 0, 1, 7.0)]
+    df = spark.createDataFrame(rows, "orbit int, acquired timestamp, row int, col int, vv double")
+    out = raster.observed_mosaic(df, F.lit("2024-01-01").cast("timestamp"))
+    assert sorted(map(tuple, out.collect())) == [(0, 0, 1, 4, 6.0), (0, 1, 1, 3, 7.0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [row") < plan.index("Join LeftSemi") < plan.index("Aggregate [row", plan.index("Join LeftSemi"))
