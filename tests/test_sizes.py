@@ -12,6 +12,19 @@ from cutoffs.functions import text
 from cutoffs.operators import criticality, raster, series, spatial
 
 
+def test_near_dedup_of_the_pipeline_takes_its_bands_from_superminhash(spark, monkeypatch):
+    import corpus_pipeline
+    from cutoffs.llm import neardup, superminhash
+
+    seen = []
+    write = neardup.nodes
+    monkeypatch.setattr(neardup, "nodes", lambda d, words, keys_of=neardup.bands: seen.append(keys_of) or write(d, words, keys_of))
+    body = " ".join(f"w{k}" for k in range(200))
+    docs = spark.createDataFrame([(1, body), (2, body + " end"), (3, "another text of a few words")], "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
+    assert seen == [superminhash.bands]
+
+
 def test_people_that_round_up_to_a_thousand_are_grouped(spark):
     df = spark.createDataFrame([(n,) for n in (4, 994, 995, 996, 999, 1000, 99_960)], "n long")
     got = {r["n"]: r["p"] for r in df.select("n", text.people(F.col("n")).alias("p")).collect()}
