@@ -189,9 +189,9 @@ def closest_approach(tracks: DataFrame, places: DataFrame, keys: list[str], plac
 def approach_steps(tracks: DataFrame, places: DataFrame, keys: list[str], place: str = "place", boxes: tuple[float, ...] = BOX_DEGREES) -> list[DataFrame]:
     """The rows that each level of `closest_approach` compares: boxes with places, and fixes with places at last."""
     fixes = tracks.select(*keys, "lat", "lon").dropna(subset=["lat", "lon"])
-    at = [F.lit("")]  # a box's name is where it is on all levels down to its own
+    at = [F.lit(0).cast("long")]  # a hash of where a box is on all levels down to its own; boxes that share one are one box
     for d in boxes:
-        at.append(F.concat_ws("/", at[-1], F.floor(F.col("lat") / d), F.floor(F.col("lon") / d)))
+        at.append(F.xxhash64(at[-1], F.floor(F.col("lat") / d), F.floor(F.col("lon") / d)))
     fixes = materialize(fixes.withColumns({f"_b{i}": a for i, a in enumerate(at)}))
     finest = [f"_b{i}" for i in range(len(at))]
     # each level's boxes from those of the level below

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cutoffs.operators import reach
+from cutoffs.operators import reach, series
 
 INF = float("inf")
 
@@ -57,3 +57,11 @@ def test_classes_of_targets_are_runs_of_their_own(spark):
     for bound in (10_000, 0):
         want = _hours(reach.isolation_times(copied, s, keys, bound), keys, copied)
         assert _hours(reach.isolation_times(e, s, keys, bound), keys, copied) == want
+
+
+def test_boxes_of_tracks_are_named_by_numbers(spark):
+    """Names of boxes go through each shuffle; long ones were most of what it carried."""
+    fixes = spark.createDataFrame([(1, float(k % 7) - 3, float(k % 11) * 40) for k in range(50)], "track int, lat double, lon double")
+    places = spark.createDataFrame([(5, 1.0, 90.0), (6, -20.0, 359.0)], "place int, lat double, lon double")
+    for step in series.approach_steps(fixes, places, ["track"])[:-1]:
+        assert all(t == "bigint" for c, t in step.dtypes if c.startswith("_b"))
