@@ -166,33 +166,20 @@ def merge_lines(ways: DataFrame) -> DataFrame:
     ends = w.groupBy("last").agg(F.min("way_id").alias("prev")).withColumnRenamed("last", "first")
     starts = w.groupBy("first").agg(F.min("way_id").alias("way_id"))
     link = starts.join(ends, "first").filter("way_id <> prev").select("way_id", "prev")
-    # steps back to the head of the chain, by doubling; the smallest way passed tells rings, which have no head
-    cur = w.join(link, "way_id", "left").select("way_id", F.col("prev").alias("to"), F.when(F.col("prev").isNotNull(), 1).otherwise(0).cast("long").alias("seq"), F.least("way_id", "prev").alias("low"))
-    cur = materialize(cur)
-    rounds = max(1, int(w.count()).bit_length())
-
-    def follow(cur: DataFrame) -> DataFrame:
-        """Doubles the pointers until all have reached a head, or for as long as a chain of all ways would need."""
-        for _ in range(rounds):
-            if cur.filter("to is not null").isEmpty():
-                break
-            up = cur.select(F.col("way_id").alias("to"), F.col("to").alias("_next"), F.col("seq").alias("_s"), F.col("low").alias("_low"))
-            cur = materialize(cur.join(up, "to", "left").select("way_id", F.col("_next").alias("to"), (F.col("seq") + F.coalesce("_s", F.lit(0))).alias("seq"), F.least("low", "_low").alias("low")))
-        return cur
-
-    done = follow(cur)
-    ring = done.filter("to is not null").select("way_id", "low")
-    if not ring.isEmpty():
-        cut = materialize(cur.select("way_id", "to", F.least("way_id", "to").alias("_l")).join(ring, "way_id"))
-        first = F.col("way_id") == F.col("low")
-        again = cut.select("way_id", F.when(~first, F.col("to")).alias("to"), F.when(first, 0).otherwise(1).cast("long").alias("seq"), F.least("way_id", F.when(~first, F.col("to"))).alias("low"))
-        done = done.filter("to is null").union(follow(materialize(again)))
-    # every way of a chain knows its own steps only; the head is the chain's way without any
-    name = materialize(done.select("way_id", "seq", "low"))
-    heads = name.join(link, "way_id", "left")
-    pairs = heads.filter("seq > 0").select(F.col("way_id").alias("u"), F.col("prev").alias("v"))
-    from cutoffs.contraction import connected_components
-
-    comp = connected_components(pairs).toDF("way_id", "component")
-    out = w.join(name, "way_id").join(comp, "way_id", "left")
-    return out.select(F.coalesce("component", "way_id").alias("component"), "way_id", "seq", "length")
+    # steps back to the head by doubling, of the ways that don't know theirs yet. low is the smallest way passed and at the
+    # steps to it: if the next stretch of the walk passes the same way again, this is a ring, and that way its smallest
+    cur = materialize(w.join(link, "way_id", "left").select("way_id", F.col("prev").alias("to")))
+    known = cur.filter("to is null").select("way_id", F.col("way_id").alias("head"), F.lit(0).cast("long").alias("seq"))
+    open_ = cur.filter("to is not null").select("way_id", "to", F.lit(1).cast("long").alias("seq"), F.struct(F.col("to").alias("low"), F.lit(1).cast("long").alias("at")).alias("l"))
+    while not open_.isEmpty():
+        at = open_.select("way_id", F.lit(None).cast(known.schema["head"].dataType).alias("head"), "seq", F.col("to").alias("next"), "l").union(known.select("way_id", "head", "seq", F.lit(None).cast(known.schema["head"].dataType), F.lit(None).cast(open_.schema["l"].dataType)))
+        at = at.select(F.col("way_id").alias("to"), F.col("head").alias("_head"), F.col("seq").alias("_seq"), F.col("next").alias("_next"), F.col("l").alias("_l"))
+        head = F.coalesce("_head", F.when(F.col("l.low") == F.col("_l.low"), F.col("l.low")))
+        met = open_.join(at, "to").withColumn("head", head)
+        steps = F.when(F.col("way_id") == F.col("head"), 0).when(F.col("l.low") == F.col("head"), F.col("l.at")).otherwise(F.col("seq") + F.col("_seq"))
+        further = F.struct(F.col("_l.low").alias("low"), (F.col("seq") + F.col("_l.at")).alias("at"))
+        met = materialize(met.select("way_id", "head", F.when(F.col("head").isNull(), F.col("_next")).alias("to"), F.when(F.col("head").isNull(), F.col("seq") + F.col("_seq")).otherwise(steps).alias("seq"), F.when(F.col("head").isNull(), F.least("l", further)).alias("l")))
+        known = known.union(met.filter("head is not null").select("way_id", "head", "seq"))
+        open_ = met.filter("head is null").select("way_id", "to", "seq", "l")
+    name = known.groupBy("head").agg(F.min("way_id").alias("component"))
+    return w.join(known.join(name, "head"), "way_id").select("component", "way_id", "seq", "length")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cutoffs.operators import reach, series
+from cutoffs.operators import network, reach, series
 
 INF = float("inf")
 
@@ -65,3 +65,37 @@ def test_boxes_of_tracks_are_named_by_numbers(spark):
     places = spark.createDataFrame([(5, 1.0, 90.0), (6, -20.0, 359.0)], "place int, lat double, lon double")
     for step in series.approach_steps(fixes, places, ["track"])[:-1]:
         assert all(t == "bigint" for c, t in step.dtypes if c.startswith("_b"))
+
+
+def _chains(ways):
+    """{way: (component, seq)} by walking."""
+    prev = {w: min(x for x, _, b in ways if b == a) for w, a, _ in ways if any(b == a for _, _, b in ways) and w == min(x for x, c, _ in ways if c == a)}
+    prev = {w: p for w, p in prev.items() if w != p}
+    out, heads = {}, {}
+    for w, _, _ in ways:
+        walk = [w]
+        while walk[-1] in prev and prev[walk[-1]] not in walk:
+            walk.append(prev[walk[-1]])
+        ring = prev.get(walk[-1]) == w
+        out[w] = (min(walk), walk.index(min(walk))) if ring else (walk[-1], len(walk) - 1)
+        heads.setdefault(out[w][0], []).append(w)
+    return {w: (min(heads[h]), k) for w, (h, k) in out.items()}
+
+
+def test_rings_are_told_after_as_many_rounds_as_they_are_long(spark, monkeypatch):
+    """Rings and chains of all lengths, in any order of ids; a table of many short ones takes few rounds."""
+    rng = np.random.default_rng(7)
+    ids, ways, node = iter(rng.permutation(5000).tolist()), [], 0
+    for length in [*range(1, 20), 31, 32, 33, 64, 65, 100]:
+        for ring in (False, True):
+            ways += [(next(ids), node + k, node + (0 if ring and k + 1 == length else k + 1)) for k in range(length)]
+            node += length + 1
+    ways += [(next(ids), int(a), int(b)) for a, b in rng.integers(node, node + 60, (80, 2))]
+    df = spark.createDataFrame([(*w, 1.0) for w in ways], "way_id bigint, first bigint, last bigint, length double")
+    assert {r["way_id"]: (r["component"], r["seq"]) for r in network.merge_lines(df).collect()} == _chains(ways)
+    short = spark.range(3000).selectExpr("id AS way_id", "id AS first", "CASE WHEN id % 3 = 2 THEN id - 2 ELSE id + 1 END AS last", "1d AS length")
+    seen = []
+    isempty = type(short).isEmpty
+    monkeypatch.setattr(type(short), "isEmpty", lambda self: seen.append(1) or isempty(self))
+    assert network.merge_lines(short).groupBy("seq").count().orderBy("seq").collect() == [(0, 1000), (1, 1000), (2, 1000)]
+    assert len(seen) <= 5
