@@ -193,3 +193,32 @@ def test_forests_before_the_shuffle_change_nothing(spark, monkeypatch):
     one = sorted(map(tuple, reach.isolation_times(e, s, ["member"]).collect()))
     monkeypatch.setattr(reach, "HELD", 50)
     assert sorted(map(tuple, reach.isolation_times(e, s, ["member"]).collect())) == one
+
+
+def test_arcs_longer_than_the_bound_of_their_end_go(spark, monkeypatch):
+    """A large scenario whose sites are near loses most arcs, fits a task then, and is the same."""
+    rng = random.Random(9)
+    g = [(u, 1000 + v, float(rng.randrange(10, 910))) for u in range(150) for v in rng.sample(range(40), 20)]
+    sites = [("any", 1000 + v, v) for v in range(0, 40, 3)] + [("higher", 1000 + v, v) for v in range(0, 40, 7)]
+    e = spark.createDataFrame(g, "u bigint, v bigint, seconds double")
+    t = spark.createDataFrame(sites, "class string, node bigint, site bigint")
+    monkeypatch.setattr(catchments, "_waves", lambda *a: pytest.fail("rounds as joins"))
+    got = {(r["class"], r["node"]): (r["seconds"], r["site"]) for r in catchments.nearest_sites(e, t, ["class"], 2000).collect()}
+    assert got == {(c, n): x for c in ("any", "higher") for n, x in dijkstra(g, [(n, s) for k, n, s in sites if k == c]).items()}
+
+
+def test_rounds_of_service_areas_read_the_edges_once(spark):
+    g = [(u, v, s + 1) for u, v, s in graph(8, 60, 150, loops=False)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    e = spark.createDataFrame(g, "u bigint, v bigint, seconds double").mapInPandas(counted, "u bigint, v bigint, seconds double")
+    subs, demand = [(3, "a", 4.0), (40, "b", 8.0), (50, "c", 90.0)], {n: 1.0 for n in range(60)}
+    areas = catchments.service_areas(e, spark.createDataFrame(subs, "node bigint, site string, capacity double"), spark.createDataFrame(list(demand.items()), "node bigint, amount double"))
+    got = {r["node"]: (r["site"], r["seconds"], r["round"]) for r in areas.collect()}
+    assert got == plain_areas(g, subs, demand) and max(r for _, _, r in got.values() if r) > 1
+    assert seen.value == len(g)
