@@ -87,25 +87,24 @@ def hourly(tracks: DataFrame, keys: list[str] | None = None, metrics: list[str]
     """
     keys, metrics = keys or KEYS, metrics or METRICS
     fix = tracks.groupBy(*keys, "valid_utc").agg(*[F.first(m, ignorenulls=True).alias(m) for m in metrics])
-    span = fix.groupBy(*keys).agg(F.ceil(F.min(epoch("valid_utc")) / 3600).alias("_a"), F.floor(F.max(epoch("valid_utc")) / 3600).alias("_b")).filter("_a <= _b")
-    grid = span.select(*keys, F.explode(F.sequence("_a", "_b")).alias("_h")).select(*keys, (F.col("_h") * 3600).cast("double").alias("_t"), F.lit(1).alias("_q"))
-    fix = fix.select(*keys, epoch("valid_utc").alias("_t"), F.lit(0).alias("_q"), *metrics)
-    both = fix.unionByName(grid, allowMissingColumns=True)
-    up = Window.partitionBy(*keys).orderBy("_t", "_q").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*keys).orderBy(F.desc("_t"), "_q").rowsBetween(Window.unboundedPreceding, 0)
+    fix = fix.select(*keys, epoch("valid_utc").alias("_s"), *metrics)
     whole = Window.partitionBy(*keys)
-    point = lambda m: F.when(F.col(m).isNotNull(), F.struct(F.col("_t").alias("t"), F.col(m).alias("v")))
-    # all metrics in one window of each order
-    both = both.withColumns({f"_b_{m}": F.last(point(m), ignorenulls=True).over(down) for m in metrics})
-    both = both.withColumns({f"_a_{m}": F.last(point(m), ignorenulls=True).over(up) for m in metrics})
-    both = both.withColumns({f"_n_{m}": F.count(m).over(whole) for m in metrics})
+    up = whole.orderBy("_s")
+    down = whole.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
+    point = lambda m: F.when(F.col(m).isNotNull() & F.col("_s").isNotNull(), F.struct(F.col("_s").alias("t"), F.col(m).alias("v")))
+    # only fixes are ordered: the hours from a fix to the next all lie between the same points, and are made last
+    fix = fix.withColumns({f"_b_{m}": F.last(point(m), ignorenulls=True).over(down) for m in metrics})
+    fix = fix.withColumns({f"_a_{m}": F.last(point(m), ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0)) for m in metrics} | {"_e": F.lead("_s").over(up)})
+    fix = fix.withColumns({f"_n_{m}": F.count(m).over(whole) for m in metrics})
+    fix = fix.withColumn("_from", F.ceil(F.col("_s") / 3600)).withColumn("_to", F.coalesce(F.ceil(F.col("_e") / 3600) - 1, F.floor(F.col("_s") / 3600))).filter("_from <= _to")
+    grid = fix.withColumn("_h", F.explode(F.sequence("_from", "_to"))).withColumn("_t", (F.col("_h") * 3600).cast("double"))
 
     def value(m: str) -> Column:
         a, b = F.col(f"_a_{m}"), F.col(f"_b_{m}")
         line = a["v"] + (F.col("_t") - a["t"]) / (b["t"] - a["t"]) * (b["v"] - a["v"])
-        return F.when(F.col(f"_n_{m}") >= 2, F.when(a.isNull(), b["v"]).when(b.isNull(), a["v"]).when(b["t"] > a["t"], line).otherwise(a["v"]))
+        return F.when(F.col(f"_n_{m}") >= 2, F.when(a.isNull(), b["v"]).when(b.isNull() | (a["t"] == F.col("_t")), a["v"]).otherwise(line))
 
-    return both.filter("_q = 1").select(*keys, F.timestamp_seconds("_t").alias("valid_utc"), *[value(m).alias(m) for m in metrics])
+    return grid.select(*keys, F.timestamp_seconds("_t").alias("valid_utc"), *[value(m).alias(m) for m in metrics])
 
 
 def source_reference(members: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +101,25 @@ def test_rings_are_told_after_as_many_rounds_as_they_are_long(spark, monkeypatch
     monkeypatch.setattr(type(short), "isEmpty", lambda self: seen.append(1) or isempty(self))
     assert network.merge_lines(short).groupBy("seq").count().orderBy("seq").collect() == [(0, 1000), (1, 1000), (2, 1000)]
     assert len(seen) <= 5
+
+
+def test_hours_between_fixes_are_made_after_the_last_shuffle(spark):
+    """Hours are many times the fixes; each metric is linear between its own fixes, flat beyond, whole hours included."""
+    rng, t0 = np.random.default_rng(8), datetime(2024, 1, 1)
+    rows, want = [], {}
+    for k in range(12):
+        at = sorted({*rng.integers(0, 90 * 60, 7).tolist(), 600, 1200}) if k else [600]
+        fix = [(m, None if rng.random() < 0.4 else float(rng.integers(50)), None if rng.random() < 0.9 else 1.5) for m in at]
+        rows += [(k, t0 + timedelta(minutes=m), x, y) for m, x, y in fix]
+        for h in range(-(-at[0] // 60), at[-1] // 60 + 1):
+            value = []
+            for c in (1, 2):
+                own = [(f[0], f[c]) for f in fix if f[c] is not None]
+                value.append(float(np.interp(h * 60, *zip(*own))) if len(own) > 1 else None)
+            want[k, t0 + timedelta(hours=h)] = value
+    df = series.hourly(spark.createDataFrame(rows, "k int, valid_utc timestamp, x double, y double"), ["k"], ["x", "y"])
+    got = {(r["k"], r["valid_utc"]): [r["x"], r["y"]] for r in df.collect()}
+    assert got.keys() == want.keys()
+    assert all(g == pytest.approx(w) if w is not None else g is None for n in want for g, w in zip(got[n], want[n], strict=True))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Generate") < plan.index("Window")
