@@ -15,6 +15,8 @@ KEYS = ("highway", "waterway", "amenity", "healthcare", "emergency", "social_fac
 #: Kinds of places, and administrative levels of boundaries.
 PLACES = ("city", "town", "village", "hamlet", "suburb")
 LEVELS = ("4", "5")
+#: Points of ways that a task sorts, about (some 300 bytes each there).
+TASK_POINTS = 1_000_000
 
 
 def travel_time_s(length_m: Column, road_class: Column, kmh: dict[str, float] = SPEED_KMPH, default: float = 20.0) -> Column:
@@ -85,20 +87,27 @@ def ring_centroid(ring: Column) -> Column:
 
 def vertices(way: DataFrame) -> DataFrame:
     """(node_id): ends of ways and nodes that are referred to more than once."""
-    refs = way.select(F.posexplode("node_refs").alias("pos", "node_id"), F.size("node_refs").alias("n"))
+    return _vertices(way.select(F.posexplode("node_refs").alias("pos", "node_id"), F.size("node_refs").alias("n")))
+
+
+def _vertices(refs: DataFrame) -> DataFrame:
     agg = refs.groupBy("node_id").agg(F.count("*").alias("k"), F.max(((F.col("pos") == 0) | (F.col("pos") == F.col("n") - 1)).cast("int")).alias("end"))
     return agg.filter("k > 1 or end = 1").select("node_id")
 
 
-def build_graph(way: DataFrame) -> DataFrame:
+def build_graph(way: DataFrame, task_points: int = TASK_POINTS) -> DataFrame:
     """Edges between vertices: edge_id, u, v, way_id, piece, length, crossing_type; loops without inner nodes go.
 
-    way: way_id, bridge, ford, tunnel, node_refs, coords (metres). Edge ids count in the order of (way_id, piece).
+    way: way_id, bridge, ford, tunnel, node_refs, coords (metres). Edge ids count in the order of (way_id, piece). The points
+    of ways are written once and counted, and go to as many tasks as leave each about task_points of them.
     """
-    v = vertices(way).withColumn("is_vertex", F.lit(1))
-    pts = way.select("way_id", "bridge", "ford", "tunnel", F.posexplode(F.arrays_zip("node_refs", "coords")).alias("pos", "p"))
-    pts = pts.select("way_id", "bridge", "ford", "tunnel", "pos", F.col("p.node_refs").alias("node_id"), F.col("p.coords.x").alias("x"), F.col("p.coords.y").alias("y"))
-    pts = pts.join(v, "node_id", "left").withColumn("is_vertex", F.coalesce("is_vertex", F.lit(0)))
+    from cutoffs.session import materialize
+
+    pts = way.select("way_id", "bridge", "ford", "tunnel", F.size("node_refs").alias("n"), F.posexplode(F.arrays_zip("node_refs", "coords")).alias("pos", "p"))
+    pts = materialize(pts.select("way_id", "bridge", "ford", "tunnel", "n", "pos", F.col("p.node_refs").alias("node_id"), F.col("p.coords.x").alias("x"), F.col("p.coords.y").alias("y")))
+    tasks = max(int(way.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pts.count() // task_points))
+    v = _vertices(pts.select("pos", "node_id", "n")).withColumn("is_vertex", F.lit(1)).repartition(tasks, "node_id")
+    pts = pts.drop("n").repartition(tasks, "node_id").join(v, "node_id", "left").withColumn("is_vertex", F.coalesce("is_vertex", F.lit(0))).repartition(tasks, "way_id")
     by = Window.partitionBy("way_id").orderBy("pos")
     # a step runs from a node to the next; it belongs to the piece that its first node opened
     step = pts.withColumn("piece", F.sum("is_vertex").over(by)).withColumn("to", F.lead(F.struct("node_id", "x", "y")).over(by)).filter("to is not null")

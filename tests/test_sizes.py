@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cutoffs.functions import text
-from cutoffs.operators import criticality, raster, series, spatial
+from cutoffs.operators import criticality, network, raster, series, spatial
 
 
 def test_near_dedup_of_the_pipeline_takes_its_bands_from_superminhash(spark, monkeypatch):
@@ -130,3 +130,15 @@ def test_first_passes_are_found_before_orbits_are_joined(spark):
     assert sorted(map(tuple, out.collect())) == [(0, 0, 1, 4, 6.0), (0, 1, 1, 3, 7.0)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate [row") < plan.index("Join LeftSemi") < plan.index("Aggregate [row", plan.index("Join LeftSemi"))
+
+
+def test_graph_building_takes_more_tasks_for_more_points(spark, monkeypatch):
+    monkeypatch.setattr(spark.conf, "get", lambda k, *d, _get=spark.conf.get: "2" if k == "spark.sql.shuffle.partitions" else _get(k, *d))
+    rows = [(w, w % 7 == 0, w % 11 == 0, False, [w, 1000 + w, 2000 + w, w + 1], [(float(w), float(k)) for k in (0, 3, 5, 9)]) for w in range(300)]
+    way = spark.createDataFrame(rows, "way_id bigint, bridge boolean, ford boolean, tunnel boolean, node_refs array<bigint>, coords array<struct<x: double, y: double>>")
+    out = network.build_graph(way, task_points=100)
+    assert out.rdd.getNumPartitions() == 12 and network.build_graph(way).rdd.getNumPartitions() == 2
+    assert out._jdf.queryExecution().executedPlan().toString().count(", 12)") >= 3  # both sides of the join, and the ways
+    kind = lambda w: "ford" if w % 11 == 0 else "bridge" if w % 7 == 0 else "none"
+    got = sorted((r["way_id"], r["u"], r["v"], r["length"], r["crossing_type"]) for r in out.collect())
+    assert got == [(w, w, w + 1, 9.0, kind(w)) for w in range(300)]
