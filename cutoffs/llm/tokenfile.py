@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutoffs.llm.common import Kept, lean, steps
+from cutoffs.llm.common import Kept, lean, raw, steps
 from cutoffs.session import materialize
 
 END_ID = 2
@@ -40,10 +40,11 @@ _HASH_BITS = 18
 
 
 class ByteBpe:
-    """A byte-level BPE file of the tokenizers library; stretches between spaces are encoded once and kept.
+    """A byte-level BPE file of the tokenizers library; stretches between safe cuts are encoded once and kept.
 
-    The library's pre-tokenizer always begins a piece at a space that is followed by something else than white space,
-    so a text can be cut there. Where white space follows a space, the stretches on both sides are encoded as one.
+    The library's pre-tokenizer always begins a piece where white space follows something else, at a space before something
+    else than white space, and at punctuation (but ') after a letter or digit, so a text can be cut there. Cuts are made where
+    ASCII bytes tell it. The stretches of many texts are found and told apart as arrays.
     """
 
     def __init__(self, path: str):
@@ -52,60 +53,91 @@ class ByteBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.heads = sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.heads = sorted({t.content[:2].encode() for t in self.tokenizer.get_added_tokens_decoder().values()})
         # a character of a byte-level token stands for a byte
         self.size = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], dtype=np.int64)
-        self.kept = Kept(CACHE_WORDS)  # of " " + key
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes pieces, each after a space, many as one text: no token goes beyond its piece, so bytes tell them apart."""
-        for a in range(0, len(pieces), 20_000):
-            part = pieces[a : a + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([1 + len(p.encode()) for p in part]))
+        self.kept = Kept(CACHE_WORDS)
+
+    def _whole(self, texts: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)] if texts else []
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Encodes pieces, of those that begin with one white space and end with none many as one text: no token goes beyond
+        its piece, so bytes tell them apart."""
+        words = [p.decode() for p in pieces]
+        joint = [k for k, w in enumerate(words) if len(w) > 1 and w[0] in " \n" and not w[1].isspace() and not w[-1].isspace()]
+        for a in range(0, len(joint), 200):
+            part = [pieces[k] for k in joint[a : a + 200]]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(list(map(len, part))))
             data, ends = ids.tobytes(), (4 * (stops + 1)).tolist()
             self.kept.young.update(zip(part, [data[x:y] for x, y in zip([0, *ends], ends, strict=False)], strict=True))
+        alone = list(set(pieces).difference(map(pieces.__getitem__, joint)))
+        self.kept.young.update(zip(alone, self._whole(alone), strict=True))
 
-    @staticmethod
-    def _joined(parts: list[str]) -> list[str]:
-        """Parts with those that are empty or begin with white space put to the one before."""
-        out = [parts[0]]
-        for p in parts[1:]:
-            if p and not p[0].isspace():
-                out.append(p)
-            else:
-                out[-1] += " " + p
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text (UTF-8) as little-endian 32-bit integers."""
         # a text in which an added token may stand goes through the library as a whole
         special = [i for i, t in enumerate(texts) if any(h in t for h in self.heads)]
-        parts = [t.split(" ") for t in texts]
+        plain = list(texts)
         for i in special:
-            parts[i] = [""]
-        got = [list(map(self.kept.young.get, ps[1:])) for ps in parts]
-        new = self.kept.missing({p for ps, g in zip(parts, got, strict=True) for p, x in zip(ps[1:], g, strict=True) if x is None})
-        odd = {p for p in new if not p or p[0].isspace()}
-        if odd:
-            for i, ps in enumerate(parts):
-                if None in got[i] and not odd.isdisjoint(ps[1:]):
-                    parts[i] = self._joined(ps)
-                    got[i] = list(map(self.kept.young.get, parts[i][1:]))
-                    new.update(p for p, x in zip(parts[i][1:], got[i], strict=True) if x is None)
-        self._learn(list(new - odd))
-        for ps, g in zip(parts, got, strict=True):
-            if None in g:
-                g[:] = [self.kept.young[p] if x is None else x for p, x in zip(ps[1:], g, strict=True)]
-        out = [h + b"".join(g) for h, g in zip(self._whole([ps[0] for ps in parts]), got, strict=True)]
-        for i, ids in zip(special, self._whole([texts[i] for i in special]), strict=True):
-            out[i] = ids
+            plain[i] = b""
+        ends = np.cumsum(np.fromiter(map(len, plain), dtype=np.int64, count=len(plain)))
+        buf = np.frombuffer(b"".join(plain), dtype=np.uint8)
+        if len(buf):
+            at = _cuts(buf, ends)
+            pieces = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(buf))), pa.py_buffer(buf)]).dictionary_encode()
+            which, names = pieces.indices.to_numpy(), _slices(pieces.dictionary)
+            kinds = list(map(self.kept.young.get, names))
+            if None in kinds:
+                self._learn(list(self.kept.missing({p for p, x in zip(names, kinds, strict=True) if x is None})))
+                kinds = [self.kept.young[p] if x is None else x for p, x in zip(names, kinds, strict=True)]
+            size = np.fromiter(map(len, kinds), dtype=np.int64, count=len(kinds)) >> 2
+            begin = np.cumsum(size) - size
+            flat, size, begin = np.frombuffer(b"".join(kinds), dtype="<u4"), size[which], begin[which]
+            upto = np.append(0, np.cumsum(size))
+            ids = flat[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])].tobytes()
+            stop = (4 * upto[np.searchsorted(at, ends)]).tolist()
+            out = [ids[x:y] for x, y in zip([0, *stop], stop, strict=False)]
+        else:
+            out = [b""] * len(texts)
+        for i, x in zip(special, self._whole([texts[i] for i in special]), strict=True):
+            out[i] = x
         return out
 
 
+def _slices(col: pa.LargeBinaryArray) -> list[bytes]:
+    """The values of a column without nulls or offset."""
+    _, ends, data = col.buffers()
+    ends, data = np.frombuffer(ends, dtype=np.int64)[: len(col) + 1].tolist(), data.to_pybytes()
+    return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+#: Classes of bytes: 1 ASCII letters and digits, 2 ASCII punctuation but ', 3 ', 4 white space (and what may be some), 0 others.
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[33:127] = 2
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+_KIND[39] = 3
+_KIND[[*range(9, 14), *range(28, 33)]] = 4
+
+
+def _cuts(buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places in the bytes of texts that end at `ends` where a stretch begins: those of the texts and the safe ones in them."""
+    kind = _KIND[buf]
+    cut = np.zeros(len(buf) + 1, dtype=bool)
+    seen = (kind[:-1] > 0) & (kind[:-1] < 4)  # white space after this begins a piece, and punctuation after a letter or digit
+    cut[1:-1] = seen & (kind[1:] == 4) & (buf[1:] < 14) | (kind[1:] == 2) & (kind[:-1] == 1)
+    space = np.flatnonzero(buf[:-1] == 32)
+    nxt, after = buf[space + 1], np.append(buf, 0)[space + 2]
+    wide = (nxt == 0xC2) & ((after == 0x85) | (after == 0xA0)) | (nxt == 0xE1) & (after == 0x9A) | (nxt == 0xE2) & ((after == 0x80) | (after == 0x81)) | (nxt == 0xE3) & (after == 0x80)
+    last = np.zeros(len(buf) + 1, dtype=bool)
+    last[ends] = True
+    cut[space[(kind[space + 1] != 4) & ~wide & ~last[space + 1]]] = True
+    cut[ends] = True
+    cut[0] = True
+    return np.flatnonzero(cut[:-1])
+
+
 @lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
@@ -271,7 +303,7 @@ class Grammar:
 
 def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_tokens: int, least: int | None) -> Iterator[pa.RecordBatch]:
     """Encodes the documents of one range in order and yields a row per shard."""
-    bpe, part, number, first = byte_bpe(path), TaskContext.get().partitionId(), 0, 0
+    bpe, part, number, first, n_held = byte_bpe(path), TaskContext.get().partitionId(), 0, 0, 0
     names: list[pa.Array] = []
     held: list[bytes] = []
     end = np.uint32(end_id).tobytes()
@@ -286,13 +318,17 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_tok
         return pa.RecordBatch.from_arrays(row, names=["range", "shard", "first", "n_tokens", "doc_ids", "sizes", "payload"])
 
     for batch in batches:
-        for step in steps(batch, limit=2 << 20):
-            for ids in bpe.encode([t or "" for t in step.column(1).to_pylist()]):
+        for step in steps(batch, limit=6 << 20):
+            at = 0
+            for k, ids in enumerate(bpe.encode(raw(step.column(1)))):
                 held.append(ids + end)
-            names.append(step.column(0))
-            if sum(map(len, held)) >= 4 * shard_tokens:
-                yield flush()
-                names, held = [], []
+                n_held += len(held[-1])
+                if n_held >= 4 * shard_tokens:
+                    names.append(step.column(0).slice(at, k + 1 - at))
+                    yield flush()
+                    names, held, n_held, at = [], [], 0, k + 1
+            if at < step.num_rows:
+                names.append(step.column(0).slice(at))
     if held:
         yield flush()
 

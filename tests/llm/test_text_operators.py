@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -530,6 +531,24 @@ def test_token_file_is_the_library(request, table):
         at, last = at + r["n_tokens"], r["doc_id"]
 
 
+def test_token_file_keeps_words_apart_from_what_follows():
+    bpe_ = tokenfile.ByteBpe(P.path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    some = ["a", "B", "it", "'s", "' ", "don't", "é", " ", "  ", "\n", "\n\n", "\r\n", "\t", "\u00a0", "\u2003", "\u3000", "“", "漢", "\u094d", "ు", ",", "...", "#", "_", "<", "|", "<|", "1", "½", "\x1c", "\x00", "\u0085", "\ufeff", "😀", "->", "I'll", "s"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(30))) for _ in range(4000)] + ["", " ", "\n", " a", "a "]
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in bpe_.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert bpe_.encode([t.encode() for t in texts]) == want
+    bpe_ = tokenfile.ByteBpe(P.path("byte_bpe_50k.json"))
+    bpe_.encode([b"One word,\nTwo word. Two word"])
+    assert set(bpe_.kept.young) == {b"One", b" word", b",", b"\nTwo", b".", b" Two"}
+
+
+def test_a_shard_ends_with_the_document_that_fills_it(spark):
+    df = spark.createDataFrame([(k, "one two three") for k in range(100)], "doc_id bigint, text string").coalesce(1)
+    shards = tokenfile.write(df, P.path("byte_bpe_50k.json"), shard_tokens=20, partitions=1).collect()
+    assert len(shards) > 5 and max(r["n_tokens"] - r["sizes"][-1] for r in shards) < 20
+
+
 @pytest.mark.parametrize("n, top", [(0, 1), (1, 5), (5000, 3), (30000, 40), (70000, 60000)])
 def test_re_pair_round_trip_and_random_access(n, top):
     rng = np.random.default_rng(n)
