@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import accumulate
 from typing import Any
 
 import pandas as pd
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 LIMIT, SPAN_S, DAILY = 8, 60.0, 300
+#: Keys of a rate limit lie together in so many states.
+BUCKETS = 4096
 
 
 def accepted(times: list[float], kept: list[float], limit: int = LIMIT, span: float = SPAN_S) -> tuple[list[bool], list[float]]:
@@ -55,8 +59,9 @@ def rate_limit(events: DataFrame, key: str = "key", ts: str = "ts", limit: int =
 class RateLimiter(StatefulProcessor):
     """Streaming form in event time: hits wait until the watermark has passed them, so that their order of arrival is no matter.
 
-    A key's state is its waiting hits and the accepted times of the last span. A timer at the first waiting hit decides those
-    that the watermark has passed; a timer at the end of the span drops what is left, so that an idle key leaves no state.
+    The state of a bucket of keys is, for each key, its waiting hits and the accepted times of the last span. A timer at the
+    first waiting hit decides those that the watermark has passed; a timer at the end of a key's span drops what is left of
+    it, so that idle keys leave no state. Calls, states and timers are for buckets, as each takes far longer than its hits.
     """
 
     def __init__(self, limit: int = LIMIT, span: float = SPAN_S):
@@ -64,45 +69,66 @@ class RateLimiter(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("hits", "waiting array<bigint>, kept array<bigint>")  # microseconds
+        # times in microseconds; waits and keeps: how many of them belong to each key
+        self.state = handle.getValueState("hits", "keys array<bigint>, waits array<bigint>, keeps array<bigint>, waiting array<bigint>, kept array<bigint>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = [t.value // 1000 for frame in rows for t in frame["ts"]]
-        waiting, kept = map(list, self.state.get()) if self.state.exists() else ([], [])
-        self._wait(sorted(waiting + new), kept)
+        held = self._held()
+        for frame in rows:
+            for k, t in zip(frame["key"].tolist(), pd.DatetimeIndex(frame["ts"]).as_unit("us").asi8.tolist(), strict=True):
+                held.setdefault(k, ([], []))[0].append(t)
+        for waiting, _ in held.values():
+            waiting.sort()
+        self._hold(held)
         yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
-            return
         passed, span = timerValues.getCurrentWatermarkInMs() * 1000, int(self.span * 1e6)
-        waiting, kept = map(list, self.state.get())
-        ready = [t for t in waiting if t <= passed]
-        flags, kept = accepted(ready, kept, self.limit, span)
-        self._wait(waiting[len(ready) :], [t for t in kept if passed - t < span])
-        if ready:
-            yield pd.DataFrame({"key": [key[0]] * len(ready), "ts": pd.to_datetime(ready, unit="us", utc=True), "allowed": flags})
-
-    def _wait(self, waiting: list[int], kept: list[int]) -> None:
+        held, keys, times, allowed = {}, [], [], []
+        for k, (waiting, kept) in self._held().items():
+            ready = waiting[: bisect_right(waiting, passed)]
+            flags, kept = accepted(ready, kept, self.limit, span)
+            rest, kept = waiting[len(ready) :], [t for t in kept if passed - t < span]
+            if rest or kept:
+                held[k] = rest, kept
+            keys += [None if key[0] < 0 else k] * len(ready)
+            times += ready
+            allowed += flags
+        self._hold(held)
+        if times:
+            yield pd.DataFrame({"key": keys, "ts": pd.to_datetime(times, unit="us", utc=True), "allowed": allowed})
+
+    def _held(self) -> dict[int, tuple[list[int], list[int]]]:
+        if not self.state.exists():
+            return {}
+        keys, waits, keeps, waiting, kept = self.state.get()
+        w, k = ([0, *accumulate(n)] for n in (waits, keeps))
+        return {x: (list(waiting[w[i] : w[i + 1]]), list(kept[k[i] : k[i + 1]])) for i, x in enumerate(keys)}
+
+    def _hold(self, held: dict[int, tuple[list[int], list[int]]]) -> None:
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t[0] if isinstance(t, (list, tuple)) else t)
-        if not waiting and not kept:
+        if not held:
             self.state.clear()
             return
-        self.state.update((waiting, kept))
-        self.handle.registerTimer(-(-(waiting[0] if waiting else kept[-1] + int(self.span * 1e6)) // 1000))
+        both = held.values()
+        self.state.update((list(held), [len(w) for w, _ in both], [len(k) for _, k in both], [t for w, _ in both for t in w], [t for _, k in both for t in k]))
+        first = min(w[0] if w else k[-1] + int(self.span * 1e6) for w, k in both)
+        self.handle.registerTimer(-(-first // 1000))
 
     def close(self) -> None:
         pass
 
 
-def rate_limit_stream(events: DataFrame, limit: int = LIMIT, span: float = SPAN_S, late: str = "10 minutes") -> DataFrame:
+def rate_limit_stream(events: DataFrame, limit: int = LIMIT, span: float = SPAN_S, late: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """events: key bigint, ts timestamp (a stream) -> key, ts, allowed, as the batch form decides them.
 
-    A hit is decided when the watermark, the latest time seen less `late`, has passed it; later ones are dropped as late.
+    A hit is decided when the watermark, the latest time seen less `late`, has passed it; later ones are dropped as late. Keys
+    lie together in `buckets` by a hash; their number stays that of a stream's first run.
     """
     timed = events.select("key", "ts").withWatermark("ts", late)
-    return timed.groupBy("key").transformWithStateInPandas(statefulProcessor=RateLimiter(limit, span), outputStructType="key bigint, ts timestamp, allowed boolean", outputMode="Append", timeMode="EventTime")
+    timed = timed.select(F.when(F.col("key").isNull(), -1).otherwise(F.pmod(F.xxhash64("key"), F.lit(buckets))).cast("bigint").alias("bucket"), F.coalesce("key", F.lit(0)).cast("bigint").alias("key"), "ts")
+    return timed.groupBy("bucket").transformWithStateInPandas(statefulProcessor=RateLimiter(limit, span), outputStructType="key bigint, ts timestamp, allowed boolean", outputMode="Append", timeMode="EventTime")
 
 
 def daily_cap(events: DataFrame, cap: int = DAILY, ts: str = "ts", tie: str = "event_id", key: list[str] | None = None) -> DataFrame:

@@ -42,6 +42,26 @@ def test_rate_limit_of_shuffled_micro_batches_is_the_batch_form(rocks, tmp_path)
     assert left <= 2 * 2  # the two last keys, with their timers; the others are gone
 
 
+def test_rate_limits_of_many_keys_share_states(rocks, tmp_path):
+    rng = random.Random(4)
+    big = (1 << 60) + 1
+    hits = sorted({(rng.choice([None, big, *range(60)]), T0 + timedelta(seconds=rng.randrange(0, 300, 5), microseconds=rng.randrange(10**6))) for _ in range(3000)}, key=str)
+    rng.shuffle(hits)
+    end = [(100, T0 + timedelta(days=2)), (101, T0 + timedelta(days=4))]
+    batch = rocks.createDataFrame(hits, "key bigint, ts timestamp")
+    want = {(r["key"], r["ts"]): r["allowed"] for r in rules.rate_limit(batch, limit=2).collect()}
+    make = lambda s: rules.rate_limit_stream(s, limit=2, late="2 hours", buckets=5)
+    for part in (hits[:1500], hits[1500:], end[:1]):
+        rocks.createDataFrame(part, "key bigint, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = rocks.readStream.schema("key bigint, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = make(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    most = max(p.stateOperators[0].numRowsTotal for p in q.recentProgress)
+    assert most <= 2 * (5 + 2)  # 62 states and their timers before
+    got = {(r["key"], r["ts"]): r["allowed"] for r in rocks.read.schema(make(stream).schema).parquet(f"{tmp_path}/out").collect()}
+    assert got == want and 0 < sum(want.values()) < len(want)
+
+
 def test_daily_cap_of_shuffled_micro_batches_is_the_batch_form(rocks, tmp_path):
     rng = random.Random(2)
     events = [(i, T0 + timedelta(minutes=rng.randrange(0, 4000))) for i in range(500)] + [(1000 + i, T0 + timedelta(minutes=7)) for i in range(80)]
