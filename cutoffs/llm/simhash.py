@@ -82,6 +82,9 @@ def links(nodes: DataFrame, bits: int = 4) -> DataFrame:
     blocks - bits of the blocks. In each group of a block key all members are first compared with two hubs; what these
     links join needs no more comparing, so that a group of thousands of near copies is linked as a star and not by all
     its pairs. Members outside the hub's component are then compared with the whole group, which finds the rest.
+
+    A plan knows of nodes' rows but not that each becomes many keys, and takes the groups for small: joins are told not to
+    broadcast them.
     """
     n = nodes.count()
     blocks = _blocks_for(n, bits)
@@ -91,18 +94,18 @@ def links(nodes: DataFrame, bits: int = 4) -> DataFrame:
     keyed = spread.select("fp", "n", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("k", "mask"))
     keyed = keyed.select("fp", "n", "k", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     groups = keyed.groupBy("k", "key").agg(F.count("*").alias("size"), F.max(F.struct("n", "fp")).getField("fp").alias("hub"), F.min("fp").alias("low")).filter("size > 1")
-    member = materialize(keyed.join(groups, ["k", "key"]).select("k", "key", "fp", "hub", "low"))
+    member = materialize(keyed.join(groups.hint("merge"), ["k", "key"]).select("k", "key", "fp", "hub", "low"))
     star = member.select("fp", F.explode(F.array("hub", "low")).alias("to")).filter((F.col("fp") != F.col("to")) & (distance("fp", "to") <= bits)).select(F.least("fp", "to").alias("a"), F.greatest("fp", "to").alias("b")).distinct()
     star = materialize(star)
     comp = connected_components(star, "a", "b").withColumnRenamed("node", "fp")
-    at = materialize(member.join(comp, "fp", "left").select("k", "key", "fp", "hub", F.coalesce("component", "fp").alias("c")))
+    at = materialize(member.join(comp.hint("merge"), "fp", "left").select("k", "key", "fp", "hub", F.coalesce("component", "fp").alias("c")))
     lead = at.filter("fp = hub").select("k", "key", F.col("c").alias("hub_c"))
     # a group whose members are all in one component is done
     many = at.groupBy("k", "key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("k", "key")
-    rest = materialize(at.join(many, ["k", "key"]).join(lead, ["k", "key"]))
+    rest = materialize(at.join(many.hint("merge"), ["k", "key"]).join(lead.hint("merge"), ["k", "key"]))
     left = rest.filter("c <> hub_c").select("k", "key", F.col("fp").alias("a"), F.col("c").alias("ca"))
     right = rest.select("k", "key", F.col("fp").alias("b"), F.col("c").alias("cb"))
-    found = left.join(right, (left.k == right.k) & (left.key == right.key) & (left.ca != right.cb) & (distance(left.a, right.b) <= bits))
+    found = left.join(right.hint("merge"), (left.k == right.k) & (left.key == right.key) & (left.ca != right.cb) & (distance(left.a, right.b) <= bits))
     more = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return star.union(more)
 
@@ -112,10 +115,10 @@ def components(fps: DataFrame, bits: int = 4) -> DataFrame:
     fps = materialize(fps)
     nodes = materialize(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")))
     comp = connected_components(links(nodes, bits), "a", "b").withColumnRenamed("node", "fp")
-    named = nodes.join(comp, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
+    named = nodes.join(comp.hint("merge"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
     least = named.groupBy("c").agg(F.min("first").alias("component_id"))
-    by_fp = named.join(least, "c").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = named.join(least.hint("merge"), "c").select("fp", "component_id")
+    return fps.join(by_fp.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:

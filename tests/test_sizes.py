@@ -142,3 +142,20 @@ def test_graph_building_takes_more_tasks_for_more_points(spark, monkeypatch):
     kind = lambda w: "ford" if w % 11 == 0 else "bridge" if w % 7 == 0 else "none"
     got = sorted((r["way_id"], r["u"], r["v"], r["length"], r["crossing_type"]) for r in out.collect())
     assert got == [(w, w, w + 1, 9.0, kind(w)) for w in range(300)]
+
+
+def test_groups_of_block_keys_are_not_broadcast(spark, monkeypatch):
+    """A plan takes them for as few as the fingerprints, which have 5 keys and more each."""
+    from cutoffs import contraction
+    from cutoffs.llm import simhash
+
+    plans = []
+    write = simhash.materialize
+    monkeypatch.setattr(contraction, "BROADCAST_ROWS", 0, raising=False)
+    monkeypatch.setattr(simhash, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 200).tolist()
+    fps = spark.createDataFrame(list(enumerate(base + [b ^ 5 for b in base])), "doc_id bigint, fp bigint")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.components(fps).collect()}
+    assert got == {k: k % 200 for k in range(400)}
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
