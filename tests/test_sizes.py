@@ -159,3 +159,28 @@ def test_groups_of_block_keys_are_not_broadcast(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in simhash.components(fps).collect()}
     assert got == {k: k % 200 for k in range(400)}
     assert plans and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_manifest_hashes_files_that_are_too_large_for_one_value(spark, tmp_path):
+    import hashlib
+
+    from cutoffs.sources import sinks
+
+    rng = np.random.default_rng(4)
+    body = rng.integers(0, 256, 300_000, dtype=np.uint8).tobytes()
+    mark = b"\xef\xbb\xbf"
+    files = {"a b.bin": body, "end.bin": body + b"\n", "ends.bin": body + b"\r\n\n\n", "mark.bin": mark + body, "both.bin": mark + mark + body + b"\n", "lines.bin": b"\n" * 5000, "one.bin": b"x" * 5000, "short.bin": b"\r\nx"}
+    (tmp_path / "sub dir").mkdir()
+    for name, data in files.items():
+        (tmp_path / ("sub dir" if name < "c" else ".") / name).write_bytes(data)
+    conf = {"spark.sql.sources.binaryFile.maxLength": "4000", "spark.sql.files.maxPartitionBytes": "70000"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        whole = {"whole": 4000} if hasattr(sinks, "WHOLE") else {}
+        got = sorted((r["bytes"], r["sha256"]) for r in sinks.manifest(spark, str(tmp_path), "*.bin", **whole).collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == sorted((len(d), hashlib.sha256(d).hexdigest()) for d in files.values())
