@@ -184,3 +184,18 @@ def test_manifest_hashes_files_that_are_too_large_for_one_value(spark, tmp_path)
         for k, v in old.items():
             spark.conf.set(k, v)
     assert got == sorted((len(d), hashlib.sha256(d).hexdigest()) for d in files.values())
+
+
+def test_segments_are_copied_for_blocks_and_not_for_each_task(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    kind = "array<struct<x: double, y: double>>"
+    line = lambda q: [(float(q[0]), float(q[1])), (float(q[2]), float(q[3]))]
+    r, w = ([(k, line(q)) for k, q in enumerate(rng.uniform(0, 1, (n, 4)))] for n in (900, 400))
+    roads, waters = spark.createDataFrame(r, f"road_id int, line {kind}"), spark.createDataFrame(w, f"water_id int, line {kind}")
+    want = spatial.crossings(roads, waters, 10.0).count()
+    rows, dealt = [], type(roads).repartition
+    monkeypatch.setattr(type(roads), "repartition", lambda df, *by: rows.append(df.count()) or dealt(df, *by))
+    got = spatial.crossings(roads, waters, 10.0, task_pairs=100)
+    # 360,000 pairs in blocks of 10 by 10: before, 3,600 tasks got 400 waters each
+    assert len(rows) == 2 and sum(rows) <= 2 * 360_000 / 10
+    assert got.count() == want
