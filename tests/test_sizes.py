@@ -6,6 +6,7 @@ import math
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cutoffs.functions import text
@@ -199,3 +200,26 @@ def test_segments_are_copied_for_blocks_and_not_for_each_task(spark, monkeypatch
     # 360,000 pairs in blocks of 10 by 10: before, 3,600 tasks got 400 waters each
     assert len(rows) == 2 and sum(rows) <= 2 * 360_000 / 10
     assert got.count() == want
+
+
+@pytest.mark.parametrize("most", [1, 256])
+def test_near_copies_that_share_no_band_are_found(spark, monkeypatch, most):
+    from cutoffs.llm import neardup
+
+    monkeypatch.setattr(neardup, "PAIRS", most, raising=False)
+    rng = np.random.default_rng(9)
+    rows = []
+    for base in range(12):
+        words = [f"w{k}" for k in rng.integers(0, 10**6, 120)]
+        for _ in range(4):
+            copy = list(words)
+            for k in rng.integers(0, 120, rng.integers(0, 5)):
+                copy[k] = f"x{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join([*copy, "a line of twelve words that most of the texts have in common"])))
+    sets = neardup.shingles([t.encode() for _, t in rows])
+    root = list(range(len(rows)))
+    for _ in rows:
+        root = [min(root[j] for j in range(len(rows)) if len(np.intersect1d(a, sets[j])) >= 0.8 * len(np.union1d(a, sets[j]))) for a in sets]
+    alone = lambda sets: np.array([[int(neardup.mixed(s.sum(keepdims=True))[0] >> np.uint64(1)) + k for k in range(20)] for s in sets], dtype=np.int64).reshape(-1, 20)
+    got = neardup.keep_one(spark.createDataFrame(rows, "doc_id int, text string"), keys_of=alone)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root)) and len(set(root)) < 40
