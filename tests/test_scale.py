@@ -123,3 +123,14 @@ def test_hours_between_fixes_are_made_after_the_last_shuffle(spark):
     assert all(g == pytest.approx(w) if w is not None else g is None for n in want for g, w in zip(got[n], want[n], strict=True))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert 0 <= plan.index("Generate") < plan.index("Window")
+
+
+def test_nodes_are_counted_by_supernode_and_not_copied_for_scenarios(spark, monkeypatch):
+    e = _network(spark, share=0.7)
+    s = spark.createDataFrame([(m, node, a) for m in range(5) for node, a in ((3, 5.0 + m), (8, INF), (400 + m, 2.0))], "member int, node bigint, a double")
+    hour = F.when(F.col("c") == INF, F.col("c")).otherwise((F.col("c") * 5 + F.col("member") * 2) % 9)
+    every = reach.isolation_times(e, s, ["member"], hour=hour).groupBy("member", "b").count()
+    spread = []
+    monkeypatch.setattr(reach, "_spread", lambda *x: spread.append(x))
+    got = reach.hours_counted(e.drop("edge_id"), s, ["member"], hour)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, every.collect())) and not spread
